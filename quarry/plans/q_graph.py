@@ -1 +1,230 @@
-"""placeholder"""
+"""Dependency-graph queries. Binding: the supplier succession graph from
+line items (one repo ``supply``); suppliers are the files, a supplier with a
+positive balance is a parsed module."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from . import sql_common as S
+from .registry import register
+from .tables import doc_files, succession_edges, supplier_id, supplier_nodes, table
+
+HUB_IN = 5
+BOTTLENECK_OUT = 3
+CYCLE_MAX = 3
+HOPS = 2
+
+
+def _deg(spark, d):
+    return G.degrees(supplier_nodes(spark, d), succession_edges(spark, d))
+
+
+def _cycles(spark, d):
+    return G.simple_cycles(succession_edges(spark, d), CYCLE_MAX)
+
+
+def supplier_files(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(F.lit("supply").alias("repo"),
+                    F.concat(supplier_id("s_suppkey"), F.lit(".py")).alias("path"), "s_acctbal")
+
+
+def _build(spark, d):
+    files = supplier_files(spark, d)
+    parsed = files.where(F.col("s_acctbal") > 0)
+    imports = succession_edges(spark, d).select(
+        "repo", F.concat("src", F.lit(".py")).alias("path"), F.col("dst").alias("module"))
+    local = G.local_imports(imports, files, external_prefixes=["s000"])
+    return G.build_edges(local, parsed, guard_files=files), parsed
+
+
+SQL_DEG = S.SUCCESSION + r""",
+ind AS (SELECT repo, dst AS id, count(*) AS in_degree FROM edges GROUP BY repo, dst),
+outd AS (SELECT repo, src AS id, count(*) AS out_degree FROM edges GROUP BY repo, src),
+nn AS (SELECT repo, count(*) AS n_nodes FROM snodes GROUP BY repo),
+deg AS (
+  SELECT s.repo, s.id, s.path,
+    CASE WHEN contains(lower(s.path), 'test') THEN 'test'
+         WHEN contains(lower(s.path), 'util') OR contains(lower(s.path), 'helper') THEN 'utility'
+         WHEN contains(lower(s.path), 'model') THEN 'model'
+         WHEN contains(lower(s.path), 'view') OR contains(lower(s.path), 'api') THEN 'api'
+         WHEN contains(lower(s.path), 'service') THEN 'service'
+         WHEN contains(lower(s.path), '__init__') THEN 'package'
+         ELSE 'module' END AS type,
+    coalesce(i.in_degree, 0) AS in_degree, coalesce(o.out_degree, 0) AS out_degree,
+    (coalesce(i.in_degree, 0) + coalesce(o.out_degree, 0)) / greatest(1, nn.n_nodes) AS centrality
+  FROM snodes s LEFT JOIN ind i ON s.repo = i.repo AND s.id = i.id
+  LEFT JOIN outd o ON s.repo = o.repo AND s.id = o.id JOIN nn ON s.repo = nn.repo
+),
+gm AS (
+  SELECT repo, count(*) AS total_modules, (avg(in_degree) + avg(out_degree)) / 2 AS avg_dependencies,
+         greatest(max(in_degree), max(out_degree)) AS max_dependencies,
+         avg(in_degree) + avg(out_degree) AS coupling, 1 / (avg(out_degree) + 1) AS cohesion,
+         avg(out_degree) / (avg(in_degree) + avg(out_degree) + 1) AS stability
+  FROM deg GROUP BY repo
+),
+hot AS (
+  SELECT repo, id, in_degree, out_degree, centrality,
+         CASE WHEN in_degree >= """ + str(HUB_IN) + """ THEN 'hub' ELSE 'bottleneck' END AS type
+  FROM deg WHERE in_degree >= """ + str(HUB_IN) + " OR out_degree >= " + str(BOTTLENECK_OUT) + r"""
+),
+e1 AS (SELECT DISTINCT repo, src, dst FROM edges),
+cyc AS (
+  SELECT repo, [src] AS nodes FROM e1 WHERE src = dst
+  UNION ALL
+  SELECT a.repo, [a.src, a.dst] FROM e1 a JOIN e1 b ON a.repo = b.repo AND a.dst = b.src AND b.dst = a.src
+  WHERE a.src < a.dst
+  UNION ALL
+  SELECT a.repo, [a.src, a.dst, b.dst] FROM e1 a
+  JOIN e1 b ON a.repo = b.repo AND a.dst = b.src
+  JOIN e1 c ON b.repo = c.repo AND b.dst = c.src AND c.dst = a.src
+  WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst
+),
+gsum AS (
+  SELECT n.repo, n.total_modules, coalesce(m.total_dependencies, 0) AS total_dependencies,
+         coalesce(c.circular_count, 0) AS circular_count,
+         coalesce(m.total_dependencies, 0) / greatest(1, n.total_modules) AS average_dependencies
+  FROM (SELECT repo, count(*) AS total_modules FROM deg GROUP BY repo) n
+  LEFT JOIN (SELECT repo, count(*) AS total_dependencies FROM edges GROUP BY repo) m ON n.repo = m.repo
+  LEFT JOIN (SELECT repo, count(*) AS circular_count FROM cyc GROUP BY repo) c ON n.repo = c.repo
+)"""
+
+
+@register("degrees", "WITH " + SQL_DEG + "\nSELECT * FROM deg")
+def q_degrees(spark, d):
+    return _deg(spark, d)
+
+
+@register("graph_metrics", "WITH " + SQL_DEG + "\nSELECT * FROM gm")
+def q_graph_metrics(spark, d):
+    return G.graph_metrics(_deg(spark, d))
+
+
+@register("hotspots", "WITH " + SQL_DEG + "\nSELECT * FROM hot")
+def q_hotspots(spark, d):
+    return G.hotspots(_deg(spark, d), HUB_IN, BOTTLENECK_OUT)
+
+
+@register("simple_cycles", "WITH " + SQL_DEG + r"""
+SELECT repo, array_to_string(list_concat(nodes, [nodes[1]]), ' -> ') AS cycle,
+       CAST(len(nodes) AS INTEGER) AS length,
+       CASE WHEN len(nodes) <= 3 THEN 'critical' ELSE 'warning' END AS severity
+FROM cyc""")
+def q_simple_cycles(spark, d):
+    return _cycles(spark, d).drop("nodes")
+
+
+@register("graph_summary", "WITH " + SQL_DEG + "\nSELECT * FROM gsum")
+def q_graph_summary(spark, d):
+    e = succession_edges(spark, d)
+    return G.graph_summary(_deg(spark, d), e, _cycles(spark, d))
+
+
+@register("findings_deps", "WITH " + SQL_DEG + r""",
+j AS (
+  SELECT g.repo, g.circular_count, m.coupling,
+         coalesce((SELECT count(*) FROM hot h WHERE h.repo = g.repo AND h.type = 'bottleneck'), 0) AS n_bottlenecks
+  FROM gsum g LEFT JOIN gm m ON g.repo = m.repo
+),
+fired AS (
+  SELECT repo, 0 AS rule_ord, 'circular_dependencies' AS rule, CAST(circular_count AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS threshold FROM j WHERE circular_count > 0
+  UNION ALL SELECT repo, 1, 'high_coupling', coupling, CAST(10 AS DOUBLE) FROM j WHERE coupling > 10
+  UNION ALL SELECT repo, 2, 'bottlenecks', n_bottlenecks, CAST(0 AS DOUBLE) FROM j WHERE n_bottlenecks > 0
+)
+SELECT repo, 'deps' AS area, rule_ord, rule, value, threshold FROM fired
+UNION ALL SELECT repo, 'deps', 3, 'ok', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM j WHERE repo NOT IN (SELECT repo FROM fired)""")
+def q_findings_deps(spark, d):
+    deg = _deg(spark, d)
+    summ = G.graph_summary(deg, succession_edges(spark, d), _cycles(spark, d))
+    return G.findings_deps(summ, G.graph_metrics(deg), G.hotspots(deg, HUB_IN, BOTTLENECK_OUT))
+
+
+SQL_KHOP = SQL_DEG + r""",
+foc AS (SELECT repo, min(id) AS focus FROM snodes GROUP BY repo),
+und AS (SELECT repo, src AS id, dst AS nb FROM edges UNION SELECT repo, dst AS id, src AS nb FROM edges),
+h0 AS (SELECT f.repo, f.focus AS id, 0 AS hop FROM foc f JOIN snodes s ON f.repo = s.repo AND f.focus = s.id),
+h1 AS (
+  SELECT DISTINCT u.repo, u.nb AS id, 1 AS hop FROM h0 JOIN und u ON h0.repo = u.repo AND h0.id = u.id
+  WHERE NOT EXISTS (SELECT 1 FROM h0 x WHERE x.repo = u.repo AND x.id = u.nb)
+),
+h2 AS (
+  SELECT DISTINCT u.repo, u.nb AS id, 2 AS hop FROM h1 JOIN und u ON h1.repo = u.repo AND h1.id = u.id
+  WHERE NOT EXISTS (SELECT 1 FROM h0 x WHERE x.repo = u.repo AND x.id = u.nb)
+    AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.repo = u.repo AND x.id = u.nb)
+),
+kept AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
+
+
+def _khop(spark, d):
+    nodes = supplier_nodes(spark, d)
+    foci = nodes.groupBy("repo").agg(F.min("id").alias("focus"))
+    return G.k_hop(nodes, succession_edges(spark, d), foci, HOPS)
+
+
+@register("k_hop", "WITH " + SQL_KHOP + "\nSELECT repo, id, hop FROM kept")
+def q_k_hop(spark, d):
+    return _khop(spark, d)[0]
+
+
+@register("k_hop_edges", "WITH " + SQL_KHOP + r"""
+SELECT e.repo, e.src, e.dst FROM edges e
+WHERE EXISTS (SELECT 1 FROM kept k WHERE k.repo = e.repo AND k.id = e.src)
+  AND EXISTS (SELECT 1 FROM kept k WHERE k.repo = e.repo AND k.id = e.dst)""")
+def q_k_hop_edges(spark, d):
+    return _khop(spark, d)[1]
+
+
+SQL_BUILD = S.SUCCESSION + r""",
+sfiles AS (SELECT 'supply' AS repo, 's' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') || '.py' AS path, s_acctbal FROM supplier),
+imps AS (SELECT repo, src || '.py' AS path, dst AS module FROM edges),
+loc AS (
+  SELECT i.* FROM imps i
+  WHERE i.module <> '' AND NOT starts_with(i.module, 's000')
+    AND EXISTS (SELECT 1 FROM sfiles f WHERE f.repo = i.repo AND regexp_replace(f.path, '\.py$', '') = i.module)
+),
+be AS (
+  SELECT DISTINCT l.repo, regexp_replace(l.path, '\.py$', '') AS src, l.module AS dst FROM loc l
+  WHERE EXISTS (SELECT 1 FROM sfiles f WHERE f.repo = l.repo AND f.path = l.path AND f.s_acctbal > 0)
+    AND EXISTS (SELECT 1 FROM sfiles f WHERE f.repo = l.repo AND starts_with(l.module, regexp_replace(f.path, '\.py$', '')))
+)"""
+
+
+@register("local_imports", "WITH " + SQL_BUILD + "\nSELECT repo, path, module FROM loc")
+def q_local_imports(spark, d):
+    files = supplier_files(spark, d)
+    imports = succession_edges(spark, d).select(
+        "repo", F.concat("src", F.lit(".py")).alias("path"), F.col("dst").alias("module"))
+    return G.local_imports(imports, files, external_prefixes=["s000"]).select("repo", "path", "module")
+
+
+@register("build_edges", "WITH " + SQL_BUILD + "\nSELECT repo, src, dst FROM be")
+def q_build_edges(spark, d):
+    return _build(spark, d)[0].select("repo", "src", "dst")
+
+
+@register("graph_nodes", "WITH " + SQL_BUILD + r""",
+parsed AS (SELECT repo, regexp_replace(path, '\.py$', '') AS id, path FROM sfiles WHERE s_acctbal > 0)
+SELECT repo, id, path FROM parsed
+UNION ALL
+SELECT DISTINCT b.repo, b.dst AS id, b.dst AS path FROM be b
+WHERE NOT EXISTS (SELECT 1 FROM parsed p WHERE p.repo = b.repo AND p.id = b.dst)""")
+def q_graph_nodes(spark, d):
+    edges, parsed = _build(spark, d)
+    return G.graph_nodes(parsed, edges)
+
+
+@register("classify_path", r"""
+SELECT source AS repo, doc_id,
+  CASE WHEN contains(lower(text), 'test') THEN 'test'
+       WHEN contains(lower(text), 'util') OR contains(lower(text), 'helper') THEN 'utility'
+       WHEN contains(lower(text), 'model') THEN 'model'
+       WHEN contains(lower(text), 'view') OR contains(lower(text), 'api') THEN 'api'
+       WHEN contains(lower(text), 'service') THEN 'service'
+       WHEN contains(lower(text), '__init__') THEN 'package'
+       ELSE 'module' END AS type
+FROM documents""")
+def q_classify_path(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("source").alias("repo"), "doc_id", G.classify_path("text").alias("type"))
