@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 
 def running_sum_window(df: DataFrame, group_cols: list[str], order_cols: list[Column],
@@ -35,6 +35,7 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column],
     make any running sum order-dependent). Values are integral (long).
     """
     spark = df.sparkSession
+    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group_cols] + list(order_cols)
     ranged = (df.repartitionByRange(n, *keys)

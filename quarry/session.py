@@ -70,3 +70,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers (once per context).
+
+    Operators with a Python stage (facts job, skipped-file listing, local
+    prefix scan) pickle functions of this package by reference; the package
+    is zipped and added with ``addPyFile`` unless already shipped.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="quarry-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "quarry"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="quarry")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ship_package
 
 # The default include and exclude globs of a scan.
 DEFAULT_INCLUDE = ["**/*.py"]
@@ -26,28 +27,32 @@ DEFAULT_EXCLUDE = [
 
 
 def scan_corpus(spark: SparkSession, root: str, include=None, exclude=None,
-                repo_level: int = 1) -> DataFrame:
+                repo_level: int = 1, complete: bool = True) -> DataFrame:
     """Read every file below ``root``; ``repo`` is the first ``repo_level``
-    directories under ``root``, ``path`` the rest.
+    folders under ``root``, ``path`` the rest (``/``-separated).
 
     Content is decoded as UTF-8; files that are not valid UTF-8 are dropped
-    (the reference skips them). Globs are applied on ``path`` before the
-    content column is touched, so Spark prunes it for excluded files.
+    (the reference skips them). Globs are applied on ``path``.
+
+    Spark's file listing skips names starting with ``_`` or ``.`` (so every
+    ``__init__.py``) and zero-length files. With ``complete`` (default) those
+    files are added by :func:`skipped_files`, a listing that runs in tasks.
     """
     raw = (spark.read.format("binaryFile")
            .option("recursiveFileLookup", "true")
            .load(root)
            .select("path", "content"))
-    root_uri = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _strip_scheme(root_uri) + "/", "")
-    parts = F.split(rel, "/")
+    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _strip_scheme(root.rstrip("/")) + "/", "")
+    files = raw.select(rel.alias("rel"), F.col("content").cast("string").alias("text"),
+                       F.expr("is_valid_utf8(cast(content as string))").alias("ok"))
+    files = files.where("ok").select("rel", "text")
+    if complete:
+        files = files.unionByName(skipped_files(spark, root))
+    parts = F.split(F.col("rel"), "/")
     repo = F.array_join(F.slice(parts, 1, repo_level), "/")
     relpath = F.array_join(F.slice(parts, repo_level + 1, 1 << 20), "/")
-    files = raw.select(repo.alias("repo"), relpath.alias("path"), "content")
-    files = glob_filter(files, include, exclude)
-    text = F.col("content").cast("string")
-    return (files.where(F.expr("is_valid_utf8(cast(content as string))"))
-            .select("repo", "path", text.alias("content")))
+    out = files.select(repo.alias("repo"), relpath.alias("path"), F.col("text").alias("content"))
+    return glob_filter(out.where(F.col("path") != ""), include, exclude)
 
 
 def _strip_scheme(root: str) -> str:
@@ -59,6 +64,64 @@ def _strip_scheme(root: str) -> str:
     return re.escape(r.lstrip("/"))
 
 
+def _hidden_or_empty(rel: str, size: int) -> bool:
+    return size == 0 or any(part[:1] in ("_", ".") for part in rel.split("/"))
+
+
+def skipped_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files that Spark's listing leaves out: any part of the relative path
+    starting with ``_`` or ``.``, or zero length. Returns ``(rel, text)``.
+
+    Only the first level below ``root`` is listed on the driver; each task
+    lists one top-level folder recursively (``pyarrow.fs``, so local, HDFS
+    and object stores work alike) and reads just the skipped files.
+    """
+    import os
+
+    from pyarrow import fs as pafs
+
+    def open_fs(uri):
+        if "://" in uri:
+            return pafs.FileSystem.from_uri(uri)
+        local = uri[len("file:"):] if uri.startswith("file:") else uri
+        return pafs.LocalFileSystem(), os.path.abspath(local)
+
+    ship_package(spark)
+    filesystem, base = open_fs(root)
+    tops = [i.path for i in filesystem.get_file_info(pafs.FileSelector(base, recursive=False))]
+    if not tops:
+        return spark.createDataFrame([], "rel string, text string")
+    n = max(1, min(len(tops), spark.sparkContext.defaultParallelism * 4))
+    tops_df = spark.createDataFrame([(t,) for t in tops], "top string").repartition(n)
+
+    def list_and_read(batches):
+        import pandas as pd
+        fs2, base2 = open_fs(root)
+        for pdf in batches:
+            rows = []
+            for top in pdf["top"]:
+                info = fs2.get_file_info(top)
+                infos = ([info] if info.type == pafs.FileType.File else
+                         fs2.get_file_info(pafs.FileSelector(top, recursive=True)))
+                for fi in infos:
+                    if fi.type != pafs.FileType.File:
+                        continue
+                    rel = fi.path[len(base2):].lstrip("/")
+                    if not _hidden_or_empty(rel, fi.size):
+                        continue
+                    data = b""
+                    if fi.size:
+                        with fs2.open_input_stream(fi.path) as f:
+                            data = f.readall()
+                    try:
+                        rows.append((rel, data.decode("utf-8")))
+                    except UnicodeDecodeError:
+                        continue
+            yield pd.DataFrame(rows, columns=["rel", "text"])
+
+    return tops_df.mapInPandas(list_and_read, "rel string, text string")
+
+
 def files_from_table(df: DataFrame, repo, path, content) -> DataFrame:
     """Project any table into the ``files`` shape."""
     return df.select(T.as_col(repo).cast("string").alias("repo"),
