@@ -58,13 +58,15 @@ def match_prefix_dict(imports: DataFrame, prefixes=FRAMEWORK_PREFIXES,
                       module_col: str = "module") -> DataFrame:
     """``(repo, path, framework)`` for each framework present in a file.
 
-    Import names are first reduced to distinct (repo, path, module) with a
-    map-side partial aggregate; the dictionary is applied to the survivors.
+    The dictionary is applied per import row first (a projection in
+    generated code that drops every non-matching name), so only the few
+    ``(repo, path, framework)`` hits reach the de-duplicating shuffle, which
+    is partially aggregated map-side.
     """
-    mods = imports.select("repo", "path", F.col(module_col).alias("module")) \
-        .where(F.col("module").isNotNull() & (F.col("module") != "")).distinct()
-    return (mods.select("repo", "path", F.explode(frameworks_of("module", prefixes)).alias("framework"))
-            .distinct())
+    m = F.col(module_col)
+    hits = imports.where(m.isNotNull() & (m != "")).select(
+        "repo", "path", F.explode(frameworks_of(m, prefixes)).alias("framework"))
+    return hits.distinct()
 
 
 def repo_frameworks(file_frameworks: DataFrame) -> DataFrame:

@@ -231,3 +231,13 @@ WHERE repo NOT IN (SELECT repo FROM fired)""")
 def q_findings_conventions(spark, d):
     counts = _counts(spark, d)
     return C.findings_conventions(C.consistency(counts), counts)
+
+
+@register("rule_return_hint", "WITH " + S.DOC_FILES + r"""
+SELECT f.repo, f.path, 1 AS line, 'type_hints' AS category, 'info' AS severity,
+       'Function return type' AS rule, regexp_extract(d.text, '^\p{L}+') AS actual
+FROM doc_files f JOIN documents d ON f.doc_id = d.doc_id LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE l.doc_id IS NULL AND NOT starts_with(regexp_extract(d.text, '^\p{L}+'), '_')""")
+def q_rule_return_hint(spark, d):
+    from .tables import doc_functions
+    return C.rule_return_hint(doc_functions(spark, d), required=True).select(*OUT)

@@ -221,3 +221,48 @@ def q_findings_patterns(spark, d):
     rf = repo_fw(spark, d)
     summ = P.pattern_summary(gated_hits(spark, d))
     return P.findings_patterns(rf, summ, P.antipatterns(summ))
+
+
+SQL_SYNTAX = r"""
+ev AS (
+  SELECT e.event_id, e.user_id, e.event_type, e.value, CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k,
+         c.c_nationkey
+  FROM events e JOIN customer c ON e.user_id = c.c_custkey
+),
+syn AS (
+  SELECT 'nation' || CAST(c_nationkey AS VARCHAR) AS repo, 'u/' || CAST(user_id AS VARCHAR) || '.py' AS path,
+         CAST(event_id AS INTEGER) AS line, 'f' || CAST(event_id AS VARCHAR) AS function,
+         CASE WHEN event_type = 'view' THEN 'async_def' WHEN event_type IN ('click', 'signup') THEN 'decorator'
+              WHEN event_type = 'purchase' THEN 'with_item' END AS kind,
+         event_type = 'signup' AS is_async,
+         CASE WHEN value < 10 THEN 'call' WHEN value < 25 THEN 'name' ELSE 'attribute' END AS shape,
+         event_id, k
+  FROM ev WHERE event_type <> 'error'
+),
+syn2 AS (
+  SELECT *,
+    CASE WHEN shape = 'call' THEN '' WHEN shape = 'name' THEN (CASE WHEN k < 20 THEN 'get' ELSE 'cache' END)
+         ELSE (CASE WHEN k < 50 THEN 'app.route' ELSE 'router.post' END) END AS deco_name,
+    CASE WHEN shape = 'call' THEN '' WHEN shape = 'name' THEN (CASE WHEN k < 20 THEN 'get' ELSE 'cache' END)
+         ELSE (CASE WHEN k < 50 THEN 'route' ELSE 'post' END) END AS deco_last
+  FROM syn
+),
+nfw AS (SELECT 'nation' || CAST(n_nationkey AS VARCHAR) AS repo, n_regionkey <= 1 AS has_flask FROM nation)"""
+
+
+@register("syntax_patterns", "WITH " + SQL_SYNTAX + r"""
+SELECT s.repo, s.path, s.line, 'api' AS type, upper(s.deco_last) AS operation, s.function AS name
+FROM syn2 s JOIN nfw n ON s.repo = n.repo
+WHERE s.kind = 'decorator' AND NOT s.is_async AND s.shape IN ('name', 'attribute')
+  AND s.deco_last IN ('get', 'post', 'put', 'delete', 'patch') AND n.has_flask
+UNION ALL
+SELECT repo, path, line, 'async', CAST(NULL AS VARCHAR), 'h' || CAST(event_id AS VARCHAR) FROM syn2 WHERE kind = 'async_def'
+UNION ALL
+SELECT repo, path, line, 'decorator', function, deco_name FROM syn2
+WHERE kind = 'decorator' AND NOT is_async AND shape IN ('name', 'attribute') AND deco_name <> ''
+  AND NOT starts_with(deco_name, 'app.')
+UNION ALL
+SELECT repo, path, line, 'context_manager', CAST(NULL AS VARCHAR), 'open' FROM syn2 WHERE kind = 'with_item' AND k >= 10""")
+def q_syntax_patterns(spark, d):
+    from .tables import event_syntax, nation_frameworks
+    return P.syntax_patterns(event_syntax(spark, d), nation_frameworks(spark, d))

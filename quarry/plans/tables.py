@@ -16,7 +16,37 @@ from ..sources import corpus
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table stored in fewer row groups than the cluster has
+    cores (a parquet row group is read by one task), so CPU-heavy text
+    stages use every core. The check reads the footers of at most that many
+    files on the driver; a table in many files or row groups, i.e. any
+    large table, is returned unchanged (no extra shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= par:
+        return df
+    groups = sum(_row_groups(f) for f in files)
+    return df if groups >= par else df.repartition(par)
+
+
+_RG_CACHE: dict[str, int] = {}
+
+
+def _row_groups(uri: str) -> int:
+    if uri not in _RG_CACHE:
+        import pyarrow.parquet as pq
+        from pyarrow import fs as pafs
+        try:
+            fs, path = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_file(path) as f:
+                _RG_CACHE[uri] = pq.ParquetFile(f).metadata.num_row_groups
+        except Exception:  # unknown layout: assume it is already split
+            _RG_CACHE[uri] = 1 << 20
+    return _RG_CACHE[uri]
 
 
 # --------------------------------------------------------------------------
@@ -204,3 +234,54 @@ def conversation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.col("conv_id").alias("task_id"),
                         F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("repo"),
                         F.col("text"))
+
+
+def doc_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One "function" per document: named by its first word, annotated with
+    a return type when the document has a label (the toxic flag as text)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("returns"))
+    return (d.join(lab, "doc_id", "left")
+            .select(F.col("source").alias("repo"), doc_path().alias("path"), F.col("doc_id").alias("seq"),
+                    F.regexp_extract("text", r"^\p{L}+", 0).alias("name"), F.lit(1).alias("line"), "returns"))
+
+
+def event_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syntax facts from events (repo = the customer's nation): views are
+    async defs, clicks and signups decorators (signups on async defs),
+    purchases with-items; the decorator shape follows the event value and
+    its name the ``k`` property."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    k = F.get_json_object("props", "$.k").cast("int")
+    shape = (F.when(F.col("value") < 10, "call").when(F.col("value") < 25, "name").otherwise("attribute"))
+    kind = (F.when(F.col("event_type") == "view", "async_def")
+            .when(F.col("event_type").isin("click", "signup"), "decorator")
+            .when(F.col("event_type") == "purchase", "with_item"))
+    deco_name = (F.when(shape == "call", F.lit(""))
+                 .when(shape == "name", F.when(k < 20, F.lit("get")).otherwise(F.lit("cache")))
+                 .otherwise(F.when(k < 50, F.lit("app.route")).otherwise(F.lit("router.post"))))
+    deco_last = (F.when(shape == "call", F.lit(""))
+                 .when(shape == "name", deco_name)
+                 .otherwise(F.when(k < 50, F.lit("route")).otherwise(F.lit("post"))))
+    name = (F.when(kind == "decorator", deco_name)
+            .when(kind == "with_item", F.when(k < 10, F.lit("")).otherwise(F.lit("open")))
+            .otherwise(F.concat(F.lit("h"), F.col("event_id").cast("string"))))
+    j = e.join(c, e.user_id == c.c_custkey)
+    return (j.where(kind.isNotNull())
+            .select(F.concat(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("repo"),
+                    F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"),
+                    F.col("event_id").alias("seq"), kind.alias("kind"), name.alias("name"),
+                    F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("function"),
+                    F.col("event_id").cast("int").alias("line"),
+                    (F.col("event_type") == "signup").alias("is_async"),
+                    F.when(kind == "decorator", shape).alias("deco_shape"),
+                    F.when(kind == "decorator", deco_last).alias("deco_last")))
+
+
+def nation_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation repo: flask for nations of regions 0 and 1, else none."""
+    n = table(spark, sf_dir, "nation")
+    fw = F.when(F.col("n_regionkey") <= 1, F.array(F.lit("flask"))).otherwise(F.array().cast("array<string>"))
+    return n.select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("repo"),
+                    fw.alias("frameworks"))
