@@ -1,5 +1,5 @@
 """Dependency-graph queries. Binding: the supplier succession graph from
-line items (one repo ``supply``); suppliers are the files, a supplier with a
+line items, one repo per region; suppliers are the files, a supplier with a
 positive balance is a parsed module."""
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from . import sql_common as S
 from .registry import register
-from .tables import doc_files, succession_edges, supplier_id, supplier_nodes, table
+from .tables import succession_edges, supplier_id, supplier_nodes, supplier_region, table
 
 HUB_IN = 5
 BOTTLENECK_OUT = 3
@@ -26,9 +26,9 @@ def _cycles(spark, d):
 
 
 def supplier_files(spark, d):
-    s = table(spark, d, "supplier")
-    return s.select(F.lit("supply").alias("repo"),
-                    F.concat(supplier_id("s_suppkey"), F.lit(".py")).alias("path"), "s_acctbal")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return s.join(supplier_region(spark, d), "s_suppkey").select(
+        "repo", F.concat(supplier_id("s_suppkey"), F.lit(".py")).alias("path"), "s_acctbal")
 
 
 def _build(spark, d):
@@ -177,7 +177,8 @@ def q_k_hop_edges(spark, d):
 
 
 SQL_BUILD = S.SUCCESSION + r""",
-sfiles AS (SELECT 'supply' AS repo, 's' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') || '.py' AS path, s_acctbal FROM supplier),
+sfiles AS (SELECT r.repo, 's' || lpad(CAST(s.s_suppkey AS VARCHAR), 4, '0') || '.py' AS path, s.s_acctbal
+           FROM supplier s JOIN sreg r ON s.s_suppkey = r.s_suppkey),
 imps AS (SELECT repo, src || '.py' AS path, dst AS module FROM edges),
 loc AS (
   SELECT i.* FROM imps i

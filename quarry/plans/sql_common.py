@@ -74,6 +74,10 @@ def pkey(x: str) -> str:
 
 
 SUCCESSION = r"""
+sreg AS (
+  SELECT s.s_suppkey, lower(r.r_name) AS repo, n.n_name, s.s_name
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+),
 succ_pairs AS (
   SELECT src, dst, count(*) AS n FROM (
     SELECT l_suppkey AS src,
@@ -86,13 +90,15 @@ succ_top AS (
   ) WHERE k <= 3
 ),
 edges AS (
-  SELECT DISTINCT 'supply' AS repo, 's' || lpad(CAST(src AS VARCHAR), 4, '0') AS src,
-         's' || lpad(CAST(dst AS VARCHAR), 4, '0') AS dst FROM succ_top
+  SELECT DISTINCT a.repo, 's' || lpad(CAST(t.src AS VARCHAR), 4, '0') AS src,
+         's' || lpad(CAST(t.dst AS VARCHAR), 4, '0') AS dst
+  FROM succ_top t JOIN sreg a ON t.src = a.s_suppkey JOIN sreg b ON t.dst = b.s_suppkey
+  WHERE a.repo = b.repo
 ),
 snodes AS (
-  SELECT 'supply' AS repo, 's' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS id,
+  SELECT repo, 's' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS id,
          lower(n_name) || '/' || s_name || '.py' AS path
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  FROM sreg
 )"""
 
 CUSTOMER = r"""

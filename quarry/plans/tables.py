@@ -143,12 +143,23 @@ def order_entities(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# lineitem -> supplier succession graph (one repo, "supply")
+# lineitem -> supplier succession graph; repo = the suppliers' region
 # --------------------------------------------------------------------------
 
+def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(s_suppkey, repo, n_name)`` with repo = lower-case region name."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return (s.join(n, s.s_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
+            .select("s_suppkey", F.lower("r_name").alias("repo"), "n_name"))
+
+
 def succession_edges(spark: SparkSession, sf_dir: str, keep: int = 3) -> DataFrame:
     """Edges src -> dst where dst is the next line item's supplier in an
-    order; per source the ``keep`` most frequent successors (ties by dst)."""
+    order; per source the ``keep`` most frequent successors (ties by dst);
+    an edge belongs to its region's repo and edges across regions are
+    dropped."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
     pairs = (li.select(F.col("l_suppkey").alias("src"),
@@ -157,8 +168,11 @@ def succession_edges(spark: SparkSession, sf_dir: str, keep: int = 3) -> DataFra
              .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
     wk = Window.partitionBy("src").orderBy(F.col("n").desc(), "dst")
     top = pairs.withColumn("k", F.row_number().over(wk)).where(F.col("k") <= keep)
-    return top.select(F.lit("supply").alias("repo"),
-                      supplier_id("src").alias("src"), supplier_id("dst").alias("dst"))
+    reg = supplier_region(spark, sf_dir)
+    rs = reg.select(F.col("s_suppkey").alias("src"), F.col("repo"))
+    rd = reg.select(F.col("s_suppkey").alias("dst"), F.col("repo").alias("dst_repo"))
+    return (top.join(rs, "src").join(rd, "dst").where(F.col("repo") == F.col("dst_repo"))
+            .select("repo", supplier_id("src").alias("src"), supplier_id("dst").alias("dst")))
 
 
 def supplier_id(c) -> F.Column:
@@ -167,10 +181,10 @@ def supplier_id(c) -> F.Column:
 
 def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph nodes with a path: nation/name, so classify_path has tokens."""
-    s = table(spark, sf_dir, "supplier")
-    n = table(spark, sf_dir, "nation")
-    return (s.join(n, s.s_nationkey == n.n_nationkey)
-            .select(F.lit("supply").alias("repo"), supplier_id("s_suppkey").alias("id"),
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    reg = supplier_region(spark, sf_dir)
+    return (s.join(reg, "s_suppkey")
+            .select("repo", supplier_id("s_suppkey").alias("id"),
                     F.concat(F.lower("n_name"), F.lit("/"), F.col("s_name"), F.lit(".py")).alias("path")))
 
 
