@@ -8,7 +8,7 @@ such as ``score >= 0.7`` do not depend on float summation order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -174,9 +174,11 @@ def budget_summary(tasks: DataFrame, selected: DataFrame, max_tokens: int) -> Da
 def pack_files(selected: DataFrame, files: DataFrame, n: int = 20, content_min: float = 0.7,
                include_content: bool = True) -> DataFrame:
     """The first ``n`` selected files of each task with their relevance;
-    content only for score >= ``content_min``. The (bounded) pack is joined
-    back to ``files`` for content."""
-    r = rank_relevant(selected.drop("running_tokens")).where(F.col("rank") <= n)
+    content only for score >= ``content_min``. The first ``n`` are a per-task
+    top-k (``WindowGroupLimit``); the bounded pack is joined back to
+    ``files`` for content."""
+    w = Window.partitionBy("task_id").orderBy(*order_keys())
+    r = selected.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
     want = F.col("score10") >= int(round(content_min * 10))
     if not include_content:
         return r.withColumn("content", F.lit(None).cast("string"))

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
 
 # per-repo/top-k listings must be cut before their shuffle
-TOP_K = ["severity_filter", "top_files", "first_n_entities", "gap_rank", "layer_rollup",
+TOP_K = ["severity_filter", "top_files", "first_n_entities", "gap_rank", "layer_rollup", "pack_files",
          "infer_convention", "hot_files"]
 
 
