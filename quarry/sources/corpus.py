@@ -29,7 +29,8 @@ DEFAULT_EXCLUDE = [
 def scan_corpus(spark: SparkSession, root: str, include=None, exclude=None,
                 repo_level: int = 1, complete: bool = True) -> DataFrame:
     """Read every file below ``root``; ``repo`` is the first ``repo_level``
-    folders under ``root``, ``path`` the rest (``/``-separated).
+    folders under ``root``, ``path`` the rest (``/``-separated). With
+    ``repo_level=0`` the root is a single project named after its folder.
 
     Content is decoded as UTF-8; files that are not valid UTF-8 are dropped
     (the reference skips them). Globs are applied on ``path``.
@@ -49,8 +50,13 @@ def scan_corpus(spark: SparkSession, root: str, include=None, exclude=None,
     if complete:
         files = files.unionByName(skipped_files(spark, root))
     parts = F.split(F.col("rel"), "/")
-    repo = F.array_join(F.slice(parts, 1, repo_level), "/")
-    relpath = F.array_join(F.slice(parts, repo_level + 1, 1 << 20), "/")
+    if repo_level == 0:  # the root itself is the one project
+        import os
+        repo = F.lit(os.path.basename(root.rstrip("/")) or "root")
+        relpath = F.col("rel")
+    else:
+        repo = F.array_join(F.slice(parts, 1, repo_level), "/")
+        relpath = F.array_join(F.slice(parts, repo_level + 1, 1 << 20), "/")
     out = files.select(repo.alias("repo"), relpath.alias("path"), F.col("text").alias("content"))
     return glob_filter(out.where(F.col("path") != ""), include, exclude)
 
