@@ -98,7 +98,7 @@ def top_files(metrics: DataFrame, k: int = 50) -> DataFrame:
 
 def repo_metrics(modules: DataFrame, totals: DataFrame, detailed: DataFrame) -> DataFrame:
     """Files, lines, total and average complexity per repo; the max is
-    over the detailed (filtered, truncated) list as in the reference."""
+    over the detailed (filtered, truncated) list as in the original tool."""
     m = modules.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"),
                                     F.sum("n_lines").cast("long").alias("total_lines"))
     t = totals.groupBy("repo").agg(F.sum("total_complexity").cast("long").alias("total_complexity"))

@@ -2,7 +2,7 @@
 
 Violations share one flat schema:
 ``repo, path, line, category, severity, rule, actual, cat_ord, rule_ord``.
-``cat_ord``/``rule_ord`` reproduce the reference's per-file emission order
+``cat_ord``/``rule_ord`` reproduce the original tool's per-file emission order
 (naming, imports, style, docstrings, type hints) for "first N" listings.
 """
 

@@ -21,7 +21,7 @@ from .findings import Rule, findings
 class GapPolicy:
     """Thresholds and path tokens of the gap priority and reasons.
 
-    The defaults are the reference's fixed values.
+    The defaults are the original tool's fixed values.
     """
     lines_threshold: float = 80.0
     core_tokens: list[str] = field(default_factory=lambda: ["utils", "lib", "core", "services", "models"])

@@ -45,7 +45,7 @@ def build_edges(local: DataFrame, modules: DataFrame, suffix: str = ".py",
     """Distinct ``(repo, src, dst)`` from each parsed importer to each
     local module it imports. Self-edges are kept.
 
-    The reference's guard (the target starts with the module name of some
+    The original tool's guard (the target starts with the module name of some
     scanned file) is applied when ``guard_files`` is given: every character
     prefix of a distinct target is matched to the scanned module names with
     an equi-join, so no prefix theta join is needed.
@@ -115,7 +115,7 @@ def graph_metrics(deg: DataFrame) -> DataFrame:
 
 def hotspots(deg: DataFrame, hub_in: int = 5, bottleneck_out: int = 10) -> DataFrame:
     """Hubs (in >= hub_in), else bottlenecks (out >= bottleneck_out);
-    ranked by centrality desc, then id. (The reference's third class needs
+    ranked by centrality desc, then id. (The original tool's third class needs
     the first condition and is never reached.)"""
     t = (F.when(F.col("in_degree") >= hub_in, "hub")
          .when(F.col("out_degree") >= bottleneck_out, "bottleneck"))

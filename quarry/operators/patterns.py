@@ -43,7 +43,7 @@ API_REQUIRES = ["fastapi", "django", "flask"]
 
 PATTERN_TYPES = ["dataframe", "array", "pipeline", "model", "visualization", "api",
                  "async", "decorator", "context_manager"]
-# Public aliases accepted by the type filter (the reference's public names).
+# Public aliases accepted by the type filter (the original tool's public names).
 TYPE_ALIASES = {"viz": "visualization", "context": "context_manager"}
 
 HIT_COLS = ["repo", "path", "line", "type", "operation"]

@@ -20,7 +20,7 @@ from ..session import cut_lineage, ship_package
 
 def running_sum_window(df: DataFrame, group_cols: list[str], order_cols: list[Column],
                        value_col: str, out_col: str = "running") -> DataFrame:
-    """Reference plan: one window per group (fine for bounded groups)."""
+    """Plain plan: one window per group (fine for bounded groups)."""
     w = (Window.partitionBy(*group_cols).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn(out_col, F.sum(value_col).over(w))

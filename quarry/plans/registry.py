@@ -2,7 +2,7 @@
 
 Each plan reads the given parquet tables through :mod:`quarry.plans.tables`
 and applies the library's operators. The oracle SQL is written by hand from
-the reference semantics and runs on DuckDB over the same tables.
+the original semantics and runs on DuckDB over the same tables.
 """
 
 from __future__ import annotations
@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (q_conventions, q_corpus, q_arch, q_graph, q_patterns,  # noqa: F401
-                   q_coverage, q_context)
+                   q_coverage, q_context, q_facts)

@@ -2,7 +2,7 @@
 
 ``Corpus`` holds the scanned ``files`` and the fact tables of one facts-job
 run; each report returns a dict of DataFrames (one per section of the
-reference's report), all keyed by ``repo`` (``task_id`` for context).
+original report), all keyed by ``repo`` (``task_id`` for context).
 Nothing is collected: callers write the sections with
 :func:`quarry.sources.reports.write_report` or inspect them.
 """
@@ -181,7 +181,9 @@ def context_report(c: Corpus, tasks: DataFrame, max_tokens: int = 50000,
     scored = CX.relevance(analyzed, c.files, focus_areas, strategy)
     selected = CX.budget_cut(scored, corpus.modules_from_files(c.files), max_tokens)
     summary = CX.budget_summary(tasks, selected, max_tokens)
-    pack = CX.pack_files(selected, c.files, 20, 0.7, include_files)
+    summaries = module_summaries(c).withColumnRenamed("n_lines", "summary_lines")
+    pack = (CX.pack_files(selected, c.files, 20, 0.7, include_files)
+            .join(summaries, ["repo", "path"], "left"))  # null summary: file does not parse
     return {"tasks": analyzed, "selected": selected, "budget": summary, "files": pack,
             "layers": CX.selected_layers(tasks, selected),
             "findings": CX.findings_context(analyzed, summary)}

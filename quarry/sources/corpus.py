@@ -33,7 +33,7 @@ def scan_corpus(spark: SparkSession, root: str, include=None, exclude=None,
     ``repo_level=0`` the root is a single project named after its folder.
 
     Content is decoded as UTF-8; files that are not valid UTF-8 are dropped
-    (the reference skips them). Globs are applied on ``path``.
+    (the original tool skips them). Globs are applied on ``path``.
 
     Spark's file listing skips names starting with ``_`` or ``.`` (so every
     ``__init__.py``) and zero-length files. With ``complete`` (default) those

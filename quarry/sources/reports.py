@@ -20,7 +20,7 @@ def scan_coverage_xml(spark: SparkSession, path: str, repo: str | None = None) -
     try:
         raw = (spark.read.format("xml").option("rowTag", "class")
                .option("mode", "DROPMALFORMED").schema(schema).load(path))
-    except Exception:  # missing path: the reference returns no coverage
+    except Exception:  # missing path: the original tool returns no coverage
         return spark.createDataFrame(
             [], "repo string, filename string, line_rate double, line_no int, hits long, doc_pos long")
     cls = raw.select(
