@@ -66,26 +66,42 @@ def file_metrics(modules: DataFrame, blocks: DataFrame, functions: DataFrame,
                  classes: DataFrame, imports: DataFrame | None = None,
                  methods: DataFrame | None = None, min_complexity: int = 0) -> DataFrame:
     """Per file lines, complexity, maintainability, functions (+methods),
-    classes and imports; files below ``min_complexity`` are dropped."""
-    tot = file_totals(modules, blocks).select("repo", "path", "total_complexity")
-    mi = F.col("mi") if "mi" in modules.columns else F.lit(100.0)
-    out = modules.select("repo", "path", F.col("n_lines").alias("lines"), mi.alias("maintainability"))
-    out = out.join(tot, ["repo", "path"], "left")
-    parts = [("n_functions", _count(functions, "n_functions")),
-             ("n_methods", _count(methods, "n_methods")),
-             ("n_classes", _count(classes, "n_classes")),
-             ("n_imports", _count(imports, "n_imports"))]
-    for name, df in parts:
-        if df is not None:
-            out = out.join(df, ["repo", "path"], "left")
-        else:
-            out = out.withColumn(name, F.lit(0).cast("long"))
-    out = out.na.fill(0, ["total_complexity", "n_functions", "n_methods", "n_classes", "n_imports"])
-    return (out.select("repo", "path", "lines", F.col("total_complexity").alias("complexity"),
-                       "maintainability",
-                       (F.col("n_functions") + F.col("n_methods")).alias("functions"),
-                       F.col("n_classes").alias("classes"), F.col("n_imports").alias("imports"))
-            .where(F.col("complexity") >= min_complexity))
+    classes and imports; files below ``min_complexity`` are dropped.
+
+    All fact tables are tagged and unioned, then rolled up with a single
+    ``groupBy(repo, path)`` (partial aggregation map-side): one shuffle
+    instead of one join per fact table.
+    """
+    has_mi = "mi" in modules.columns
+
+    def tag(df, kind, cx=None):
+        return df.select("repo", "path", F.lit(kind).alias("k"),
+                         (cx if cx is not None else F.lit(0)).cast("long").alias("cx"),
+                         F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("double").alias("mi"))
+
+    parts = [modules.select("repo", "path", F.lit("m").alias("k"), F.lit(0).cast("long").alias("cx"),
+                            F.col("n_lines").cast("int").alias("n_lines"),
+                            (F.col("mi") if has_mi else F.lit(100.0)).cast("double").alias("mi")),
+             tag(blocks, "b", F.col("complexity")), tag(functions, "f"), tag(classes, "c")]
+    if methods is not None:
+        parts.append(tag(methods, "f"))
+    if imports is not None:
+        parts.append(tag(imports, "i"))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    k = F.col("k")
+    g = u.groupBy("repo", "path").agg(
+        F.count_if(k == "m").alias("is_module"),
+        F.max("n_lines").alias("lines"),
+        F.max("mi").alias("maintainability"),
+        F.sum(F.when(k == "b", F.col("cx")).otherwise(F.lit(0))).cast("long").alias("complexity"),
+        F.count_if(k == "f").alias("functions"),
+        F.count_if(k == "c").alias("classes"),
+        F.count_if(k == "i").alias("imports"))
+    return (g.where((F.col("is_module") > 0) & (F.col("complexity") >= min_complexity))
+            .select("repo", "path", "lines", "complexity", "maintainability", "functions",
+                    "classes", "imports"))
 
 
 def top_files(metrics: DataFrame, k: int = 50) -> DataFrame:

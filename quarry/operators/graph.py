@@ -88,16 +88,26 @@ def classify_path(c) -> F.Column:
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """in/out degree per node, node class, centrality = (in+out)/max(1,n)."""
-    outd = edges.groupBy("repo", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
-    ind = edges.groupBy("repo", F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    """in/out degree per node, node class, centrality = (in+out)/max(1,n).
+
+    Nodes, out-ends and in-ends are tagged and rolled up with one
+    ``groupBy(repo, id)``; the per-repo node count is a one-row-per-repo
+    table joined on ``repo``.
+    """
+    u = (nodes.select("repo", "id", "path", F.lit(0).alias("i"), F.lit(0).alias("o"), F.lit(1).alias("n"))
+         .unionByName(edges.select("repo", F.col("src").alias("id"), F.lit(None).cast("string").alias("path"),
+                                   F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(0).alias("n")))
+         .unionByName(edges.select("repo", F.col("dst").alias("id"), F.lit(None).cast("string").alias("path"),
+                                   F.lit(1).alias("i"), F.lit(0).alias("o"), F.lit(0).alias("n"))))
+    d = (u.groupBy("repo", "id")
+         .agg(F.max("path").alias("path"), F.sum("i").cast("long").alias("in_degree"),
+              F.sum("o").cast("long").alias("out_degree"), F.sum("n").alias("is_node"))
+         .where(F.col("is_node") > 0))
     n = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n_nodes"))
-    d = (nodes.join(ind, ["repo", "id"], "left").join(outd, ["repo", "id"], "left")
-         .na.fill(0, ["in_degree", "out_degree"]).join(n, "repo"))
-    return d.select("repo", "id", "path", classify_path("path").alias("type"),
-                    "in_degree", "out_degree",
-                    ((F.col("in_degree") + F.col("out_degree")) /
-                     F.greatest(F.lit(1), F.col("n_nodes"))).alias("centrality"))
+    return d.join(n, "repo").select(
+        "repo", "id", "path", classify_path("path").alias("type"), "in_degree", "out_degree",
+        ((F.col("in_degree") + F.col("out_degree")) /
+         F.greatest(F.lit(1), F.col("n_nodes"))).alias("centrality"))
 
 
 def graph_metrics(deg: DataFrame) -> DataFrame:
