@@ -113,6 +113,34 @@ def violations(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def name_rules(names: DataFrame, function_if=None, class_if=None, constant_if=None) -> DataFrame:
+    """H1-H3 over one table of names in a single pass.
+
+    ``names(repo, path, line, name)``; each ``*_if`` is a boolean column
+    saying which names play that role (None: rule not applied). Every row
+    yields the violations of its roles through one projection and explode,
+    so the names are read once whatever the number of rules.
+    """
+    nm = F.col("name")
+
+    def v(cond, severity, rule, rule_ord, line):
+        return F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"),
+                                     F.lit(rule_ord).alias("rule_ord"), line.cast("int").alias("line")))
+
+    cands = []
+    if function_if is not None:
+        cands.append(v(function_if & ~T.is_snake_case(nm) & ~nm.startswith("_"), "warning",
+                       "Function naming", 0, F.col("line")))
+    if class_if is not None:
+        cands.append(v(class_if & ~T.is_pascal_case(nm), "warning", "Class naming", 1, F.col("line")))
+    if constant_if is not None:
+        cands.append(v(constant_if & ~T.is_upper(nm), "info", "Constant naming", 2, F.lit(None)))
+    x = names.select("repo", "path", "name", F.explode(F.array_compact(F.array(*cands))).alias("v"))
+    return x.select("repo", "path", F.col("v.line").alias("line"), F.lit("naming").alias("category"),
+                    "v.severity", "v.rule", F.col("name").alias("actual"),
+                    F.lit(0).alias("cat_ord"), "v.rule_ord")
+
+
 def severity_rank(c="severity"):
     x = T.as_col(c)
     return (F.when(x == "error", 2).when(x == "warning", 1).otherwise(0))
@@ -136,22 +164,22 @@ def first_violations(v: DataFrame, n: int = 100) -> DataFrame:
     return v.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def violation_counts(all_violations: DataFrame, shown: DataFrame,
-                     files: DataFrame) -> DataFrame:
+def violation_counts(all_violations: DataFrame, files: DataFrame,
+                     minimum: str = "warning") -> DataFrame:
     """Per repo, counts by category before the severity filter, by
-    severity after it, and the number of files.
+    severity after it (``minimum``), and the number of files.
 
-    Each input is pre-aggregated on ``repo`` (partial aggregation happens in
-    the map tasks, so a hot repo costs one row per task) and the three small
-    results are joined on ``repo``.
+    One aggregation over the violations (partial aggregation in the map
+    tasks, so a hot repo costs one row per task) joined to the per-repo file
+    count.
     """
-    by_cat = all_violations.groupBy("repo").agg(
-        *[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
-    by_sev = shown.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total_violations"),
-        *[F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warning", "info")])
+    shown = severity_rank() >= SEVERITY_ORDER.get(minimum, 0)
+    agg = all_violations.groupBy("repo").agg(
+        *[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES],
+        F.count_if(shown).alias("total_violations"),
+        *[F.count_if(shown & (F.col("severity") == s)).alias(s) for s in ("error", "warning", "info")])
     nfiles = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n_files"))
-    out = (nfiles.join(by_cat, "repo", "left").join(by_sev, "repo", "left")
+    out = (nfiles.join(agg, "repo", "left")
            .na.fill(0, CATEGORIES + ["total_violations", "error", "warning", "info"]))
     return out.withColumn("category_total", sum(F.col(c) for c in CATEGORIES))
 

@@ -20,14 +20,11 @@ def _doc_lines(spark, d):
 def doc_violations(spark, d):
     """Words as names (lower-case initial: functions; upper-case initial:
     classes and constants), lines for style, labels for docstrings."""
-    words = doc_words(spark, d)
     upper_initial = F.col("name").rlike(r"^\p{Lu}")
-    funcs = words.where(~upper_initial)
-    classes = words.where(upper_initial)
+    naming = C.name_rules(doc_words(spark, d), function_if=~upper_initial,
+                          class_if=upper_initial, constant_if=upper_initial)
     return C.violations(
-        C.rule_function_name(funcs),
-        C.rule_class_name(classes),
-        C.rule_constant_name(classes),
+        naming,
         C.rule_line_length(_doc_lines(spark, d)),
         C.rule_docstrings(doc_modules(spark, d)),
     )
@@ -110,9 +107,7 @@ def q_rule_import_grouping_user(spark, d):
 
 
 def _counts(spark, d, minimum="warning"):
-    v = doc_violations(spark, d)
-    shown = C.severity_filter(v, minimum)
-    return C.violation_counts(v, shown, doc_files(spark, d))
+    return C.violation_counts(doc_violations(spark, d), doc_files(spark, d), minimum)
 
 
 SQL_COUNTS = SQL_DOC_VIOLATIONS + r""",

@@ -160,7 +160,7 @@ def conventions_report(c: Corpus, severity: str = "warning", autodetect: bool =
         C.rule_docstrings(c.parsed, t["classes"], t["functions"]),
         C.rule_return_hint(t["functions"], type_hints_required))
     shown = C.severity_filter(v_all, severity)
-    counts = C.violation_counts(v_all, shown, c.files)
+    counts = C.violation_counts(v_all, c.files, severity)
     scores = C.consistency(counts)
     out = {"violations": C.first_violations(shown, 100), "counts": counts, "consistency": scores,
            "findings": C.findings_conventions(scores, counts)}
