@@ -70,6 +70,29 @@ def pipeline_or_model(lines: DataFrame, pipeline_token: str = PIPELINE_TOKEN,
             .where(F.col("type").isNotNull()))
 
 
+def detect_lines(lines: DataFrame, detectors: list[LineDetector],
+                 pipeline_token: str | None = PIPELINE_TOKEN,
+                 model_tokens: list[str] | None = MODEL_TOKENS) -> DataFrame:
+    """F1-F4 in one pass: every detector is a conditional struct of one
+    projection over ``lines``, exploded into hit rows, so the lines are read
+    once however many detectors run. Same rows as the union of
+    :func:`first_token_match` per detector and :func:`pipeline_or_model`."""
+    cands = []
+    for det in detectors:
+        op = T.first_contained("line", det.tokens)
+        cands.append(F.when(T.contains_any("line", det.guards) & op.isNotNull(),
+                            F.struct(F.lit(det.type).alias("type"), op.alias("operation"))))
+    if pipeline_token is not None:
+        ln = F.col("line")
+        typ = (F.when(ln.contains(pipeline_token), F.lit("pipeline"))
+               .when(T.contains_any(ln, model_tokens or []), F.lit("model")))
+        cands.append(F.when(typ.isNotNull(), F.struct(typ.alias("type"),
+                                                      F.lit(None).cast("string").alias("operation"))))
+    return (lines.select("repo", "path", F.col("line_no").alias("line"),
+                         F.explode(F.array_compact(F.array(*cands))).alias("h"))
+            .select("repo", "path", "line", "h.type", "h.operation"))
+
+
 def gate_by_framework(hits: DataFrame, repo_fw: DataFrame,
                       requires: dict[str, list[str]]) -> DataFrame:
     """keep hits of a type only in repos having one of its frameworks.
@@ -166,12 +189,17 @@ PATTERN_RULES = [
 ]
 
 
-def findings_patterns(repo_fw: DataFrame, summary: DataFrame, anti: DataFrame) -> DataFrame:
+def findings_patterns(repo_fw: DataFrame, summary: DataFrame,
+                      max_dataframe_ops: int = 50) -> DataFrame:
+    """antipatterns found, pandas without dataframe hits, many async
+    functions. One aggregation over the (small) summary gives all counts;
+    the antipattern count is F9's condition evaluated inline."""
+    t, n = F.col("type"), F.col("n")
     cnt = summary.groupBy("repo").agg(
-        F.sum(F.when(F.col("type") == "dataframe", F.col("n")).otherwise(0)).alias("n_df"),
-        F.sum(F.when(F.col("type") == "async", F.col("n")).otherwise(0)).alias("n_async"))
-    na = anti.groupBy("repo").agg(F.count(F.lit(1)).alias("n_antipatterns"))
-    s = (repo_fw.join(cnt, "repo", "left").join(na, "repo", "left")
+        F.sum(F.when(t == "dataframe", n).otherwise(0)).alias("n_df"),
+        F.sum(F.when(t == "async", n).otherwise(0)).alias("n_async"),
+        F.count_if((t == "dataframe") & (n > max_dataframe_ops)).alias("n_antipatterns"))
+    s = (repo_fw.join(cnt, "repo", "left")
          .na.fill(0, ["n_df", "n_async", "n_antipatterns"])
          .withColumn("has_pandas", F.array_contains("frameworks", "pandas")))
     return findings(s, "patterns", PATTERN_RULES)

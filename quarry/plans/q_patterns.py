@@ -59,11 +59,7 @@ def repo_fw(spark, d):
 
 
 def raw_hits(spark, d):
-    lines = _lines(spark, d)
-    return (P.first_token_match(lines, DF_DET)
-            .unionByName(P.first_token_match(lines, ARR_DET))
-            .unionByName(P.first_token_match(lines, VIZ_DET))
-            .unionByName(P.pipeline_or_model(lines, PIPE_TOKEN, MODEL_TOKENS)))
+    return P.detect_lines(_lines(spark, d), [DF_DET, ARR_DET, VIZ_DET], PIPE_TOKEN, MODEL_TOKENS)
 
 
 def gated_hits(spark, d):
@@ -150,7 +146,9 @@ def q_classify(spark, d):
 @register("first_token_match", "WITH " + SQL_PATTERNS + """
 SELECT * FROM raw_hits WHERE type IN ('dataframe', 'array', 'visualization')""")
 def q_first_token_match(spark, d):
-    return raw_hits(spark, d).where(F.col("type").isin("dataframe", "array", "visualization"))
+    lines = _lines(spark, d)
+    return (P.first_token_match(lines, DF_DET).unionByName(P.first_token_match(lines, ARR_DET))
+            .unionByName(P.first_token_match(lines, VIZ_DET)))
 
 
 @register("pipeline_or_model", "WITH " + SQL_PATTERNS + """
@@ -218,9 +216,7 @@ SELECT repo, 'patterns' AS area, rule_ord, rule, value, threshold FROM fired
 UNION ALL
 SELECT repo, 'patterns', 3, 'ok', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM j WHERE repo NOT IN (SELECT repo FROM fired)""")
 def q_findings_patterns(spark, d):
-    rf = repo_fw(spark, d)
-    summ = P.pattern_summary(gated_hits(spark, d))
-    return P.findings_patterns(rf, summ, P.antipatterns(summ))
+    return P.findings_patterns(repo_fw(spark, d), P.pattern_summary(gated_hits(spark, d)))
 
 
 SQL_SYNTAX = r"""

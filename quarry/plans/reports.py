@@ -117,10 +117,7 @@ def patterns_report(c: Corpus, pattern_types: list[str] | None = None) -> dict[s
     t = c.tables
     rf = FW.all_repos_frameworks(c.files, FW.repo_frameworks(FW.match_prefix_dict(t["imports"])))
     lines = c.lines()
-    line_hits = (P.first_token_match(lines, P.DATAFRAME)
-                 .unionByName(P.first_token_match(lines, P.ARRAY))
-                 .unionByName(P.first_token_match(lines, P.VISUALIZATION))
-                 .unionByName(P.pipeline_or_model(lines)))
+    line_hits = P.detect_lines(lines, [P.DATAFRAME, P.ARRAY, P.VISUALIZATION])
     requires = {"dataframe": P.DATAFRAME.requires, "array": P.ARRAY.requires,
                 "visualization": P.VISUALIZATION.requires, "pipeline": P.ML_REQUIRES,
                 "model": P.ML_REQUIRES}
@@ -130,7 +127,7 @@ def patterns_report(c: Corpus, pattern_types: list[str] | None = None) -> dict[s
     anti = P.antipatterns(summary)
     return {"frameworks": rf, "patterns": hits, "summary": summary, "antipatterns": anti,
             "best_practices": P.best_practices(rf, summary),
-            "findings": P.findings_patterns(rf, summary, anti)}
+            "findings": P.findings_patterns(rf, summary)}
 
 
 def coverage_report(c: Corpus, coverage_records: DataFrame | None = None,
