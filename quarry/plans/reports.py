@@ -132,10 +132,19 @@ def patterns_report(c: Corpus, pattern_types: list[str] | None = None) -> dict[s
 
 def coverage_report(c: Corpus, coverage_records: DataFrame | None = None,
                     policy: CV.GapPolicy = CV.GapPolicy(), priority: str = "all",
-                    exclude: list[str] | None = None) -> dict[str, DataFrame]:
+                    exclude: list[str] | None = None,
+                    coverage_xml: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """``coverage_records(repo, filename, line_no, hits[, line_rate, doc_pos])``
+    or ``coverage_xml``: repo -> path of that repo's coverage XML report."""
     excl = COVERAGE_EXCLUDE if exclude is None else exclude
     files = corpus.glob_filter(c.files, ["**/*.py"], excl)
     parsed = files.join(c.parsed.select("repo", "path"), ["repo", "path"], "left_semi")
+    if coverage_xml:
+        from ..sources.reports import scan_coverage_xml
+        for repo, xml_path in coverage_xml.items():
+            recs = scan_coverage_xml(files.sparkSession, xml_path, repo=repo)
+            coverage_records = recs if coverage_records is None else coverage_records.unionByName(
+                recs, allowMissingColumns=True)
     if coverage_records is None:
         coverage_records = files.sparkSession.createDataFrame(
             [], "repo string, filename string, line_no int, hits long")

@@ -27,28 +27,101 @@ DEFAULT_EXCLUDE = [
 
 
 def scan_corpus(spark: SparkSession, root: str, include=None, exclude=None,
-                repo_level: int = 1, complete: bool = True) -> DataFrame:
+                repo_level: int = 1, method: str = "listing") -> DataFrame:
     """Read every file below ``root``; ``repo`` is the first ``repo_level``
     folders under ``root``, ``path`` the rest (``/``-separated). With
     ``repo_level=0`` the root is a single project named after its folder.
 
     Content is decoded as UTF-8; files that are not valid UTF-8 are dropped
-    (the original tool skips them). Globs are applied on ``path``.
-
-    Spark's file listing skips names starting with ``_`` or ``.`` (so every
-    ``__init__.py``) and zero-length files. With ``complete`` (default) those
-    files are added by :func:`skipped_files`, a listing that runs in tasks.
+    (the original tool skips them). Globs are applied on ``path`` before any
+    content is read.
+
+    ``method="listing"`` (default) lists the tree breadth-first with one
+    Spark job per folder level (:func:`list_tree`), so a repo holding most of
+    the files is spread over many tasks, then reads the selected files in
+    tasks balanced by a hash of the path. ``method="binaryFile"`` uses
+    Spark's file source (listing on the driver) plus :func:`skipped_files`
+    for what that source leaves out (names starting with ``_`` or ``.``,
+    such as every ``__init__.py``, and empty files).
     """
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", "true")
-           .load(root)
-           .select("path", "content"))
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _strip_scheme(root.rstrip("/")) + "/", "")
-    files = raw.select(rel.alias("rel"), F.col("content").cast("string").alias("text"),
-                       F.expr("is_valid_utf8(cast(content as string))").alias("ok"))
-    files = files.where("ok").select("rel", "text")
-    if complete:
-        files = files.unionByName(skipped_files(spark, root))
+    if method == "binaryFile":
+        return _scan_binary_file(spark, root, include, exclude, repo_level)
+    listed = list_tree(spark, root)
+    files = _split_repo(listed, root, repo_level).where(F.col("path") != "")
+    files = glob_filter(files, include, exclude)
+    n = max(1, spark.sparkContext.defaultParallelism * 2)
+    ship_package(spark)
+    to_read = files.select("repo", "path", "abs").repartition(n, F.xxhash64("repo", "path"))
+
+    def read(batches):
+        import pandas as pd
+        fs2, _ = _open_fs(root)
+        for pdf in batches:
+            rows = []
+            for repo, path, absp in zip(pdf["repo"], pdf["path"], pdf["abs"]):
+                with fs2.open_input_stream(absp) as f:
+                    data = f.readall()
+                try:
+                    rows.append((repo, path, data.decode("utf-8")))
+                except UnicodeDecodeError:
+                    continue
+            yield pd.DataFrame(rows, columns=["repo", "path", "content"])
+
+    return to_read.mapInPandas(read, "repo string, path string, content string")
+
+
+def _open_fs(uri: str):
+    import os
+
+    from pyarrow import fs as pafs
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    local = uri[len("file:"):] if uri.startswith("file:") else uri
+    return pafs.LocalFileSystem(), os.path.abspath(local)
+
+
+def list_tree(spark: SparkSession, root: str, max_depth: int = 64) -> DataFrame:
+    """Every file below ``root`` as ``(rel, abs, size)``, listed breadth-first:
+    each folder level is one Spark job whose tasks list one folder each
+    (``pyarrow.fs``: local, HDFS and object stores alike). The folders of
+    the next level are the job's output, checkpointed, so the driver only
+    loops over levels, never over files."""
+    from ..session import cut_lineage
+    ship_package(spark)
+    _, base = _open_fs(root)
+    n = max(1, spark.sparkContext.defaultParallelism * 2)
+
+    def list_level(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+        fs2, base2 = _open_fs(root)
+        for pdf in batches:
+            rows = []
+            for d in pdf["dir"]:
+                for fi in fs2.get_file_info(pafs.FileSelector(d, recursive=False)):
+                    rel = fi.path[len(base2):].lstrip("/")
+                    if fi.type == pafs.FileType.Directory:
+                        rows.append(("dir", rel, fi.path, 0))
+                    elif fi.type == pafs.FileType.File:
+                        rows.append(("file", rel, fi.path, int(fi.size or 0)))
+            yield pd.DataFrame(rows, columns=["kind", "rel", "abs", "size"])
+
+    schema = "kind string, rel string, abs string, size long"
+    frontier = spark.createDataFrame([(base,)], "dir string")
+    found = []
+    for _ in range(max_depth):
+        level = cut_lineage(frontier.repartition(n).mapInPandas(list_level, schema))
+        found.append(level.where(F.col("kind") == "file").select("rel", "abs", "size"))
+        frontier = level.where(F.col("kind") == "dir").select(F.col("abs").alias("dir"))
+        if frontier.isEmpty():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _split_repo(listed: DataFrame, root: str, repo_level: int) -> DataFrame:
     parts = F.split(F.col("rel"), "/")
     if repo_level == 0:  # the root itself is the one project
         import os
@@ -57,7 +130,20 @@ def scan_corpus(spark: SparkSession, root: str, include=None, exclude=None,
     else:
         repo = F.array_join(F.slice(parts, 1, repo_level), "/")
         relpath = F.array_join(F.slice(parts, repo_level + 1, 1 << 20), "/")
-    out = files.select(repo.alias("repo"), relpath.alias("path"), F.col("text").alias("content"))
+    cols = [c for c in listed.columns if c != "rel"]
+    return listed.select(repo.alias("repo"), relpath.alias("path"), *cols)
+
+
+def _scan_binary_file(spark: SparkSession, root: str, include, exclude, repo_level: int) -> DataFrame:
+    raw = (spark.read.format("binaryFile")
+           .option("recursiveFileLookup", "true")
+           .load(root)
+           .select("path", "content"))
+    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _strip_scheme(root.rstrip("/")) + "/", "")
+    files = raw.select(rel.alias("rel"), F.col("content").cast("string").alias("text"),
+                       F.expr("is_valid_utf8(cast(content as string))").alias("ok"))
+    files = files.where("ok").select("rel", "text").unionByName(skipped_files(spark, root))
+    out = _split_repo(files, root, repo_level).withColumnRenamed("text", "content")
     return glob_filter(out.where(F.col("path") != ""), include, exclude)
 
 
@@ -82,18 +168,10 @@ def skipped_files(spark: SparkSession, root: str) -> DataFrame:
     lists one top-level folder recursively (``pyarrow.fs``, so local, HDFS
     and object stores work alike) and reads just the skipped files.
     """
-    import os
-
     from pyarrow import fs as pafs
 
-    def open_fs(uri):
-        if "://" in uri:
-            return pafs.FileSystem.from_uri(uri)
-        local = uri[len("file:"):] if uri.startswith("file:") else uri
-        return pafs.LocalFileSystem(), os.path.abspath(local)
-
     ship_package(spark)
-    filesystem, base = open_fs(root)
+    filesystem, base = _open_fs(root)
     tops = [i.path for i in filesystem.get_file_info(pafs.FileSelector(base, recursive=False))]
     if not tops:
         return spark.createDataFrame([], "rel string, text string")
@@ -102,7 +180,7 @@ def skipped_files(spark: SparkSession, root: str) -> DataFrame:
 
     def list_and_read(batches):
         import pandas as pd
-        fs2, base2 = open_fs(root)
+        fs2, base2 = _open_fs(root)
         for pdf in batches:
             rows = []
             for top in pdf["top"]:

@@ -7,7 +7,11 @@ from quarry.operators import coverage as CV
 from quarry.sources import corpus, reports
 
 
-def test_scan_includes_underscore_hidden_and_empty(spark, tmpdir_path):
+import pytest
+
+
+@pytest.mark.parametrize("method", ["listing", "binaryFile"])
+def test_scan_includes_underscore_hidden_and_empty(spark, tmpdir_path, method):
     write_tree(tmpdir_path, {
         "r1/pkg/__init__.py": "x = 1\n",
         "r1/pkg/_private.py": "y = 2\n",
@@ -19,7 +23,8 @@ def test_scan_includes_underscore_hidden_and_empty(spark, tmpdir_path):
         "r1/notes.txt": "text",
         "r2/b.py": "b = 1\n",
     })
-    got = {(r.repo, r.path): r.content for r in corpus.scan_corpus(spark, tmpdir_path).collect()}
+    got = {(r.repo, r.path): r.content
+           for r in corpus.scan_corpus(spark, tmpdir_path, method=method).collect()}
     assert got == {
         ("r1", "pkg/__init__.py"): "x = 1\n", ("r1", "pkg/_private.py"): "y = 2\n",
         ("r1", "_internal/mod.py"): "z = 3\n", ("r1", "empty.py"): "",
@@ -27,6 +32,12 @@ def test_scan_includes_underscore_hidden_and_empty(spark, tmpdir_path):
     }
 
 
+def test_list_tree_levels(spark, tmpdir_path):
+    write_tree(tmpdir_path, {f"r/{'/'.join('d%d' % i for i in range(k))}/f{k}.py": "" for k in range(6)})
+    got = {r.rel for r in corpus.list_tree(spark, tmpdir_path).collect()}
+    assert got == {f"r/{'/'.join('d%d' % i for i in range(k))}/f{k}.py".replace("//", "/") for k in range(6)}
+
+
 COV_XML = """<?xml version="1.0" ?>
 <coverage>
   <packages>
@@ -73,3 +84,16 @@ def test_write_report_json(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "rep")
     reports.write_report(df, out, "json")
     assert spark.read.json(out).count() == 1
+
+
+def test_coverage_report_from_xml(spark, tmpdir_path):
+    from conftest import write_tree
+    from quarry.plans import reports as R
+    root = os.path.join(tmpdir_path, "corpus")
+    write_tree(root, {"r/full.py": "a = 1\nb = 2\n", "r/part.py": "x = 1\n", "r/absent.py": "y = 1\n"})
+    xml = os.path.join(tmpdir_path, "coverage.xml")
+    with open(xml, "w") as f:
+        f.write(COV_XML)
+    rep = R.coverage_report(R.scan(spark, root), coverage_xml={"r": xml})
+    files = {r.path: (r.line_rate, r.priority) for r in rep["files"].collect()}
+    assert files == {"full.py": (1.0, "low"), "part.py": (0.5, "medium"), "absent.py": (0.0, "medium")}
