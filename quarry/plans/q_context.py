@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context as CX
+from ..session import cut_lineage
 from ..sources import corpus
 from . import sql_common as S
 from .q_patterns import SQL_FW, repo_fw
@@ -22,19 +23,22 @@ MAX_TOKENS = 2000
 
 
 def _analyzed(spark, d):
-    return CX.analyze_tasks(conversation_tasks(spark, d), repo_fw(spark, d), KEYWORDS)
+    """Task analysis, materialised once per query: it is one row per task
+    and every later stage (scoring, summaries, findings) reads it."""
+    return cut_lineage(CX.analyze_tasks(conversation_tasks(spark, d), repo_fw(spark, d), KEYWORDS))
 
 
-def _scored(spark, d):
-    return CX.relevance(_analyzed(spark, d), doc_files(spark, d), FOCUS, STRATEGY, KEYWORDS)
+def _scored(spark, d, analyzed=None):
+    a = analyzed if analyzed is not None else _analyzed(spark, d)
+    return CX.relevance(a, doc_files(spark, d), FOCUS, STRATEGY, KEYWORDS)
 
 
 def _modules(spark, d):
     return corpus.modules_from_files(doc_files(spark, d))
 
 
-def _selected(spark, d):
-    return CX.budget_cut(_scored(spark, d), _modules(spark, d), MAX_TOKENS)
+def _selected(spark, d, analyzed=None):
+    return CX.budget_cut(_scored(spark, d, analyzed), _modules(spark, d), MAX_TOKENS)
 
 
 def _kw_sql():
@@ -177,5 +181,5 @@ UNION ALL SELECT task_id, 'context', 8, 'ok', CAST(NULL AS DOUBLE), CAST(NULL AS
 WHERE task_id NOT IN (SELECT task_id FROM fired)""")
 def q_findings_context(spark, d):
     a = _analyzed(spark, d)
-    summ = CX.budget_summary(conversation_tasks(spark, d), _selected(spark, d), MAX_TOKENS)
+    summ = CX.budget_summary(conversation_tasks(spark, d), _selected(spark, d, a), MAX_TOKENS)
     return CX.findings_context(a, summ)

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..session import cut_lineage
 from . import sql_common as S
 from .registry import register
 from .tables import succession_edges, supplier_id, supplier_nodes, supplier_region, table
@@ -17,12 +18,18 @@ CYCLE_MAX = 3
 HOPS = 2
 
 
-def _deg(spark, d):
-    return G.degrees(supplier_nodes(spark, d), succession_edges(spark, d))
+def _edges(spark, d):
+    """The succession edges, materialised once per query (several branches
+    read them: degrees, cycles, summaries)."""
+    return cut_lineage(succession_edges(spark, d))
 
 
-def _cycles(spark, d):
-    return G.simple_cycles(succession_edges(spark, d), CYCLE_MAX)
+def _deg(spark, d, edges=None):
+    return G.degrees(supplier_nodes(spark, d), edges if edges is not None else _edges(spark, d))
+
+
+def _cycles(spark, d, edges=None):
+    return G.simple_cycles(edges if edges is not None else _edges(spark, d), CYCLE_MAX)
 
 
 def supplier_files(spark, d):
@@ -118,8 +125,8 @@ def q_simple_cycles(spark, d):
 
 @register("graph_summary", "WITH " + SQL_DEG + "\nSELECT * FROM gsum")
 def q_graph_summary(spark, d):
-    e = succession_edges(spark, d)
-    return G.graph_summary(_deg(spark, d), e, _cycles(spark, d))
+    e = _edges(spark, d)
+    return G.graph_summary(_deg(spark, d, e), e, _cycles(spark, d, e))
 
 
 @register("findings_deps", "WITH " + SQL_DEG + r""",
@@ -136,8 +143,9 @@ fired AS (
 SELECT repo, 'deps' AS area, rule_ord, rule, value, threshold FROM fired
 UNION ALL SELECT repo, 'deps', 3, 'ok', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM j WHERE repo NOT IN (SELECT repo FROM fired)""")
 def q_findings_deps(spark, d):
-    deg = _deg(spark, d)
-    summ = G.graph_summary(deg, succession_edges(spark, d), _cycles(spark, d))
+    e = _edges(spark, d)
+    deg = _deg(spark, d, e)
+    summ = G.graph_summary(deg, e, _cycles(spark, d, e))
     return G.findings_deps(summ, G.graph_metrics(deg), G.hotspots(deg, HUB_IN, BOTTLENECK_OUT))
 
 
@@ -160,7 +168,7 @@ kept AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)
 def _khop(spark, d):
     nodes = supplier_nodes(spark, d)
     foci = nodes.groupBy("repo").agg(F.min("id").alias("focus"))
-    return G.k_hop(nodes, succession_edges(spark, d), foci, HOPS)
+    return G.k_hop(nodes, _edges(spark, d), foci, HOPS)
 
 
 @register("k_hop", "WITH " + SQL_KHOP + "\nSELECT repo, id, hop FROM kept")
