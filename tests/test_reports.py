@@ -151,3 +151,14 @@ def test_context(corpus, spark):
     assert sel == ["pkg/__init__.py", "pkg/broken.py"]  # models.py (164 tokens) overflows
     b = {r.task_id: (r.used, r.remaining) for r in rep["budget"].collect()}
     assert b == {1: (16, 84), 2: (0, 100)}
+
+
+def test_cli_writes_every_section(spark, tmpdir_path):
+    import os
+    import tempfile
+    from quarry.cli import run
+    root = write_tree(tempfile.mkdtemp(prefix="quarry-cli-"), TREE)
+    out = os.path.join(tmpdir_path, "conv")
+    rep = run(["conventions", root, "--out", out])
+    assert sorted(os.listdir(out)) == sorted(rep)
+    assert spark.read.json(os.path.join(out, "counts")).count() == 2
