@@ -25,6 +25,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--include", action="append", help="include glob (Path.glob dialect)")
     p.add_argument("--exclude", action="append", help="exclude glob (fnmatch dialect)")
     p.add_argument("--facts", help="folder to write the facts table to once")
+    p.add_argument("--files", help="folder to write the scanned files table to once")
     p.add_argument("--master", help="Spark master (default: from spark-submit)")
     # report options
     p.add_argument("--depth", default="detailed")
@@ -54,7 +55,8 @@ def run(argv: list[str] | None = None) -> dict:
     from .sources.reports import write_report
 
     spark = get_spark("quarry-" + args.report, master=args.master)
-    corpus = R.scan(spark, args.root, args.include, args.exclude, args.repo_level, args.facts)
+    corpus = R.scan(spark, args.root, args.include, args.exclude, args.repo_level, args.facts,
+                    files_path=args.files)
     if args.report == "arch":
         rep = R.arch_report(corpus, args.depth, args.min_complexity, args.max_detailed_files)
     elif args.report == "deps":

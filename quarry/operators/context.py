@@ -182,7 +182,10 @@ def pack_files(selected: DataFrame, files: DataFrame, n: int = 20, content_min:
     want = F.col("score10") >= int(round(content_min * 10))
     if not include_content:
         return r.withColumn("content", F.lit(None).cast("string"))
-    c = files.select("repo", "path", "content")
+    # Inner join first (the bounded pack is the side AQE can broadcast, so
+    # the contents are not shuffled), then attach to the pack.
+    keys = r.where(want).select("repo", "path").distinct()
+    c = files.select("repo", "path", "content").join(keys, ["repo", "path"])
     return (r.join(c, ["repo", "path"], "left")
             .withColumn("content", F.when(want, F.col("content"))))
 

@@ -38,23 +38,39 @@ class Corpus:
     def parsed(self) -> DataFrame:
         return self.tables["modules"].where("parse_ok")
 
-    def parsed_files(self) -> DataFrame:
-        return self.files.join(self.parsed.select("repo", "path"), ["repo", "path"], "left_semi")
+    def parsed_keys(self) -> DataFrame:
+        return self.parsed.select("repo", "path")
 
     def lines(self) -> DataFrame:
-        return corpus.line_table(self.parsed_files())
+        """Lines of every file. Line rules run on all of them and only their
+        (small) hits are restricted to parsed files, so file contents are
+        never shuffled for a join."""
+        return corpus.line_table(self.files)
 
+    def only_parsed(self, hits: DataFrame) -> DataFrame:
+        return hits.join(self.parsed_keys(), ["repo", "path"], "left_semi")
 
-def load_corpus(spark: SparkSession, files: DataFrame, facts_path: str | None = None) -> Corpus:
+
+def load_corpus(spark: SparkSession, files: DataFrame, facts_path: str | None = None,
+                dedupe: bool = False, files_path: str | None = None) -> Corpus:
     """Run the facts job once over ``files``; with ``facts_path`` the facts
-    are written there (partitioned by kind) and every report reads them."""
-    files = corpus.dedupe_sorted(files).drop("path_key")
+    are written there (partitioned by kind) and every report reads them.
+
+    A scan yields each path once (globs are one predicate), so no
+    de-duplication shuffle is needed; ``dedupe`` is for tables that may hold
+    repeated ``(repo, path)`` rows."""
+    if dedupe:
+        files = corpus.dedupe_sorted(files).drop("path_key")
+    if files_path:  # one columnar copy: later reads avoid re-opening many small files
+        files.write.mode("overwrite").parquet(files_path)
+        files = spark.read.parquet(files_path)
     return Corpus(files, FX.facts_from_files(spark, files, facts_path))
 
 
 def scan(spark: SparkSession, root: str, include=None, exclude=None, repo_level: int = 1,
-         facts_path: str | None = None) -> Corpus:
-    return load_corpus(spark, corpus.scan_corpus(spark, root, include, exclude, repo_level), facts_path)
+         facts_path: str | None = None, files_path: str | None = None) -> Corpus:
+    return load_corpus(spark, corpus.scan_corpus(spark, root, include, exclude, repo_level),
+                       facts_path, files_path=files_path)
 
 
 def frameworks(c: Corpus) -> DataFrame:
@@ -116,8 +132,7 @@ def deps_report(c: Corpus, focus: str | None = None, depth: int = 5, detect_circ
 def patterns_report(c: Corpus, pattern_types: list[str] | None = None) -> dict[str, DataFrame]:
     t = c.tables
     rf = FW.all_repos_frameworks(c.files, FW.repo_frameworks(FW.match_prefix_dict(t["imports"])))
-    lines = c.lines()
-    line_hits = P.detect_lines(lines, [P.DATAFRAME, P.ARRAY, P.VISUALIZATION])
+    line_hits = c.only_parsed(P.detect_lines(c.lines(), [P.DATAFRAME, P.ARRAY, P.VISUALIZATION]))
     requires = {"dataframe": P.DATAFRAME.requires, "array": P.ARRAY.requires,
                 "visualization": P.VISUALIZATION.requires, "pipeline": P.ML_REQUIRES,
                 "model": P.ML_REQUIRES}
@@ -162,7 +177,7 @@ def conventions_report(c: Corpus, severity: str = "warning", autodetect: bool =
     v_all = C.violations(
         C.rule_function_name(t["functions"]), C.rule_class_name(t["classes"]),
         C.rule_constant_name(t["constants"]), C.rule_import_grouping(t["imports"]),
-        C.rule_line_length(c.lines(), max_line_length),
+        c.only_parsed(C.rule_line_length(c.lines(), max_line_length)),
         C.rule_docstrings(c.parsed, t["classes"], t["functions"]),
         C.rule_return_hint(t["functions"], type_hints_required))
     shown = C.severity_filter(v_all, severity)
@@ -187,9 +202,11 @@ def context_report(c: Corpus, tasks: DataFrame, max_tokens: int = 50000,
     scored = CX.relevance(analyzed, c.files, focus_areas, strategy)
     selected = CX.budget_cut(scored, corpus.modules_from_files(c.files), max_tokens)
     summary = CX.budget_summary(tasks, selected, max_tokens)
-    summaries = module_summaries(c).withColumnRenamed("n_lines", "summary_lines")
-    pack = (CX.pack_files(selected, c.files, 20, 0.7, include_files)
-            .join(summaries, ["repo", "path"], "left"))  # null summary: file does not parse
+    pack = CX.pack_files(selected, c.files, 20, 0.7, include_files)
+    keys = pack.select("repo", "path").distinct()
+    summaries = (module_summaries(c).join(keys, ["repo", "path"])   # bounded side broadcastable
+                 .withColumnRenamed("n_lines", "summary_lines"))
+    pack = pack.join(summaries, ["repo", "path"], "left")  # null summary: file does not parse
     return {"tasks": analyzed, "selected": selected, "budget": summary, "files": pack,
             "layers": CX.selected_layers(tasks, selected),
             "findings": CX.findings_context(analyzed, summary)}

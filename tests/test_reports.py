@@ -162,3 +162,14 @@ def test_cli_writes_every_section(spark, tmpdir_path):
     rep = run(["conventions", root, "--out", out])
     assert sorted(os.listdir(out)) == sorted(rep)
     assert spark.read.json(os.path.join(out, "counts")).count() == 2
+
+
+def test_materialized_corpus_same_results(spark, tmpdir_path):
+    import os
+    import tempfile
+    root = write_tree(tempfile.mkdtemp(prefix="quarry-mat-"), TREE)
+    c = R.scan(spark, root, facts_path=os.path.join(tmpdir_path, "facts"),
+               files_path=os.path.join(tmpdir_path, "files"))
+    s = {r.repo: (r.n_modules, r.n_classes, r.n_functions) for r in R.arch_report(c)["structure"].collect()}
+    assert s["repoA"] == (4, 3, 3)
+    assert os.path.isdir(os.path.join(tmpdir_path, "facts", "kind=module"))
