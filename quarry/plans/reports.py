@@ -33,6 +33,7 @@ COVERAGE_EXCLUDE = ["**/test_*.py", "**/*_test.py"]
 class Corpus:
     files: DataFrame                      # repo, path, content (scanned, globbed)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    all_paths: DataFrame | None = None    # repo, path of every file on disk (no globs)
 
     @property
     def parsed(self) -> DataFrame:
@@ -69,8 +70,13 @@ def load_corpus(spark: SparkSession, files: DataFrame, facts_path: str | None =
 
 def scan(spark: SparkSession, root: str, include=None, exclude=None, repo_level: int = 1,
          facts_path: str | None = None, files_path: str | None = None) -> Corpus:
-    return load_corpus(spark, corpus.scan_corpus(spark, root, include, exclude, repo_level),
-                       facts_path, files_path=files_path)
+    """List once, keep every path (import existence is checked against the
+    whole tree, as on disk) and read the files that pass the globs."""
+    paths = corpus.list_paths(spark, root, repo_level)
+    files = corpus.read_listed(spark, root, paths, include, exclude)
+    c = load_corpus(spark, files, facts_path, files_path=files_path)
+    c.all_paths = paths.select("repo", "path")
+    return c
 
 
 def frameworks(c: Corpus) -> DataFrame:
@@ -111,7 +117,7 @@ def arch_report(c: Corpus, depth: str = "detailed", min_complexity: int = 0,
 def deps_report(c: Corpus, focus: str | None = None, depth: int = 5, detect_circular: bool = True,
                 max_cycle_len: int = 5, hub_in: int = 5, bottleneck_out: int = 10) -> dict[str, DataFrame]:
     t = c.tables
-    local = G.local_imports(t["imports"], c.files)
+    local = G.local_imports(t["imports"], c.all_paths if c.all_paths is not None else c.files)
     parsed = c.parsed.select("repo", "path")
     edges = G.build_edges(local, parsed, guard_files=c.files)
     nodes = G.graph_nodes(parsed, edges)

@@ -46,9 +46,19 @@ def scan_corpus(spark: SparkSession, root: str, include=None, exclude=None,
     """
     if method == "binaryFile":
         return _scan_binary_file(spark, root, include, exclude, repo_level)
-    listed = list_tree(spark, root)
-    files = _split_repo(listed, root, repo_level).where(F.col("path") != "")
-    files = glob_filter(files, include, exclude)
+    return read_listed(spark, root, list_paths(spark, root, repo_level), include, exclude)
+
+
+def list_paths(spark: SparkSession, root: str, repo_level: int = 1) -> DataFrame:
+    """Every file below ``root`` as ``(repo, path, abs, size)`` (no content)."""
+    return _split_repo(list_tree(spark, root), root, repo_level).where(F.col("path") != "")
+
+
+def read_listed(spark: SparkSession, root: str, paths: DataFrame, include=None,
+                exclude=None) -> DataFrame:
+    """Contents of the listed files that pass the globs, read in tasks
+    balanced by a hash of the path."""
+    files = glob_filter(paths, include, exclude)
     n = max(1, spark.sparkContext.defaultParallelism * 2)
     ship_package(spark)
     to_read = files.select("repo", "path", "abs").repartition(n, F.xxhash64("repo", "path"))

@@ -173,3 +173,15 @@ def test_materialized_corpus_same_results(spark, tmpdir_path):
     s = {r.repo: (r.n_modules, r.n_classes, r.n_functions) for r in R.arch_report(c)["structure"].collect()}
     assert s["repoA"] == (4, 3, 3)
     assert os.path.isdir(os.path.join(tmpdir_path, "facts", "kind=module"))
+
+
+def test_import_existence_checks_whole_tree(spark):
+    import tempfile
+    # b.py lives under an excluded folder: not scanned, but it exists, so the
+    # import is local; the edge guard passes because the scanned bu.py's
+    # module name is a character prefix of build.b
+    root = write_tree(tempfile.mkdtemp(prefix="quarry-exist-"),
+                      {"r/a.py": "import build.b\n", "r/bu.py": "", "r/build/b.py": "x = 1\n"})
+    c = R.scan(spark, root, exclude=["build/**"])
+    e = {(x.src, x.dst) for x in R.deps_report(c)["edges"].collect()}
+    assert e == {("a", "build.b")}
