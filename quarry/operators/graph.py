@@ -161,6 +161,8 @@ def simple_cycles(edges: DataFrame, max_len: int = 5, checkpoint: bool = True) -
     for k in range(2, max_len + 1):
         if checkpoint:
             frontier = cut_lineage(frontier)
+            if frontier.isEmpty():  # no open path left: longer cycles cannot exist
+                break
         closing = (frontier.join(step.select("repo", F.col("src").alias("last"), F.col("dst").alias("start")),
                                  ["repo", "last", "start"], "left_semi")
                    .select("repo", "nodes"))
@@ -208,6 +210,8 @@ def k_hop(nodes: DataFrame, edges: DataFrame, foci: DataFrame, depth: int = 5,
                .withColumn("hop", F.lit(h)))
         if checkpoint:
             nxt = cut_lineage(nxt)
+            if nxt.isEmpty():  # checkpointed: a cheap look, and no more rounds
+                break
         visited = visited.unionByName(nxt)
         frontier = nxt
     found = visited.select("repo").distinct()
