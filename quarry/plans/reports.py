@@ -23,6 +23,7 @@ from ..operators import frameworks as FW
 from ..operators import graph as G
 from ..operators import patterns as P
 from ..sources import corpus
+from ..session import cut_lineage
 from . import facts as FX
 
 # Default excludes of the coverage report (fnmatch dialect).
@@ -119,14 +120,15 @@ def deps_report(c: Corpus, focus: str | None = None, depth: int = 5, detect_circ
     t = c.tables
     local = G.local_imports(t["imports"], c.all_paths if c.all_paths is not None else c.files)
     parsed = c.parsed.select("repo", "path")
-    edges = G.build_edges(local, parsed, guard_files=c.files)
-    nodes = G.graph_nodes(parsed, edges)
+    # the graph is read by every section: materialise it once
+    edges = cut_lineage(G.build_edges(local, parsed, guard_files=c.files))
+    nodes = cut_lineage(G.graph_nodes(parsed, edges))
     if focus:
         foci = nodes.select("repo").distinct().withColumn("focus", F.lit(focus))
         kept, edges = G.k_hop(nodes, edges, foci, depth)
         nodes = nodes.join(kept.select("repo", "id"), ["repo", "id"], "left_semi")
-    deg = G.degrees(nodes, edges)
-    cycles = G.simple_cycles(edges, max_cycle_len) if detect_circular else \
+    deg = cut_lineage(G.degrees(nodes, edges))
+    cycles = cut_lineage(G.simple_cycles(edges, max_cycle_len)) if detect_circular else \
         edges.sparkSession.createDataFrame([], "repo string, cycle string, nodes array<string>, length int, severity string")
     metrics = G.graph_metrics(deg)
     hot = G.hotspots(deg, hub_in, bottleneck_out)
