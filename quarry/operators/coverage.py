@@ -43,13 +43,19 @@ def resolve_last_wins(coverage: DataFrame) -> DataFrame:
 
 
 def coverage_per_file(coverage: DataFrame) -> DataFrame:
-    """G1: lines total / covered (hits != 0), uncovered line numbers in
-    order, and the line rate (as reported if given, else covered/total)."""
+    """G1: lines total / covered, uncovered line numbers in order, and the
+    line rate (as reported if given, else covered/total).
+
+    Optional columns of the XML source are honoured: ``has_line`` (a class
+    without lines still yields its file) and ``covered`` (else hits != 0).
+    """
     cov = resolve_last_wins(coverage)
     has_rate = "line_rate" in cov.columns
-    aggs = [F.count("line_no").alias("lines_total"),
-            F.count_if(F.col("hits") != 0).alias("lines_covered"),
-            F.array_sort(F.collect_list(F.when(F.col("hits") == 0, F.col("line_no")))).alias("uncovered_lines")]
+    is_line = F.col("has_line") if "has_line" in cov.columns else F.lit(True)
+    covered = F.col("covered") if "covered" in cov.columns else (F.col("hits") != 0)
+    aggs = [F.count_if(is_line).alias("lines_total"),
+            F.count_if(is_line & covered).alias("lines_covered"),
+            F.array_sort(F.collect_list(F.when(is_line & ~covered, F.col("line_no")))).alias("uncovered_lines")]
     if has_rate:
         aggs.append(F.max("line_rate").alias("reported_rate"))
     g = cov.groupBy("repo", "filename").agg(*aggs)

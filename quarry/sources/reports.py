@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def scan_coverage_xml(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
     """Line records of Cobertura-style coverage XML files.
 
-    Returns ``coverage(repo, filename, line_rate, line_no, hits, doc_pos)``:
-    one row per ``class/lines/line`` element; ``line_rate`` is the class's
-    ``line-rate`` attribute as given. ``doc_pos`` orders class elements by
+    Returns ``coverage(repo, filename, line_rate, has_line, line_no, hits,
+    covered, doc_pos)``: one row per ``class/lines/line`` element (a missing
+    number reads as 0; covered means the hits text is not "0"); a class
+    without lines keeps one row with ``has_line = false``; ``line_rate`` is
+    the class's ``line-rate`` attribute as given. ``doc_pos`` orders class elements by
     (file, position) so a repeated filename can be resolved "last wins".
     Unreadable input yields an empty table, not an error.
     """
@@ -22,7 +24,8 @@ def scan_coverage_xml(spark: SparkSession, path: str, repo: str | None = None) -
                .option("mode", "DROPMALFORMED").schema(schema).load(path))
     except Exception:  # missing path: the original tool returns no coverage
         return spark.createDataFrame(
-            [], "repo string, filename string, line_rate double, line_no int, hits long, doc_pos long")
+            [], "repo string, filename string, line_rate double, has_line boolean, line_no int, "
+                "hits long, covered boolean, doc_pos long")
     cls = raw.select(
         F.coalesce(F.lit(repo), F.input_file_name()).alias("repo"),
         F.col("_filename").alias("filename"),
@@ -30,13 +33,17 @@ def scan_coverage_xml(spark: SparkSession, path: str, repo: str | None = None) -
         F.col("lines.line").alias("ls"),
         F.monotonically_increasing_id().alias("doc_pos"),
     )
+    hits = F.coalesce(F.col("l._hits"), F.lit("0"))
     return cls.select(
         "repo", "filename", "line_rate", "doc_pos",
         F.explode_outer("ls").alias("l"),
     ).select(
         "repo", "filename", "line_rate",
-        F.col("l._number").cast("int").alias("line_no"),
-        F.coalesce(F.col("l._hits").cast("long"), F.lit(0)).alias("hits"),
+        # a class without lines keeps one row with has_line = false
+        F.col("l").isNotNull().alias("has_line"),
+        F.coalesce(F.col("l._number").cast("int"), F.lit(0)).alias("line_no"),
+        F.coalesce(hits.cast("long"), F.lit(0)).alias("hits"),
+        (hits != "0").alias("covered"),          # string test, as the report format is read
         "doc_pos",
     )
 

@@ -51,6 +51,8 @@ COV_XML = """<?xml version="1.0" ?>
           <line number="1" hits="0"/></lines></class>
         <class filename="dup.py" line-rate="0.1"><lines><line number="1" hits="0"/></lines></class>
         <class filename="dup.py" line-rate="0.9"><lines><line number="1" hits="5"/><line number="2" hits="0"/></lines></class>
+        <class filename="nolines.py" line-rate="1.0"><lines></lines></class>
+        <class filename="odd.py" line-rate="0.5"><lines><line hits="00"/><line number="7"/></lines></class>
       </classes>
     </package>
   </packages>
@@ -67,6 +69,9 @@ def test_coverage_xml(spark, tmpdir_path):
     assert (per["full.py"].lines_covered, per["full.py"].lines_total, per["full.py"].line_rate) == (2, 2, 1.0)
     assert list(per["part.py"].uncovered_lines) == [4, 9] and per["part.py"].line_rate == 0.5
     assert per["zero.py"].lines_covered == 0 and per["zero.py"].lines_total == 1
+    assert (per["nolines.py"].lines_total, per["nolines.py"].line_rate) == (0, 1.0)
+    # no number reads as 0; hits "00" is not the text "0", so it counts as covered
+    assert (per["odd.py"].lines_total, per["odd.py"].lines_covered, list(per["odd.py"].uncovered_lines)) == (2, 1, [7])
     # repeated filename: the last class element wins (rate taken as reported)
     assert (per["dup.py"].lines_total, per["dup.py"].line_rate, list(per["dup.py"].uncovered_lines)) == (2, 0.9, [2])
     files = spark.createDataFrame([("r", "full.py"), ("r", "absent.py")], "repo string, path string")
