@@ -166,3 +166,10 @@ def q_class_edges(spark, d):
     classes = p.select("repo", "path", F.col("path").alias("name"),
                        F.regexp_extract_all("content", F.lit(r'href="([^"]*)"'), F.lit(1)).alias("bases"))
     return A.class_edges(classes)
+
+
+@register("top_files_all", "WITH " + SQL_BASE + r"""
+SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY complexity DESC, """ + S.pkey("path") + r""") AS INTEGER) AS rank
+FROM metrics""")
+def q_top_files_all(spark, d):
+    return A.top_files(_metrics(spark, d), 0)

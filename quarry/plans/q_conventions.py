@@ -236,3 +236,14 @@ WHERE l.doc_id IS NULL AND NOT starts_with(regexp_extract(d.text, '^\p{L}+'), '_
 def q_rule_return_hint(spark, d):
     from .tables import doc_functions
     return C.rule_return_hint(doc_functions(spark, d), required=True).select(*OUT)
+
+
+@register("severity_filter_info", "WITH " + SQL_DOC_VIOLATIONS + r"""
+SELECT repo, path, line, category, severity, rule, actual, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY """ + S.pkey("path") + r""",
+         cat_ord, rule_ord, line NULLS FIRST, actual) AS INTEGER) AS rank
+  FROM v_all
+) WHERE rank <= 100""")
+def q_severity_filter_info(spark, d):
+    v = C.severity_filter(doc_violations(spark, d), "info")
+    return C.first_violations(v, 100).select(*OUT, "rank")

@@ -237,3 +237,34 @@ FROM documents""")
 def q_classify_path(spark, d):
     docs = table(spark, d, "documents")
     return docs.select(F.col("source").alias("repo"), "doc_id", G.classify_path("text").alias("type"))
+
+
+@register("simple_cycles_4", "WITH " + SQL_DEG + r""",
+cyc4 AS (
+  SELECT * FROM cyc
+  UNION ALL
+  SELECT a.repo, [a.src, a.dst, b.dst, c.dst] FROM e1 a
+  JOIN e1 b ON a.repo = b.repo AND a.dst = b.src
+  JOIN e1 c ON b.repo = c.repo AND b.dst = c.src
+  JOIN e1 x ON c.repo = x.repo AND c.dst = x.src AND x.dst = a.src
+  WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst
+    AND a.dst <> b.dst AND a.dst <> c.dst AND b.dst <> c.dst
+)
+SELECT repo, array_to_string(list_concat(nodes, [nodes[1]]), ' -> ') AS cycle,
+       CAST(len(nodes) AS INTEGER) AS length,
+       CASE WHEN len(nodes) <= 3 THEN 'critical' ELSE 'warning' END AS severity
+FROM cyc4""")
+def q_simple_cycles_4(spark, d):
+    return G.simple_cycles(_edges(spark, d), 4).drop("nodes")
+
+
+@register("k_hop_3", "WITH " + SQL_KHOP + r""",
+h3 AS (
+  SELECT DISTINCT u.repo, u.nb AS id, 3 AS hop FROM h2 JOIN und u ON h2.repo = u.repo AND h2.id = u.id
+  WHERE NOT EXISTS (SELECT 1 FROM kept x WHERE x.repo = u.repo AND x.id = u.nb)
+)
+SELECT repo, id, hop FROM kept UNION ALL SELECT repo, id, hop FROM h3""")
+def q_k_hop_3(spark, d):
+    nodes = supplier_nodes(spark, d)
+    foci = nodes.groupBy("repo").agg(F.min("id").alias("focus"))
+    return G.k_hop(nodes, _edges(spark, d), foci, 3)[0]
