@@ -33,3 +33,17 @@ def con():
 def test_oracle_sf0001(spark, con, name):
     ok, msg = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql()[name])
     assert ok, msg
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_oracle_types_sf0001(spark, con, name):
+    df = E.queries()[name](spark, SF)
+    rel = con.sql(E.oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
