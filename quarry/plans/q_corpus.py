@@ -6,10 +6,8 @@ for the line table.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import architecture as A
 from ..sources import corpus
 from . import sql_common as S

@@ -1,6 +1,5 @@
 """Edge cases of single rules, with expectations from the semantics."""
 
-from pyspark.sql import functions as F
 
 from quarry.operators import conventions as C
 from quarry.operators import patterns as P
