@@ -48,3 +48,21 @@ def test_coverage_default_excludes_quirk(spark, tmpdir_path):
     files = {r.path for r in R.coverage_report(c)["files"].collect()}
     # fnmatch needs a '/' before test_, so a top-level test file is kept
     assert files == {"test_top.py", "pkg/m.py"}
+
+
+@need_tables
+def test_gap_ranks_are_sorted(spark):
+    from quarry.operators import coverage as CV
+    from quarry.plans import q_coverage as QCOV
+    ranked = CV.gap_rank(QCOV._gaps(spark, SF), 50, 10).collect()
+    by_repo = {}
+    for r in ranked:
+        by_repo.setdefault(r.repo, []).append(r)
+    order = CV.PRIORITY_ORDER
+    for rows in by_repo.values():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+        keys = [(order[r.priority], -r.complexity) for r in rows]
+        assert keys == sorted(keys)
+        crit = [r for r in rows if r.in_critical_list]
+        assert len(crit) <= 10 and all(r.priority == "critical" for r in crit)
