@@ -30,11 +30,11 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return (1, "nan")
-        return (1, f"{v:.9g}")
+        return (1, repr(v))
     if isinstance(v, bool):
         return (2, str(int(v)))
     if isinstance(v, int):
-        return (1, f"{float(v):.9g}")
+        return (1, repr(float(v)))
     if isinstance(v, (list, tuple)):
         return (3, str([_norm(x) for x in v]))
     if isinstance(v, dict):
