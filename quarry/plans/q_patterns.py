@@ -262,3 +262,35 @@ SELECT repo, path, line, 'context_manager', CAST(NULL AS VARCHAR), 'open' FROM s
 def q_syntax_patterns(spark, d):
     from .tables import event_syntax, nation_frameworks
     return P.syntax_patterns(event_syntax(spark, d), nation_frameworks(spark, d))
+
+
+SQL_FW_DEFAULT = S.DOC_WORDS + r""",
+fw_dict(framework, token) AS (VALUES """ + _values(
+    [(k, t) for k, ts in FW.FRAMEWORK_PREFIXES.items() for t in ts]) + r"""),
+file_fw AS (
+  SELECT DISTINCT w.repo, w.path, d.framework
+  FROM doc_words w JOIN fw_dict d ON starts_with(w.name, d.token)
+),
+repo_fw AS (
+  SELECT r.repo, coalesce(list_sort(f.fws), []) AS frameworks FROM (SELECT DISTINCT repo FROM doc_files) r
+  LEFT JOIN (SELECT repo, list(DISTINCT framework) AS fws FROM file_fw GROUP BY repo) f ON r.repo = f.repo
+)"""
+
+
+def _default_fw(spark, d):
+    imports = doc_words(spark, d).select("repo", "path", F.col("name").alias("module"))
+    ff = FW.match_prefix_dict(imports)  # the fixed 14-framework dictionary
+    return ff, FW.all_repos_frameworks(doc_files(spark, d), FW.repo_frameworks(ff))
+
+
+@register("prefix_dict_default", "WITH " + SQL_FW_DEFAULT + "\nSELECT repo, path, framework FROM file_fw")
+def q_prefix_dict_default(spark, d):
+    return _default_fw(spark, d)[0]
+
+
+@register("classify_default", "WITH " + SQL_FW_DEFAULT + f"""
+SELECT repo, array_to_string(frameworks, ',') AS frameworks, {PROJECT_TYPE_SQL} AS project_type FROM repo_fw""")
+def q_classify_default(spark, d):
+    rf = _default_fw(spark, d)[1]
+    return (rf.join(FW.classify_by_precedence(rf), "repo")
+            .select("repo", F.array_join("frameworks", ",").alias("frameworks"), "project_type"))
