@@ -41,25 +41,28 @@ def _selected(spark, d, analyzed=None):
     return CX.budget_cut(_scored(spark, d, analyzed), _modules(spark, d), MAX_TOKENS)
 
 
-def _kw_sql():
-    return "[" + ", ".join(f"'{w}'" for w in KEYWORDS) + "]"
+def _kw_sql(keywords=None):
+    return "[" + ", ".join(f"'{w}'" for w in (keywords or KEYWORDS)) + "]"
 
 
-def _score_sql():
-    terms = ["CASE WHEN " + " OR ".join(f"contains(f.path, '{a}')" for a in FOCUS) + " THEN 10 ELSE 0 END"]
-    for w in KEYWORDS:
+def _score_sql(keywords=None, focus=None, strategy=None):
+    keywords, focus, strategy = keywords or KEYWORDS, focus or FOCUS, strategy or STRATEGY
+    terms = ["CASE WHEN " + " OR ".join(f"contains(f.path, '{a}')" for a in focus) + " THEN 10 ELSE 0 END"]
+    for w in keywords:
         terms.append(f"CASE WHEN list_contains(t.keywords, '{w}') AND (contains(lower(f.path), '{w.replace(' ', '_')}') "
                      f"OR contains(lower(f.path), '{w.replace(' ', '')}')) THEN 5 ELSE 0 END")
     for name, _, toks in CX.DOMAINS:
         cond = " OR ".join(f"contains(lower(f.path), '{x}')" for x in toks)
         terms.append(f"CASE WHEN list_contains(t.concepts, '{name}') AND ({cond}) THEN 3 ELSE 0 END")
-    toks, inc = CX.STRATEGY[STRATEGY]
+    toks, inc = CX.STRATEGY[strategy]
     terms.append("CASE WHEN " + " OR ".join(f"contains(lower(f.path), '{x}')" for x in toks) + f" THEN {inc} ELSE 0 END")
     terms.append("CASE WHEN " + " OR ".join(f"contains(lower(f.path), '{x}')" for x in CX.CORE_TOKENS) + " THEN 1 ELSE 0 END")
     return "least(10, " + " + ".join(terms) + ")"
 
 
-SQL_CTX = SQL_FW + ",\n" + S.DOC_MODULES.replace(S.DOC_FILES + ",", "") + r""",
+def _sql_ctx(keywords=None, focus=None, strategy=None, max_tokens=None):
+    max_tokens = max_tokens or MAX_TOKENS
+    return SQL_FW + ",\n" + S.DOC_MODULES.replace(S.DOC_FILES + ",", "") + r""",
 conv_tasks AS (
   SELECT conv_id AS task_id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS repo, text FROM (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'
@@ -71,7 +74,7 @@ analyzed AS (
          WHEN contains(lower(c.text), 'refactor') OR contains(lower(c.text), 'improve') OR contains(lower(c.text), 'optimize') THEN 'refactoring'
          WHEN contains(lower(c.text), 'test') OR contains(lower(c.text), 'coverage') THEN 'testing'
          ELSE 'feature' END AS task_type,
-    list_sort(list_distinct(list_filter(""" + _kw_sql() + r""", lambda w: contains(lower(c.text), w)))) AS keywords,
+    list_sort(list_distinct(list_filter(""" + _kw_sql(keywords) + r""", lambda w: contains(lower(c.text), w)))) AS keywords,
     list_filter([
       CASE WHEN list_contains(r.frameworks, 'pandas') OR list_contains(r.frameworks, 'numpy') THEN 'data-analysis' END,
       CASE WHEN list_contains(r.frameworks, 'sklearn') THEN 'machine-learning' END,
@@ -82,7 +85,7 @@ analyzed AS (
 ),
 scored AS (
   SELECT * FROM (
-    SELECT t.task_id, t.repo, f.path, CAST(""" + _score_sql() + r""" AS INTEGER) AS score10
+    SELECT t.task_id, t.repo, f.path, CAST(""" + _score_sql(keywords, focus, strategy) + r""" AS INTEGER) AS score10
     FROM analyzed t JOIN doc_files f ON t.repo = f.repo
   ) WHERE score10 > 0
 ),
@@ -93,15 +96,18 @@ ranked AS (
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_tokens
   FROM scored s JOIN doc_modules m ON s.repo = m.repo AND s.path = m.path
 ),
-selected AS (SELECT * FROM ranked WHERE running_tokens <= """ + str(MAX_TOKENS) + r"""),
+selected AS (SELECT * FROM ranked WHERE running_tokens <= """ + str(max_tokens) + r"""),
 bsum AS (
-  SELECT t.task_id, CAST(""" + str(MAX_TOKENS) + r""" AS BIGINT) AS max_tokens, CAST(coalesce(u.used, 0) AS BIGINT) AS used,
-         CAST(""" + str(MAX_TOKENS) + r""" - coalesce(u.used, 0) AS BIGINT) AS remaining, coalesce(u.n_selected, 0) AS n_selected
+  SELECT t.task_id, CAST(""" + str(max_tokens) + r""" AS BIGINT) AS max_tokens, CAST(coalesce(u.used, 0) AS BIGINT) AS used,
+         CAST(""" + str(max_tokens) + r""" - coalesce(u.used, 0) AS BIGINT) AS remaining, coalesce(u.n_selected, 0) AS n_selected
   FROM conv_tasks t LEFT JOIN (SELECT task_id, sum(est_tokens) AS used, count(*) AS n_selected FROM selected GROUP BY task_id) u
     ON t.task_id = u.task_id
 )"""
 
 
+SQL_CTX = _sql_ctx()
+
+
 @register("task_type", "WITH " + SQL_CTX + "\nSELECT task_id, repo, task_type FROM analyzed")
 def q_task_type(spark, d):
     return _analyzed(spark, d).select("task_id", "repo", "task_type")
@@ -183,3 +189,16 @@ def q_findings_context(spark, d):
     a = _analyzed(spark, d)
     summ = CX.budget_summary(conversation_tasks(spark, d), _selected(spark, d, a), MAX_TOKENS)
     return CX.findings_context(a, summ)
+
+
+# Variant with the fixed keyword dictionary, the breadth strategy and a larger budget.
+DEFAULT_FOCUS, DEFAULT_STRATEGY, DEFAULT_MAX = ["en/"], "breadth", 5000
+
+
+@register("budget_cut_default", "WITH " + _sql_ctx(CX.DEFAULT_KEYWORDS, DEFAULT_FOCUS, DEFAULT_STRATEGY, DEFAULT_MAX) + r"""
+SELECT task_id, repo, path, score10, score, lines, est_tokens, running_tokens FROM selected""")
+def q_budget_cut_default(spark, d):
+    a = cut_lineage(CX.analyze_tasks(conversation_tasks(spark, d), repo_fw(spark, d), CX.DEFAULT_KEYWORDS))
+    scored = CX.relevance(a, doc_files(spark, d), DEFAULT_FOCUS, DEFAULT_STRATEGY, CX.DEFAULT_KEYWORDS)
+    sel = CX.budget_cut(scored, _modules(spark, d), DEFAULT_MAX)
+    return sel.select("task_id", "repo", "path", "score10", "score", "lines", "est_tokens", "running_tokens")
