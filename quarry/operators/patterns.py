@@ -46,7 +46,6 @@ PATTERN_TYPES = ["dataframe", "array", "pipeline", "model", "visualization", "ap
 # Public aliases accepted by the type filter (the original tool's public names).
 TYPE_ALIASES = {"viz": "visualization", "context": "context_manager"}
 
-HIT_COLS = ["repo", "path", "line", "type", "operation"]
 
 
 def first_token_match(lines: DataFrame, det: LineDetector) -> DataFrame:

@@ -147,7 +147,7 @@ def q_budget_summary(spark, d):
 @register("pack_files", "WITH " + SQL_CTX + r"""
 SELECT s.task_id, s.repo, s.path, s.score AS relevance, s.lines, s.rank,
        CASE WHEN s.score10 >= 7 THEN f.content END AS content
-FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY rank) AS r2 FROM selected) s
+FROM selected s
 JOIN doc_files f ON s.repo = f.repo AND s.path = f.path
 WHERE s.rank <= 20""")
 def q_pack_files(spark, d):
