@@ -57,7 +57,7 @@ def first_token_match(lines: DataFrame, det: LineDetector) -> DataFrame:
             .where(F.col("operation").isNotNull()))
 
 
-def pipeline_or_model(lines: DataFrame, pipeline_token: str = PIPELINE_TOKEN,
+def ml_usage_lines(lines: DataFrame, pipeline_token: str = PIPELINE_TOKEN,
                       model_tokens: list[str] = MODEL_TOKENS) -> DataFrame:
     """``pipeline`` when the line has the pipeline token, else ``model``
     when it has any model token."""
@@ -75,7 +75,7 @@ def detect_lines(lines: DataFrame, detectors: list[LineDetector],
     """F1-F4 in one pass: every detector is a conditional struct of one
     projection over ``lines``, exploded into hit rows, so the lines are read
     once however many detectors run. Same rows as the union of
-    :func:`first_token_match` per detector and :func:`pipeline_or_model`."""
+    :func:`first_token_match` per detector and :func:`ml_usage_lines`."""
     cands = []
     for det in detectors:
         op = T.first_contained("line", det.tokens)

@@ -151,10 +151,10 @@ def q_first_token_match(spark, d):
             .unionByName(P.first_token_match(lines, VIZ_DET)))
 
 
-@register("pipeline_or_model", "WITH " + SQL_PATTERNS + """
+@register("ml_usage_lines", "WITH " + SQL_PATTERNS + """
 SELECT * FROM raw_hits WHERE type IN ('pipeline', 'model')""")
-def q_pipeline_or_model(spark, d):
-    return P.pipeline_or_model(_lines(spark, d), PIPE_TOKEN, MODEL_TOKENS)
+def q_ml_usage_lines(spark, d):
+    return P.ml_usage_lines(_lines(spark, d), PIPE_TOKEN, MODEL_TOKENS)
 
 
 @register("gate_by_framework", "WITH " + SQL_PATTERNS + "\nSELECT * FROM gated")

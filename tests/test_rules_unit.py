@@ -61,7 +61,7 @@ def test_type_filter_aliases(spark):
 def test_pipeline_before_model(spark):
     lines = spark.createDataFrame([("r", "a.py", 1, "p = Pipeline(); p.fit(x)"), ("r", "a.py", 2, "m.fit_transform(x)"),
                                    ("r", "a.py", 3, "m.predict(x)")], "repo string, path string, line_no int, line string")
-    got = {r.line: r.type for r in P.pipeline_or_model(lines).collect()}
+    got = {r.line: r.type for r in P.ml_usage_lines(lines).collect()}
     assert got == {1: "pipeline", 3: "model"}  # .fit_transform( alone is not a model call
 
 
