@@ -166,54 +166,35 @@ def _strip_scheme(root: str) -> str:
     return re.escape(r.lstrip("/"))
 
 
-def _hidden_or_empty(rel: str, size: int) -> bool:
-    return size == 0 or any(part[:1] in ("_", ".") for part in rel.split("/"))
-
-
 def skipped_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files that Spark's listing leaves out: any part of the relative path
-    starting with ``_`` or ``.``, or zero length. Returns ``(rel, text)``.
+    """Files that Spark's file sources leave out: any part of the relative
+    path starting with ``_`` or ``.``, or zero length. Returns ``(rel, text)``.
 
-    Only the first level below ``root`` is listed on the driver; each task
-    lists one top-level folder recursively (``pyarrow.fs``, so local, HDFS
-    and object stores work alike) and reads just the skipped files.
+    Uses the breadth-first listing (:func:`list_tree`), so a repo holding
+    most files is spread over many tasks, and reads only the skipped files.
     """
-    from pyarrow import fs as pafs
+    listed = list_tree(spark, root)
+    skipped = listed.where((F.col("size") == 0) | F.col("rel").rlike(r"(^|/)[_.]"))
+    n = max(1, spark.sparkContext.defaultParallelism * 2)
 
-    ship_package(spark)
-    filesystem, base = _open_fs(root)
-    tops = [i.path for i in filesystem.get_file_info(pafs.FileSelector(base, recursive=False))]
-    if not tops:
-        return spark.createDataFrame([], "rel string, text string")
-    n = max(1, min(len(tops), spark.sparkContext.defaultParallelism * 4))
-    tops_df = spark.createDataFrame([(t,) for t in tops], "top string").repartition(n)
-
-    def list_and_read(batches):
+    def read(batches):
         import pandas as pd
-        fs2, base2 = _open_fs(root)
+        fs2, _ = _open_fs(root)
         for pdf in batches:
             rows = []
-            for top in pdf["top"]:
-                info = fs2.get_file_info(top)
-                infos = ([info] if info.type == pafs.FileType.File else
-                         fs2.get_file_info(pafs.FileSelector(top, recursive=True)))
-                for fi in infos:
-                    if fi.type != pafs.FileType.File:
-                        continue
-                    rel = fi.path[len(base2):].lstrip("/")
-                    if not _hidden_or_empty(rel, fi.size):
-                        continue
-                    data = b""
-                    if fi.size:
-                        with fs2.open_input_stream(fi.path) as f:
-                            data = f.readall()
-                    try:
-                        rows.append((rel, data.decode("utf-8")))
-                    except UnicodeDecodeError:
-                        continue
+            for rel, absp, size in zip(pdf["rel"], pdf["abs"], pdf["size"]):
+                data = b""
+                if size:
+                    with fs2.open_input_stream(absp) as f:
+                        data = f.readall()
+                try:
+                    rows.append((rel, data.decode("utf-8")))
+                except UnicodeDecodeError:
+                    continue
             yield pd.DataFrame(rows, columns=["rel", "text"])
 
-    return tops_df.mapInPandas(list_and_read, "rel string, text string")
+    return (skipped.repartition(n, F.xxhash64("rel"))
+            .mapInPandas(read, "rel string, text string"))
 
 
 def files_from_table(df: DataFrame, repo, path, content) -> DataFrame:
