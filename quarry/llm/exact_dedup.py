@@ -2,7 +2,8 @@
 
 Sampled splitters range-partition the normalised texts, each partition is
 sorted (spilling as it needs), equal texts are then neighbours and are
-compared in full. A group that holds more than a small share of all rows is
+compared in full. Splitters are made of the texts' first characters and their
+hash, so the sample that the driver sees stays small. A group that holds more than a small share of all rows is
 split over the partitions by a hash of its ids first; its parts meet again as
 one row each.
 """
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .tables import WHITE, materialise, shuffle_partitions, text_or_empty
 
+#: Characters of a text that a splitter holds.
+PREFIX = 32
+
 
 def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
@@ -38,10 +42,10 @@ def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
              .filter(F.col("rows") > 1).select(F.col("mark").alias("large")))
     spread = F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(F.lit(0))
     ranged = (normal.join(F.broadcast(large), F.col("mark") == F.col("large"), "left")
-              .select("doc_id", "length", "content", spread.alias("part"))
-              .repartitionByRange(n, "content", "part"))
+              .select("doc_id", "length", F.left("content", F.lit(PREFIX)).alias("start"), "mark", spread.alias("part"), "content")
+              .repartitionByRange(n, "start", "mark", "part"))
     best_first = (F.col("length").desc(), F.col("doc_id").asc_nulls_last())
-    neighbours = W.partitionBy("content", "part").orderBy(*best_first)
+    neighbours = W.partitionBy("start", "mark", "part", "content").orderBy(*best_first)
     rows = materialise(ranged.select(
         "doc_id", "length", F.sha2("content", 256).alias("text_sha256"),
         F.row_number().over(neighbours).alias("nth")), "exact-rows")
