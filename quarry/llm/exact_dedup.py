@@ -50,7 +50,9 @@ def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
         "doc_id", "length", F.sha2("content", 256).alias("text_sha256"),
         F.row_number().over(neighbours).alias("nth")), "exact-rows")
     best = F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
-    groups = rows.groupBy(F.col("text_sha256").alias("of")).agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join below has plain inputs and Spark can split a large group's rows
+    groups = materialise(rows.groupBy(F.col("text_sha256").alias("of")).agg(
+        F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     return rows.join(groups, F.col("text_sha256") == F.col("of")).select(
         "doc_id", F.col("best.id").alias("keep_id"), "group_size",
         ((F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("best.id"))
