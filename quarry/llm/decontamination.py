@@ -3,8 +3,8 @@
 Test texts are cut to phrases. The corpus frequencies of their words tell
 each phrase's two rarest terms; postings (document, position) are stored for
 these terms only. The two lists of a phrase, moved by the terms' offsets,
-are intersected, and what is left is compared word by word with the words
-around the posting.
+are intersected, and what is left is compared word by word with the texts
+that hold it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tables import ascii_lower, materialise, text_or_empty
@@ -52,80 +51,94 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")))
 
 
-def rarest_terms(phrases: DataFrame, frequencies: DataFrame, keep: int = 2) -> DataFrame:
-    """phrase_id, phrase, nth, term, offset: the ``keep`` rarest places of phrases whose words all occur."""
+def rarest_terms(phrases: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """The two rarest places of each phrase whose words all occur in the corpus.
+
+    phrase_id, length, term_1, offset_1, term_2, offset_2 and ``pair``, which
+    names the two terms and their distance. A phrase of one word has that
+    word twice.
+    """
     places = (phrases.select("phrase_id", "phrase").distinct()
-              .select("phrase_id", "phrase", F.posexplode("phrase").alias("offset", "term")))
+              .select("phrase_id", F.size("phrase").alias("length"), F.posexplode("phrase").alias("offset", "term")))
     known = places.join(frequencies, "term", "left")
-    by_phrase = W.partitionBy("phrase_id")
-    rank = F.row_number().over(by_phrase.orderBy("n", "term", "offset"))
-    return (known.withColumn("missing", F.count_if(F.col("n").isNull()).over(by_phrase)).withColumn("nth", rank)
-            .filter((F.col("missing") == 0) & (F.col("nth") <= keep))
-            .select("phrase_id", "phrase", "nth", "term", "offset"))
+    place = F.struct(F.col("n"), F.col("term"), F.col("offset"))
+    rare = (known.groupBy("phrase_id", "length").agg(
+        F.count_if(F.col("n").isNull()).alias("missing"), F.array_sort(F.collect_list(place)).alias("places"))
+        .filter("missing = 0"))
+    first, second = F.get("places", F.lit(0)), F.get("places", F.least(F.col("length"), F.lit(2)) - 1)
+    return rare.select(
+        "phrase_id", "length", first["term"].alias("term_1"), first["offset"].alias("offset_1"),
+        second["term"].alias("term_2"), second["offset"].alias("offset_2"),
+        F.concat_ws(" ", first["term"], second["term"], (second["offset"] - first["offset"]).cast("string")).alias("pair"))
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, doc_id, text_mark, pos: where ``terms`` occur; ``text_mark``, a hash, tells apart texts of one id."""
+    exploded = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_mark"),
+                           F.posexplode(tokens(text_or_empty())).alias("pos", "term"))
+    return _in_parts(terms, lambda t: exploded.join(t, "term").select("term", "doc_id", "text_mark", "pos"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, width: int = 10) -> DataFrame:
-    """term, doc_id, text_mark, pos, around, lead: where ``terms`` occur.
+def _pairs(rare: DataFrame, nth: int) -> DataFrame:
+    move = F.col("offset_2") - F.col("offset_1") if nth == 2 else F.lit(0)
+    return rare.select(F.col(f"term_{nth}").alias("term"), "pair", move.alias("move")).distinct()
 
-    ``around`` holds the words up to ``width - 1`` places before and after;
-    ``lead`` is the number of those before. ``text_mark`` is a hash of the
-    text and tells apart rows of one id.
-    """
-    side = width - 1
-    exploded = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_mark"),
-                           tokens(text_or_empty()).alias("words")
-                           ).select("doc_id", "text_mark", "words", F.posexplode("words").alias("pos", "term"))
-    lead = F.least(F.col("pos"), F.lit(side))
-    return _in_parts(terms, lambda t: exploded.join(t, "term").select(
-        "term", "doc_id", "text_mark", "pos", F.slice("words", F.col("pos") - lead + 1, 2 * side + 1).alias("around"),
-        lead.alias("lead")))
+
+def _same_text(*more: Column) -> Column:
+    return reduce(Column.__and__, more, F.col("doc_id").eqNullSafe(F.col("doc_2")) & (F.col("text_mark") == F.col("mark_2")))
 
 
-def _lists(index: DataFrame, rare: DataFrame, nth: int) -> DataFrame:
-    part = rare.filter(F.col("nth") == nth).select("term", "phrase_id", "phrase", "offset")
-    return index.join(part, "term")
+def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
+    """doc_id, text_mark, phrase_id, length, start: where both rarest terms of a phrase stand in their places."""
+    first = index.join(_pairs(rare, 1), "term").select("doc_id", "text_mark", "pair", "pos")
+    second = index.join(_pairs(rare, 2), "term").select(
+        F.col("doc_id").alias("doc_2"), F.col("text_mark").alias("mark_2"), F.col("pair").alias("pair_2"),
+        (F.col("pos") - F.col("move")).alias("pos_2"))
+    both = first.join(second, _same_text(F.col("pair") == F.col("pair_2"), F.col("pos") == F.col("pos_2")), "left_semi")
+    return (both.join(rare.select("pair", "phrase_id", "length", "offset_1"), "pair")
+            .select("doc_id", "text_mark", "phrase_id", "length", (F.col("pos") - F.col("offset_1")).alias("start"))
+            .filter("start >= 0").distinct())
 
 
-def phrase_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
+def phrase_matches(docs: DataFrame, index: DataFrame, rare: DataFrame) -> DataFrame:
     """doc_id, text_mark, phrase_id, start, length of all exact occurrences."""
-    first = _lists(index, rare, 1).withColumn("start", F.col("pos") - F.col("offset"))
-    second = _lists(index, rare, 2).select(
-        F.col("doc_id").alias("doc_2"), F.col("text_mark").alias("mark_2"), F.col("phrase_id").alias("phrase_2"),
-        (F.col("pos") - F.col("offset")).alias("start_2")).distinct()
-    same = (F.col("doc_id").eqNullSafe(F.col("doc_2")) & (F.col("text_mark") == F.col("mark_2"))
-            & (F.col("phrase_id") == F.col("phrase_2")) & (F.col("start") == F.col("start_2")))
-    fits = (F.col("lead") >= F.col("offset")) & (F.slice(
-        "around", F.greatest(F.col("lead") - F.col("offset"), F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
-    hits = (first.filter(F.size("phrase") == 1)
-            .unionByName(first.filter(F.size("phrase") > 1).join(second, same, "left_semi")))
-    return hits.filter(fits).select("doc_id", "text_mark", "phrase_id", "start",
-                                    F.size("phrase").alias("length")).distinct()
+    found = materialise(candidates(index, rare), "index-candidates")
+    per_text = found.groupBy("doc_id", "text_mark").agg(
+        F.collect_set(F.struct("start", "length", "phrase_id")).alias("places")).select(
+        F.col("doc_id").alias("doc_2"), F.col("text_mark").alias("mark_2"), "places")
+    if found.count() <= BROADCAST_TERMS:
+        per_text = F.broadcast(per_text)
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_mark"), text_or_empty().alias("text"))
+    texts = (rows.join(per_text, _same_text()).select("doc_id", "text_mark", "places", tokens(F.col("text")).alias("words"))
+             .select("doc_id", "text_mark", "words", F.explode("places").alias("p"))
+             .select("doc_id", "text_mark", "words", "p.*"))
+    said = F.md5(F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " "))
+    return texts.filter(said == F.col("phrase_id")).select("doc_id", "text_mark", "phrase_id", "start", "length").distinct()
 
 
 def proximity_matches(index: DataFrame, rare: DataFrame, span: int = 20) -> DataFrame:
-    """doc_id, text_mark, phrase_id, pos, gap: a phrase's two rarest terms at most ``span`` words apart.
+    """doc_id, text_mark, phrase_id, pos, gap: a phrase's two rarest terms at most ``span`` words apart, in any order.
 
     Positions meet in blocks of ``span`` words, each block with itself and
-    its two neighbours.
+    its two neighbours; ``gap`` is the smallest distance at a position.
     """
     block = F.floor(F.col("pos") / F.lit(span)).cast("long")
-    first = _lists(index, rare, 1).withColumn("block", block)
-    second = _lists(index, rare, 2).select(
-        F.col("doc_id").alias("doc_2"), F.col("text_mark").alias("mark_2"), F.col("phrase_id").alias("phrase_2"),
+    first = index.join(_pairs(rare, 1), "term").select("doc_id", "text_mark", "pair", "pos", block.alias("block"))
+    second = index.join(_pairs(rare, 2), "term").select(
+        F.col("doc_id").alias("doc_2"), F.col("text_mark").alias("mark_2"), F.col("pair").alias("pair_2"),
         F.col("pos").alias("pos_2"), F.explode(F.array(block - 1, block, block + 1)).alias("block_2"))
-    same = (F.col("doc_id").eqNullSafe(F.col("doc_2")) & (F.col("text_mark") == F.col("mark_2"))
-            & (F.col("phrase_id") == F.col("phrase_2")) & (F.col("block") == F.col("block_2")))
     gap = F.abs(F.col("pos") - F.col("pos_2"))
-    return (first.join(second, same).filter((gap <= span) & (gap > 0))
-            .groupBy("doc_id", "text_mark", "phrase_id", "pos").agg(F.min(gap).alias("gap")))
+    near = (first.join(second, _same_text(F.col("pair") == F.col("pair_2"), F.col("block") == F.col("block_2")))
+            .filter((gap <= span) & (gap > 0)).groupBy("doc_id", "text_mark", "pair", "pos").agg(F.min(gap).alias("gap")))
+    return near.join(rare.select("pair", "phrase_id"), "pair").select("doc_id", "text_mark", "phrase_id", "pos", "gap")
 
 
-def build_index(docs: DataFrame, phrases: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The stored postings of the phrases' rarest terms, and the table of these terms."""
     terms = materialise(phrases.select(F.explode("phrase").alias("term")).distinct(), "index-terms")
     rare = materialise(rarest_terms(phrases, term_frequencies(docs, terms)), "index-rare")
-    chosen = materialise(rare.select("term").distinct(), "index-chosen")
-    return materialise(postings(docs, chosen, width), "index-postings"), rare
+    chosen = materialise(rare.select(F.explode(F.array("term_1", "term_2")).alias("term")).distinct(), "index-chosen")
+    return materialise(postings(docs, chosen), "index-postings"), rare
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
@@ -140,8 +153,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     documents, nothing is hit.
     """
     phrases = materialise(test_phrases(items.select("item_id", "text"), width), "phrases")
-    index, rare = build_index(docs, phrases, width)
-    hits = materialise(phrase_matches(index, rare), "phrase-hits")
+    index, rare = build_index(docs, phrases)
+    hits = materialise(phrase_matches(docs, index, rare), "phrase-hits")
     covered = (hits.select("doc_id", "text_mark", F.explode(F.sequence(
         F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
         .groupBy("doc_id", "text_mark").agg(F.count(F.lit(1)).alias("n_hit")))
