@@ -37,3 +37,24 @@ def near_components(rows: list[tuple[int, str | None]], k: int, percent: int) ->
             ra, rb = root(a), root(b)
             parent[max(ra, rb)] = min(ra, rb)
     return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def repeated_bytes(texts: list[str | None], window: int) -> list[tuple[int, int, int, str]]:
+    """(n_bytes, n_removed, n_spans, sha256 of the rest) of each text, every window in one table."""
+    import hashlib
+
+    rows = [(t or "").encode() for t in texts]
+    seen: dict[bytes, int] = {}
+    for b in rows:
+        for i in range(len(b) - window + 1):
+            seen[b[i:i + window]] = seen.get(b[i:i + window], 0) + 1
+    out = []
+    for b in rows:
+        gone = bytearray(len(b))
+        for i in range(len(b) - window + 1):
+            if seen[b[i:i + window]] > 1:
+                gone[i:i + window] = b"\1" * window
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        rest = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest()))
+    return out
