@@ -10,7 +10,7 @@ one row each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,8 +20,12 @@ from .tables import WHITE, materialise, shuffle_partitions, text_or_empty
 PREFIX = 32
 
 
+def normalised(text: str = "text") -> Column:
+    return F.regexp_replace(text_or_empty(text), WHITE, "")
+
+
 def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), length.
 
     Two texts are equal when they are the same after all spaces and control
     characters 9 to 13 are deleted; null counts as empty. Of equal texts the
@@ -33,7 +37,7 @@ def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     n = shuffle_partitions(spark)
     whole = text_or_empty(text)
     normal = materialise(
-        docs.select("doc_id", F.char_length(whole).alias("length"), F.regexp_replace(whole, WHITE, "").alias("content"))
+        docs.select("doc_id", F.char_length(whole).alias("length"), normalised(text).alias("content"))
         .withColumn("mark", F.xxhash64("content")), "exact-content")
     # groups with over 1 / (4n) of all rows: 4n at most, whatever the input
     marks = normal.groupBy("mark").agg(F.count(F.lit(1)).alias("rows"))
@@ -56,4 +60,4 @@ def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.join(groups, F.col("text_sha256") == F.col("of")).select(
         "doc_id", F.col("best.id").alias("keep_id"), "group_size",
         ((F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("best.id"))
-         & (F.col("length") == -F.col("best.shorter"))).alias("kept"), "text_sha256")
+         & (F.col("length") == -F.col("best.shorter"))).alias("kept"), "text_sha256", "length")

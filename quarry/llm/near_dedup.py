@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from . import wordhash
 from .components import components
-from .tables import materialise
+from .tables import materialise, text_or_empty
 
 #: Values of a band, and the greatest chance that no band of two documents at the threshold is equal.
 ROWS, MISS = 6, 1e-6
@@ -85,17 +85,17 @@ def _band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, size, at = batch.column(0), [], 0, 0
+            ids, marks, held, size, at = batch.column(0), batch.column(2), [], 0, 0
             for words, distinct in _row_shingles(batch.column(1), k):
                 held.append((words, distinct))
                 size += len(words)
                 if size >= RUN_WORDS:
-                    yield out(ids.slice(at, len(held)), held)
+                    yield out(ids.slice(at, len(held)), marks.slice(at, len(held)), held)
                     at, held, size = at + len(held), [], 0
             if held:
-                yield out(ids.slice(at, len(held)), held)
+                yield out(ids.slice(at, len(held)), marks.slice(at, len(held)), held)
 
-    def out(ids, held):
+    def out(ids, marks, held):
         filled = [s for _, s in held if len(s)]
         hashes = np.zeros((len(held), bands), np.uint64)
         if filled:
@@ -103,10 +103,10 @@ def _signatures(k: int, bands: int, rows: int):
                 min_max_signature(filled, bands * rows // 2), bands, rows)
         offsets = pa.array(np.arange(len(held) + 1) * bands, pa.int32())
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for _, s in held], pa.int64()),
+            [ids, marks, pa.array([len(s) for _, s in held], pa.int64()),
              pa.array([hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w, _ in held], pa.binary()),
              pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64).reshape(-1)))],
-            ["doc_id", "n_shingles", "words_mark", "bands"])
+            ["doc_id", "text_mark", "n_shingles", "words_mark", "bands"])
     return run
 
 
@@ -205,7 +205,7 @@ def _rest_groups(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_mark (a hash of the text).
 
     A-Z are lower-cased, words are runs without spaces and the control
     characters 9 to 13. A document's set are its distinct ``words``-word
@@ -220,10 +220,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     """
     ship_package(docs.sparkSession)
     bands = n_bands(percent / 100)
-    texts = docs.select("doc_id", F.col(text).alias("text"))
+    texts = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text_or_empty(text)).alias("text_mark"))
     signed = materialise(texts.mapInArrow(
         _signatures(words, bands, ROWS),
-        "doc_id bigint, n_shingles bigint, words_mark binary, bands array<bigint>"), "signatures")
+        "doc_id bigint, text_mark bigint, n_shingles bigint, words_mark binary, bands array<bigint>"), "signatures")
     classes = materialise(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("words_mark").agg(
         F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"),
         F.min_by("bands", "doc_id").alias("bands")), "classes")
@@ -245,8 +245,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     per_class = (classes.select(F.col("words_mark").alias("mark"), F.col("id").alias("class_id"))
                  .join(final, "class_id", "left")
                  .select("mark", F.coalesce("component", "class_id").alias("component")))
-    rows = signed.select("doc_id", "n_shingles", "words_mark")
+    rows = signed.select("doc_id", "text_mark", "n_shingles", "words_mark")
     found = rows.join(per_class, (F.col("words_mark") == F.col("mark")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"))
+                        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_mark")

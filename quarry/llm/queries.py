@@ -86,7 +86,7 @@ FROM documents d LEFT JOIN per USING (doc_id)
 
 @query
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("text_mark")
 
 
 @query
@@ -96,7 +96,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("length")
 
 
 ORACLES["op6_exact_dedup"] = r"""
