@@ -19,21 +19,18 @@ def _text_mark() -> Column:
     return F.xxhash64(text_or_empty())
 
 
-def _same(keys: list[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}"))
-    return out
-
-
-def _one_row_each(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """One row of ``docs`` for each key among ``kept``; the keys' partitioning serves both steps."""
-    names = [f"__{k}" for k in keys]
-    keyed = docs.withColumns(dict(zip(names, keys.values())))
-    first = (keyed.withColumn("__nth", F.row_number().over(W.partitionBy(*names).orderBy(F.lit(0))))
+def _key(*columns: Column) -> Column:
+    """One never-null column that is equal where all ``columns`` are, nulls included."""
+    said = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in columns]
+    return F.md5(F.concat_ws("|", *said))
+
+
+def _one_row_each(docs: DataFrame, kept: DataFrame, docs_key: Column, kept_key: Column) -> DataFrame:
+    """One row of ``docs`` for each key among ``kept``; rows are dealt out once for both steps."""
+    keyed = docs.withColumn("__key", docs_key)
+    first = (keyed.withColumn("__nth", F.row_number().over(W.partitionBy("__key").orderBy(F.lit(0))))
              .filter("__nth = 1").drop("__nth"))
-    wanted = kept.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
-    return first.alias("d").join(wanted.alias("k"), _same(names), "left_semi").drop(*names)
+    return first.join(kept.select(kept_key.alias("__key")), "__key", "left_semi").drop("__key")
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,39 +43,38 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (without white space) the longest, then the smallest id."""
-    kept = exact_dedup.exact_groups(docs).filter("kept").select("doc_id", "text_sha256", "length")
-    return _one_row_each(docs, kept, {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(exact_dedup.normalised(), 256),
-                                      "length": F.char_length(text_or_empty())})
+    kept = exact_dedup.exact_groups(docs).filter("kept")
+    length, content = F.char_length(text_or_empty()), F.sha2(exact_dedup.normalised(), 256)
+    return _one_row_each(docs, kept, _key(F.col("doc_id"), length, content),
+                         _key(F.col("doc_id"), F.col("length"), F.col("text_sha256")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word-shingle similarity 0.8: the smallest id."""
-    kept = near_dedup.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id", "text_mark")
-    return _one_row_each(docs, kept.distinct(), {"doc_id": F.col("doc_id"), "text_mark": _text_mark()})
+    kept = near_dedup.near_duplicates(docs, words=5, percent=80).filter("kept")
+    return _one_row_each(docs, kept, _key(F.col("doc_id"), _text_mark()), _key(F.col("doc_id"), F.col("text_mark")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item."""
     found = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("__doc_id"), F.col("text_mark").alias("__mark")).distinct()
-    keyed = docs.withColumns({"__doc_id": F.col("doc_id"), "__mark": _text_mark()})
-    return keyed.alias("d").join(hit.alias("k"), _same(["__doc_id", "__mark"]), "left_anti").drop("__doc_id", "__mark")
+    hit = found.filter("contaminated").select(_key(F.col("doc_id"), F.col("text_mark")).alias("__key")).distinct()
+    return docs.withColumn("__key", _key(F.col("doc_id"), _text_mark())).join(hit, "__key", "left_anti").drop("__key")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with pass, words and position, one row for each reading, by position."""
-    same = ["doc_id", "text_mark", "source"]
     columns = docs.columns
-    twin = F.row_number().over(W.partitionBy("__doc_id", "__text_mark", "__source").orderBy(F.lit(0)))
-    keyed = docs.withColumns({"__doc_id": F.col("doc_id"), "__text_mark": _text_mark(), "__source": F.col("source")}
-                             ).withColumn("__twin", twin)
+    # rows of one id, text and source are told apart by number
+    twin = F.row_number().over(W.partitionBy("__key").orderBy(F.lit(0)))
+    keyed = docs.withColumn("__key", _key(F.col("doc_id"), _text_mark(), F.col("source"))).withColumn("__twin", twin)
     mixed = mixing.mix_sources(docs.select("doc_id", "source", "text"), keys=[_text_mark().alias("text_mark")])
-    order = W.partitionBy(*same).orderBy(F.get("passes", F.lit(0))["position"], F.size("passes").desc())
-    due = (mixed.withColumn("twin", F.row_number().over(order))
-           .select(*[F.col(k).alias(f"__{k}") for k in [*same, "twin"]], F.explode("passes").alias("__pass")))
-    read = keyed.alias("d").join(due.alias("k"), _same([f"__{k}" for k in [*same, "twin"]]))
-    new = {"pass": "pass", "words": "words", "position": "position"}
-    return (read.select(*[F.col(f"d.{c}") for c in columns if c not in new], *[F.col(f"__pass.{k}").alias(k) for k in new])
+    due = (mixed.select(_key(F.col("doc_id"), F.col("text_mark"), F.col("source")).alias("__key"), "passes")
+           .withColumn("__due", F.row_number().over(W.partitionBy("__key").orderBy(F.lit(0))))
+           .withColumn("__pass", F.explode("passes")).drop("passes"))
+    read = keyed.join(due, "__key").filter(F.col("__twin") == F.col("__due"))
+    new = ["pass", "words", "position"]
+    return (read.select(*[c for c in columns if c not in new], *[F.col(f"__pass.{k}").alias(k) for k in new])
             .orderBy("position", "doc_id", "pass"))
 
 
