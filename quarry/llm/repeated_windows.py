@@ -38,7 +38,7 @@ from .tables import materialise, shared_path, shuffle_partitions, text_or_empty
 #: Bytes of an anchor's substring, and offsets in a cell.
 GRAM, CELL = 100, 16
 #: Window starts that are worked on at once.
-RUN = 1 << 20
+RUN = 1 << 19
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
