@@ -241,7 +241,8 @@ def repeated_windows(docs: DataFrame, window: int = 400, gram: int | None = None
 def _without_repeats(rows: DataFrame, texts: DataFrame, window: int, gram: int, cell: int) -> DataFrame:
     runs = materialise(texts.select("mark", "text").mapInArrow(
         _find_runs(window, gram), "mark binary, gram bigint, place bigint, near int, far int, whole bigint"), "window-runs")
-    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that Spark can split the join's large groups
+    grams = materialise(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "window-grams")
     shared = materialise(runs.join(grams.select("gram"), "gram", "left_semi"), "window-shared")
     repeated, heads = _decide(shared, ["gram"], ["near", "far", "whole"])
     gone = [repeated.select("mark", (F.col("place") - F.col("far")).alias("first"), (F.col("place") - F.col("near")).alias("last"))]
