@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import materialise, written
 
 
+@written("components")
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` for every linked id; the component is its smallest id.
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ascii_lower, materialise, text_or_empty
+from .tables import ascii_lower, materialise, text_or_empty, written
 
 #: Words: runs of digits, letters a to z and anything outside ASCII, after A to Z are lower-cased.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -141,6 +141,7 @@ def build_index(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFra
     return materialise(postings(docs, chosen), "index-postings"), rare
 
 
+@written("contamination-result")
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_mark, n_words, n_hit, n_items, items_sha256, contaminated.
 

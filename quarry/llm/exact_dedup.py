@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import WHITE, materialise, shuffle_partitions, text_or_empty
+from .tables import WHITE, materialise, shuffle_partitions, text_or_empty, written
 
 #: Characters of a text that a splitter holds.
 PREFIX = 32
@@ -24,6 +24,7 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), WHITE, "")
 
 
+@written("exact-result")
 def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), length.
 

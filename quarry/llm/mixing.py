@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import WORD, materialise, shuffle_partitions, text_or_empty
+from .tables import WORD, materialise, shuffle_partitions, text_or_empty, written
 
 
 def document_sizes(docs: DataFrame, text: str = "text") -> Column:
@@ -69,6 +69,7 @@ def due_time(share: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, share).otherwise((b - root) / (F.lit(2.0) * slope))
 
 
+@written("mix-result")
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: int = 3,
                 ramp: float = 0.5, seed: str = "mix", keys: Sequence[Column] = ()) -> DataFrame:
     """One row per document: what the mix takes of it and when.

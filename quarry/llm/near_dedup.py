@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from . import wordhash
 from .components import components
-from .tables import materialise, text_or_empty
+from .tables import materialise, text_or_empty, written
 
 #: Values of a band, and the greatest chance that no band of two documents at the threshold is equal.
 ROWS, MISS = 6, 1e-6
@@ -204,6 +204,7 @@ def _rest_groups(members: DataFrame) -> DataFrame:
                        "id", "component", "side")
 
 
+@written("near-result")
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_mark (a hash of the text).
 

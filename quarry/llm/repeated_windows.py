@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import wordhash
-from .tables import materialise, shared_path, shuffle_partitions, text_or_empty
+from .tables import materialise, shared_path, shuffle_partitions, text_or_empty, written
 
 #: Bytes of an anchor's substring, and offsets in a cell.
 GRAM, CELL = 100, 16
@@ -204,6 +204,7 @@ def _listed(rows: DataFrame, *columns) -> DataFrame:
     return rows.groupBy("mark").agg(F.collect_list(F.struct(*columns)).alias("listed"))
 
 
+@written("window-result")
 def repeated_windows(docs: DataFrame, window: int = 400, gram: int | None = None, cell: int = CELL,
                      text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.

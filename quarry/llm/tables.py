@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written since the innermost operator began, for each operator that is running.
+_WRITTEN: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder of the cluster."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder of the cluster; it goes when the running operator ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +43,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def written(name: str):
+    """For functions of a DataFrame: their result is written, and what they wrote on the way is deleted."""
+    def deco(fn):
+        @functools.wraps(fn)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            _WRITTEN.append([])
+            try:
+                out = fn(docs, *args, **options)
+                on_the_way = _WRITTEN[-1]
+                # the result belongs to the operator around this one, if any
+                held, _WRITTEN[:] = _WRITTEN[:], _WRITTEN[:-1]
+                out = materialise(out, name)
+                _WRITTEN[:] = held
+                _delete(docs.sparkSession, on_the_way)
+                return out
+            finally:
+                _WRITTEN.pop()
+        return run
+    return deco
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
