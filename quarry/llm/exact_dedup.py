@@ -42,9 +42,8 @@ def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("mark", F.xxhash64("content")), "exact-content")
     # groups with over 1 / (4n) of all rows: 4n at most, whatever the input
     marks = normal.groupBy("mark").agg(F.count(F.lit(1)).alias("rows"))
-    total = normal.agg(F.count(F.lit(1)).alias("n_all"))
-    large = (marks.join(F.broadcast(total)).filter(F.col("rows") * F.lit(4 * n) > F.col("n_all"))
-             .filter(F.col("rows") > 1).select(F.col("mark").alias("large")))
+    large = (marks.filter((F.col("rows") * F.lit(4 * n) > F.lit(normal.count())) & (F.col("rows") > 1))
+             .select(F.col("mark").alias("large")))
     spread = F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(F.lit(0))
     ranged = (normal.join(F.broadcast(large), F.col("mark") == F.col("large"), "left")
               .select("doc_id", "length", F.left("content", F.lit(PREFIX)).alias("start"), "mark", spread.alias("part"), "content")
