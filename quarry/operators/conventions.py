@@ -240,6 +240,7 @@ CONVENTION_RULES = [
     Rule("naming_inconsistencies", "naming", ">", 10),
     Rule("missing_docstrings", "docstrings", ">", 20),
     Rule("style_violations", "style", ">", 15),
+    Rule("high_consistency", "overall", ">=", 90),
 ]
 
 

@@ -8,7 +8,7 @@ plan stays small and a lost executor only repeats one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -125,12 +125,13 @@ def graph_metrics(deg: DataFrame) -> DataFrame:
 
 def hotspots(deg: DataFrame, hub_in: int = 5, bottleneck_out: int = 10) -> DataFrame:
     """Hubs (in >= hub_in), else bottlenecks (out >= bottleneck_out);
-    ranked by centrality desc, then id. (The original tool's third class needs
+    ``rank`` is by centrality of three decimals, descending, then id. (The original tool's third class needs
     the first condition and is never reached.)"""
     t = (F.when(F.col("in_degree") >= hub_in, "hub")
          .when(F.col("out_degree") >= bottleneck_out, "bottleneck"))
-    return deg.select("repo", "id", "in_degree", "out_degree", "centrality", t.alias("type")) \
-        .where(F.col("type").isNotNull())
+    order = Window.partitionBy("repo").orderBy(F.round("centrality", 3).desc(), "id")
+    return (deg.select("repo", "id", "in_degree", "out_degree", "centrality", t.alias("type"))
+            .where(F.col("type").isNotNull()).withColumn("rank", F.row_number().over(order)))
 
 
 def simple_cycles(edges: DataFrame, max_len: int = 5, checkpoint: bool = True) -> DataFrame:

@@ -1,8 +1,7 @@
 """Running sums that stay parallel when one group holds most rows.
 
 A window ``sum() over (partition by g order by k)`` sorts each group in one
-task. :func:`running_sum` measures the largest group first; above a bound it
-range-partitions the rows on ``(g, k)`` so a hot group is spread over many
+task. :func:`running_sum` range-partitions the rows on ``(g, k)`` so a hot group is spread over many
 tasks, computes the local running sum of each slice in the task that holds
 it, and adds the totals of the preceding slices of the same group (a small
 table: one row per group and slice) with an equi-join. The scanned slices
@@ -18,42 +17,16 @@ from pyspark.sql import types as T
 from ..session import cut_lineage, ship_package
 
 
-def running_sum_window(df: DataFrame, group_cols: list[str], order_cols: list[Column],
-                       value_col: str, out_col: str = "running") -> DataFrame:
-    """Plain plan: one window per group (fine for bounded groups)."""
-    w = (Window.partitionBy(*group_cols).orderBy(*order_cols)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(out_col, F.sum(value_col).over(w))
-
-
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column],
                 value_col: str, out_col: str = "running",
-                num_partitions: int | None = None,
-                max_window_rows: int | None = 2_000_000) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Exact running sum of ``value_col`` per group in ``order_cols`` order.
 
     ``order_cols`` must make the order total within a group (ties would
-    make any running sum order-dependent). Values are integral (long).
-
-    The input is checkpointed once (upstream runs a single time) and the
-    largest group is measured: when every group has at most
-    ``max_window_rows`` rows a plain window is exact and cheap; otherwise the
-    range-partitioned plan splits the hot groups across tasks.
+    make any running sum order-dependent). Values are integral (long). The
+    same plan runs at every size.
     """
     spark = df.sparkSession
-    if max_window_rows is not None:
-        df = cut_lineage(df)
-        biggest = (df.groupBy(*group_cols).count()
-                   .agg(F.max("count").alias("m")).first()["m"]) or 0
-        if biggest <= max_window_rows:
-            return running_sum_window(df, group_cols, order_cols, value_col, out_col) \
-                .withColumn(out_col, F.col(out_col).cast("long"))
-    return _running_sum_ranged(df, group_cols, order_cols, value_col, out_col, num_partitions)
-
-
-def _running_sum_ranged(df: DataFrame, group_cols: list[str], order_cols: list[Column],
-                        value_col: str, out_col: str, num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
     ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group_cols] + list(order_cols)

@@ -218,6 +218,7 @@ fired AS (
   UNION ALL SELECT repo, 2, 'naming_inconsistencies', naming, CAST(10 AS DOUBLE) FROM j WHERE naming > 10
   UNION ALL SELECT repo, 3, 'missing_docstrings', docstrings, CAST(20 AS DOUBLE) FROM j WHERE docstrings > 20
   UNION ALL SELECT repo, 4, 'style_violations', style, CAST(15 AS DOUBLE) FROM j WHERE style > 15
+  UNION ALL SELECT repo, 5, 'high_consistency', overall, CAST(90 AS DOUBLE) FROM j WHERE overall >= 90
 )
 SELECT repo, 'conventions' AS area, rule_ord, rule, value, threshold FROM fired
 UNION ALL

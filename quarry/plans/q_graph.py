@@ -43,7 +43,7 @@ def _build(spark, d):
     parsed = files.where(F.col("s_acctbal") > 0)
     imports = succession_edges(spark, d).select(
         "repo", F.concat("src", F.lit(".py")).alias("path"), F.col("dst").alias("module"))
-    local = G.local_imports(imports, files, external_prefixes=["s000"])
+    local = G.local_imports(imports, files, external_prefixes=["s1"])
     return G.build_edges(local, parsed, guard_files=files), parsed
 
 
@@ -109,7 +109,8 @@ def q_graph_metrics(spark, d):
     return G.graph_metrics(_deg(spark, d))
 
 
-@register("hotspots", "WITH " + SQL_DEG + "\nSELECT * FROM hot")
+@register("hotspots", "WITH " + SQL_DEG + """
+SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY round(centrality, 3) DESC, id) AS INTEGER) AS rank FROM hot""")
 def q_hotspots(spark, d):
     return G.hotspots(_deg(spark, d), HUB_IN, BOTTLENECK_OUT)
 
@@ -185,12 +186,12 @@ def q_k_hop_edges(spark, d):
 
 
 SQL_BUILD = S.SUCCESSION + r""",
-sfiles AS (SELECT r.repo, 's' || lpad(CAST(s.s_suppkey AS VARCHAR), 4, '0') || '.py' AS path, s.s_acctbal
+sfiles AS (SELECT r.repo, 's' || CAST(s.s_suppkey AS VARCHAR) || '.py' AS path, s.s_acctbal
            FROM supplier s JOIN sreg r ON s.s_suppkey = r.s_suppkey),
 imps AS (SELECT repo, src || '.py' AS path, dst AS module FROM edges),
 loc AS (
   SELECT i.* FROM imps i
-  WHERE i.module <> '' AND NOT starts_with(i.module, 's000')
+  WHERE i.module <> '' AND NOT starts_with(i.module, 's1')
     AND EXISTS (SELECT 1 FROM sfiles f WHERE f.repo = i.repo AND regexp_replace(f.path, '\.py$', '') = i.module)
 ),
 be AS (
@@ -205,7 +206,7 @@ def q_local_imports(spark, d):
     files = supplier_files(spark, d)
     imports = succession_edges(spark, d).select(
         "repo", F.concat("src", F.lit(".py")).alias("path"), F.col("dst").alias("module"))
-    return G.local_imports(imports, files, external_prefixes=["s000"]).select("repo", "path", "module")
+    return G.local_imports(imports, files, external_prefixes=["s1"]).select("repo", "path", "module")
 
 
 @register("build_edges", "WITH " + SQL_BUILD + "\nSELECT repo, src, dst FROM be")

@@ -90,13 +90,13 @@ succ_top AS (
   ) WHERE k <= 3
 ),
 edges AS (
-  SELECT DISTINCT a.repo, 's' || lpad(CAST(t.src AS VARCHAR), 4, '0') AS src,
-         's' || lpad(CAST(t.dst AS VARCHAR), 4, '0') AS dst
+  SELECT DISTINCT a.repo, 's' || CAST(t.src AS VARCHAR) AS src,
+         's' || CAST(t.dst AS VARCHAR) AS dst
   FROM succ_top t JOIN sreg a ON t.src = a.s_suppkey JOIN sreg b ON t.dst = b.s_suppkey
   WHERE a.repo = b.repo
 ),
 snodes AS (
-  SELECT repo, 's' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS id,
+  SELECT repo, 's' || CAST(s_suppkey AS VARCHAR) AS id,
          lower(n_name) || '/' || s_name || '.py' AS path
   FROM sreg
 )"""

@@ -16,41 +16,7 @@ from ..sources import corpus
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
-    """Round-robin a table stored in fewer row groups than the cluster has
-    cores (a parquet row group is read by one task), so CPU-heavy stages use
-    every core. Tables under ``min_bytes`` stay as they are (one task reads
-    them faster than a shuffle moves them). The check reads the footers of
-    at most that many files on the driver; a table in many files or row
-    groups, i.e. any large table, is returned unchanged (no extra shuffle)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= par:
-        return df
-    meta = [_file_meta(f) for f in files]
-    groups, size = sum(m[0] for m in meta), sum(m[1] for m in meta)
-    return df if groups >= par or size < min_bytes else df.repartition(par)
-
-
-_RG_CACHE: dict[str, tuple[int, int]] = {}
-
-
-def _file_meta(uri: str) -> tuple[int, int]:
-    """(row groups, bytes) of one parquet file."""
-    if uri not in _RG_CACHE:
-        import pyarrow.parquet as pq
-        from pyarrow import fs as pafs
-        try:
-            fs, path = pafs.FileSystem.from_uri(uri)
-            size = fs.get_file_info(path).size or 0
-            with fs.open_input_file(path) as f:
-                _RG_CACHE[uri] = (pq.ParquetFile(f).metadata.num_row_groups, size)
-        except Exception:  # unknown layout: assume it is already split
-            _RG_CACHE[uri] = (1 << 20, 0)
-    return _RG_CACHE[uri]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # --------------------------------------------------------------------------
@@ -180,7 +146,7 @@ def succession_edges(spark: SparkSession, sf_dir: str, keep: int = 3) -> DataFra
 
 
 def supplier_id(c) -> F.Column:
-    return F.concat(F.lit("s"), F.lpad(T.as_col(c).cast("string"), 4, "0"))
+    return F.concat(F.lit("s"), T.as_col(c).cast("string"))
 
 
 def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

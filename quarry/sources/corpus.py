@@ -90,7 +90,7 @@ def _open_fs(uri: str):
     return pafs.LocalFileSystem(), os.path.abspath(local)
 
 
-def list_tree(spark: SparkSession, root: str, max_depth: int = 64) -> DataFrame:
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root`` as ``(rel, abs, size)``, listed breadth-first:
     each folder level is one Spark job whose tasks list one folder each
     (``pyarrow.fs``: local, HDFS and object stores alike). The folders of
@@ -119,7 +119,7 @@ def list_tree(spark: SparkSession, root: str, max_depth: int = 64) -> DataFrame:
     schema = "kind string, rel string, abs string, size long"
     frontier = spark.createDataFrame([(base,)], "dir string")
     found = []
-    for _ in range(max_depth):
+    while True:  # until a level has no folders
         level = cut_lineage(frontier.repartition(n).mapInPandas(list_level, schema))
         found.append(level.where(F.col("kind") == "file").select("rel", "abs", "size"))
         frontier = level.where(F.col("kind") == "dir").select(F.col("abs").alias("dir"))
