@@ -75,11 +75,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _train(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     weight = np.zeros(BUCKETS + 2)
     order = np.random.default_rng(3)
+    # both classes weigh the same
+    share = np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98)
+    scale = 0.5 * (y / share + (1 - y) / (1 - share))
     for epoch in range(EPOCHS):
         for i in order.permutation(len(rows)):
             norm = max(np.sqrt(len(rows[i])), 1.0)
             z = weight[rows[i]].sum() / norm + weight[-1]
-            step = RATE / (1 + epoch) * (y[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            step = RATE / (1 + epoch) * min(scale[i], 10.0) * (y[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30))))
             np.add.at(weight, rows[i], step / norm)
             weight[-1] += 0.1 * step
     return weight

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from quarry.llm import (decontamination, exact_dedup, language_id, mixing, near_dedup, pii, repeated_windows,
+from quarry.llm import (decontamination, exact_dedup, language_id, mixing, near_dedup, pii, quality, repeated_windows,
                         token_counts, toxicity)
 from quarry.llm.components import components
 
@@ -233,3 +233,17 @@ def test_language_learning_rows_are_not_held_out(spark):
     import zlib
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert F.col("x") is not None
+
+
+def test_weak_labels_and_quality_scores(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.7
+    right = np.array([0.9, 0.8, 0.6])
+    votes = np.where(rng.random((4000, 3)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    post, accuracy = quality.estimate(patterns, counts.astype(float))
+    assert accuracy.mean(axis=0).argmax() == 0 and accuracy.mean(axis=0).argmin() == 2
+    got = quality.quality(docs(spark, [*ODD, "a fine text. " * 60])).collect()
+    assert len(got) == len(ODD) + 1 and all(0 <= r.score <= 1 and 0 <= r.weak_label <= 1 for r in got)
+    assert quality.quality(docs(spark, ["x"]).limit(0)).collect() == []
