@@ -99,7 +99,9 @@ def quality(docs: DataFrame) -> DataFrame:
     """
     ship_package(docs.sparkSession)
     text = text_or_empty()
-    voted = docs.select("doc_id", text.alias("text"), F.concat_ws(",", *[v.cast("string") for v in votes(text)]).alias("votes"))
+    said = F.concat_ws(",", *[v.cast("string") for v in votes(F.col("text"))]).alias("votes")
+    rows = docs.select("doc_id", text.alias("text"))
+    voted = rows.select("doc_id", "text", said)
     seen = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
     patterns = np.array([[int(v) for v in r["votes"].split(",")] for r in seen] or np.zeros((0, 6)))
     post, _ = estimate(patterns, np.array([r["n"] for r in seen], float)) if len(seen) else (np.zeros(0), None)
@@ -107,7 +109,9 @@ def quality(docs: DataFrame) -> DataFrame:
     known = docs.sparkSession.createDataFrame([(r["votes"], float(p)) for r, p in zip(seen, post)], "votes string, post double")
     chosen = (docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct())
-    sample = voted.join(F.broadcast(chosen), "doc_id").join(F.broadcast(known), "votes").select("post", "text")
+    # votes of the chosen documents only: sorting them would run the votes of all twice more
+    sample = (rows.join(F.broadcast(chosen), "doc_id").select("text", said)
+              .join(F.broadcast(known), "votes").select("post", "text"))
     got = (sample.mapInArrow(_features, "post double, ids array<int>").filter(F.size("ids").between(1, SAMPLE_WORDS))
            .orderBy(F.xxhash64("ids"), "post").toArrow())
     ids = got["ids"].combine_chunks()
