@@ -158,14 +158,21 @@ def gap_rank(gaps: DataFrame, k: int = 50, critical_k: int = 10) -> DataFrame:
                         (F.col("priority") == "critical") & (F.col("rank") <= critical_k))
 
 
-def coverage_summary(assessed: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Overall line coverage %, tested / untested files, gap count."""
+def coverage_summary(assessed: DataFrame, gaps: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Overall line coverage %, tested / untested files, gap count.
+
+    ``total_files`` counts all scanned ``files`` where they are given, those
+    that do not parse included, else the assessed ones."""
     s = assessed.groupBy("repo").agg(
         F.sum("lines_covered").cast("long").alias("covered"),
         F.sum("lines_total").cast("long").alias("total"),
         F.count_if(F.col("line_rate") > 0).alias("tested_files"),
         F.count_if(~(F.col("line_rate") > 0)).alias("untested_files"),
         F.count(F.lit(1)).alias("total_files"))
+    if files is not None:
+        counted = ["covered", "total", "tested_files", "untested_files"]
+        s = (files.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"))
+             .join(s.drop("total_files"), "repo", "left").na.fill(0, counted))
     g = gaps.groupBy("repo").agg(F.count(F.lit(1)).alias("gap_files"),
                                  F.count_if(F.col("priority") == "critical").alias("critical_gaps"),
                                  F.count_if(F.col("complexity") > 50).alias("complex_gaps"))

@@ -174,7 +174,7 @@ def coverage_report(c: Corpus, coverage_records: DataFrame | None = None,
     joined = CV.join_coverage(parsed, CV.coverage_per_file(coverage_records))
     assessed = CV.assess_files(joined, c.tables["blocks"], policy)
     gaps = CV.gap_functions(CV.gap_filter(assessed, priority), c.tables["blocks"])
-    summary = CV.coverage_summary(assessed, gaps)
+    summary = CV.coverage_summary(assessed, gaps, files)
     return {"files": assessed, "gaps": CV.gap_rank(gaps), "summary": summary,
             "findings": CV.findings_coverage(summary, policy.lines_threshold)}
 

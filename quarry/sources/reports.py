@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +16,16 @@ def scan_coverage_xml(spark: SparkSession, path: str, repo: str | None = None) -
     without lines keeps one row with ``has_line = false``; ``line_rate`` is
     the class's ``line-rate`` attribute as given. ``doc_pos`` orders class elements by
     (file, position) so a repeated filename can be resolved "last wins".
-    Unreadable input yields an empty table, not an error.
+    A missing path yields an empty table; any other failure is raised.
     """
     schema = ("`_filename` STRING, `_line-rate` DOUBLE, "
               "lines STRUCT<line: ARRAY<STRUCT<`_number`: BIGINT, `_hits`: STRING>>>")
     try:
         raw = (spark.read.format("xml").option("rowTag", "class")
                .option("mode", "DROPMALFORMED").schema(schema).load(path))
-    except Exception:  # missing path: the original tool returns no coverage
+    except AnalysisException as error:  # missing path: the original tool returns no coverage
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame(
             [], "repo string, filename string, line_rate double, has_line boolean, line_no int, "
                 "hits long, covered boolean, doc_pos long")

@@ -95,10 +95,13 @@ def test_coverage_report_from_xml(spark, tmpdir_path):
     from conftest import write_tree
     from quarry.plans import reports as R
     root = os.path.join(tmpdir_path, "corpus")
-    write_tree(root, {"r/full.py": "a = 1\nb = 2\n", "r/part.py": "x = 1\n", "r/absent.py": "y = 1\n"})
+    write_tree(root, {"r/full.py": "a = 1\nb = 2\n", "r/part.py": "x = 1\n", "r/absent.py": "y = 1\n", "r/bad.py": "def (:\n"})
     xml = os.path.join(tmpdir_path, "coverage.xml")
     with open(xml, "w") as f:
         f.write(COV_XML)
     rep = R.coverage_report(R.scan(spark, root), coverage_xml={"r": xml})
     files = {r.path: (r.line_rate, r.priority) for r in rep["files"].collect()}
     assert files == {"full.py": (1.0, "low"), "part.py": (0.5, "medium"), "absent.py": (0.0, "medium")}
+    # a file that does not parse counts among all files only
+    total = rep["summary"].first()
+    assert (total.total_files, total.tested_files, total.untested_files) == (4, 2, 1)
