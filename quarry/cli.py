@@ -33,7 +33,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--max-detailed-files", type=int, default=50)
     p.add_argument("--focus")
     p.add_argument("--hops", type=int, default=5)
-    p.add_argument("--max-cycle-len", type=int, default=5)
+    p.add_argument("--max-cycle-len", type=int, default=None)
     p.add_argument("--pattern-type", action="append")
     p.add_argument("--coverage-xml", action="append", default=[],
                    help="repo=path/to/coverage.xml (repeatable)")

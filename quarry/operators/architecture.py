@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .findings import Rule, findings
+from .prefix import split_rank
 
 
 def _count(df: DataFrame | None, name: str) -> DataFrame | None:
@@ -105,11 +106,13 @@ def file_metrics(modules: DataFrame, blocks: DataFrame, functions: DataFrame,
 
 
 def top_files(metrics: DataFrame, k: int = 50) -> DataFrame:
-    """The ``k`` most complex files per repo (ties in path order); k=0
-    keeps all. Planned as a per-repo WindowGroupLimit."""
-    w = Window.partitionBy("repo").orderBy(F.col("complexity").desc(), T.path_sort_key("path"))
-    out = metrics.withColumn("rank", F.row_number().over(w))
-    return out.where(F.col("rank") <= k) if k else out
+    """The ``k`` most complex files per repo (ties in path order), planned
+    as a per-repo WindowGroupLimit; k=0 ranks all of them, with a repo's
+    files spread over tasks."""
+    order = [F.col("complexity").desc(), T.path_sort_key("path")]
+    if not k:
+        return split_rank(metrics, ["repo"], order).withColumn("rank", F.col("rank").cast("int"))
+    return metrics.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def repo_metrics(modules: DataFrame, totals: DataFrame, detailed: DataFrame) -> DataFrame:

@@ -1,19 +1,22 @@
 """Dependency graph (E1-E10) as DataFrames.
 
 ``edges(repo, src, dst)`` and ``nodes(repo, id, path)``. Iterative
-operators (cycles, k-hop) are bounded loops where each round is one join;
-every round's frontier is written to the reliable checkpoint folder so the
-plan stays small and a lost executor only repeats one round.
+operators (cycles, k-hop) are loops that end when the frontier is empty or
+nothing changes; every round's frontier is written to the reliable checkpoint
+folder so the plan stays small and a lost executor only repeats one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut_lineage
 from .findings import Rule, findings
+from .prefix import split_rank
 
 # Module-name prefixes treated as external packages.
 EXTERNAL_PREFIXES = ["pandas", "numpy", "sklearn", "matplotlib", "seaborn",
@@ -129,61 +132,99 @@ def hotspots(deg: DataFrame, hub_in: int = 5, bottleneck_out: int = 10) -> DataF
     the first condition and is never reached.)"""
     t = (F.when(F.col("in_degree") >= hub_in, "hub")
          .when(F.col("out_degree") >= bottleneck_out, "bottleneck"))
-    order = Window.partitionBy("repo").orderBy(F.round("centrality", 3).desc(), "id")
-    return (deg.select("repo", "id", "in_degree", "out_degree", "centrality", t.alias("type"))
-            .where(F.col("type").isNotNull()).withColumn("rank", F.row_number().over(order)))
+    hot = (deg.select("repo", "id", "in_degree", "out_degree", "centrality", t.alias("type"))
+           .where(F.col("type").isNotNull()))
+    return split_rank(hot, ["repo"], [F.round("centrality", 3).desc(), F.col("id")])
+
 
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges whose source is some edge's target and whose target is some edge's source."""
+    targets = e.select("repo", F.col("dst").alias("src")).distinct()
+    sources = e.select("repo", F.col("src").alias("dst")).distinct()
+    return e.join(targets, ["repo", "src"], "left_semi").join(sources, ["repo", "dst"], "left_semi")
 
-def simple_cycles(edges: DataFrame, max_len: int = 5, checkpoint: bool = True) -> DataFrame:
-    """Every elementary cycle of at most ``max_len`` nodes.
 
-    A cycle is reported once, starting at its smallest node: paths grow from
-    a start node only through larger nodes and close when an edge returns
-    to the start. Each round joins the frontier to the edges on
-    ``(repo, last)``; nodes without both in- and out-edges are pruned first.
-    Output: ``(repo, cycle, nodes, length, severity)`` where ``cycle`` is
-    ``a -> b -> a``. Enumeration is exponential in general, hence the bound.
+def _reach_labels(e: DataFrame, rounds: int = 4) -> DataFrame:
+    """``(repo, id, f, b)``: the largest node that reaches each node, and the largest that it reaches.
+
+    Both are passed on along the edges until none grows; a round is one join
+    and one aggregation, ``rounds`` of them run between checkpoints.
     """
-    e = edges.select("repo", "src", "dst").distinct()
-    has_in = e.select("repo", F.col("dst").alias("n")).distinct()
-    has_out = e.select("repo", F.col("src").alias("n")).distinct()
-    live = has_in.join(has_out, ["repo", "n"])
-    e = (e.join(live.withColumnRenamed("n", "src"), ["repo", "src"], "left_semi")
-         .join(live.withColumnRenamed("n", "dst"), ["repo", "dst"], "left_semi"))
-    if checkpoint:
-        e = cut_lineage(e)
-    self_loops = e.where(F.col("src") == F.col("dst")).select(
-        "repo", F.array("src").alias("nodes"))
-    out = [self_loops]
-    step = e.where(F.col("src") != F.col("dst"))
-    frontier = step.where(F.col("dst") > F.col("src")).select(
-        "repo", F.col("src").alias("start"), F.col("dst").alias("last"),
-        F.array("src", "dst").alias("nodes"))
-    for k in range(2, max_len + 1):
-        if checkpoint:
-            frontier = cut_lineage(frontier)
-            if frontier.isEmpty():  # no open path left: longer cycles cannot exist
-                break
-        closing = (frontier.join(step.select("repo", F.col("src").alias("last"), F.col("dst").alias("start")),
-                                 ["repo", "last", "start"], "left_semi")
-                   .select("repo", "nodes"))
-        out.append(closing)
-        if k == max_len:
-            break
-        nxt = frontier.join(step.select("repo", F.col("src").alias("last"), F.col("dst").alias("nx")),
-                            ["repo", "last"])
-        frontier = (nxt.where((F.col("nx") > F.col("start")) & ~F.array_contains("nodes", F.col("nx")))
-                    .select("repo", "start", F.col("nx").alias("last"),
-                            F.concat("nodes", F.array("nx")).alias("nodes")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
+    def way(source, target, name):
+        return e.select("repo", F.col(source).alias("id"), F.col(target).alias("to"), F.lit(name).alias("way"))
+    ends = e.select("repo", F.col("src").alias("id")).unionByName(e.select("repo", F.col("dst").alias("id"))).distinct()
+    ways = cut_lineage(way("src", "dst", "down").unionByName(way("dst", "src", "up"))
+                       .unionByName(ends.select("repo", "id", F.col("id").alias("to"), F.lit("stay").alias("way"))))
+    labels = ways.where("way = 'stay'").select("repo", "id", F.col("id").alias("f"), F.col("id").alias("b"))
+    told = {"f": "way <> 'up'", "b": "way <> 'down'"}
+    while True:
+        for _ in range(rounds):
+            said = labels.select("repo", "id", "f", "b").join(ways, ["repo", "id"])
+            labels = said.groupBy("repo", F.col("to").alias("id")).agg(
+                *[F.max(F.when(F.expr(when), F.col(c))).alias(c) for c, when in told.items()],
+                *[F.max(F.when(F.col("way") == "stay", F.col(c))).alias(f"{c}0") for c in told])
+        labels = cut_lineage(labels)
+        if labels.where("f <> f0 OR b <> b0").isEmpty():  # the last round moved nothing
+            return labels.select("repo", "id", "f", "b")
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """Edges between different nodes, without most of those that are on no cycle; all that are on one stay.
+
+    Nodes of one strongly connected component share both labels of
+    :func:`_reach_labels`, so edges between different labels are dropped and
+    the rest labelled again, until a pass drops less than half. (Passes
+    until nothing is dropped would leave exactly the components; the last
+    few edges cost more passes than they save.)
+    """
+    e = cut_lineage(_trimmed(_trimmed(edges.select("repo", "src", "dst").where("src <> dst").distinct())))
+    left, before = e.count(), None
+    while left and (before is None or left < 0.5 * before):
+        labels = _reach_labels(e)
+        ends = [labels.select("repo", F.col("id").alias(end), F.col("f").alias(f"{end}_f"), F.col("b").alias(f"{end}_b"))
+                for end in ("src", "dst")]
+        e = cut_lineage(e.join(ends[0], ["repo", "src"]).join(ends[1], ["repo", "dst"])
+                        .where("src_f = dst_f AND src_b = dst_b").select("repo", "src", "dst"))
+        before, left = left, e.count()
+    return e
+
+
+def simple_cycles(edges: DataFrame, max_len: int | None = None, rounds: int = 3) -> DataFrame:
+    """Every elementary cycle, or with ``max_len`` those of at most that many nodes.
+
+    Paths grow along :func:`cyclic_edges`, from a start node through larger
+    nodes, and close when an edge returns to the start, so
+    a cycle is reported once, from its smallest node. Each round joins the
+    paths to the edges on ``(repo, last)`` until none is open; ``rounds`` of
+    them run between checkpoints.
+    Output: ``(repo, cycle, nodes, length, severity, rank)`` where ``cycle``
+    is ``a -> b -> a`` and ``rank`` counts a repo's cycles by length, then
+    text. The number of cycles itself can be exponential in the edges.
+    """
+    out = [edges.where("src = dst").select("repo", F.array("src").alias("nodes")).distinct()]
+    step = cyclic_edges(edges)
+    follow = step.select("repo", F.col("src").alias("last"), F.col("dst").alias("nx"))
+    paths = cut_lineage(step.where("dst > src").select(
+        "repo", F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes")))
+    longer, size = F.col("nx") > F.col("start"), 2
+    while (max_len is None or size <= max_len) and not paths.isEmpty():
+        for _ in range(rounds if max_len is None else min(rounds, max_len + 1 - size)):
+            # a closed path has no last node: it finds no edge and stays as it is
+            paths = (paths.join(follow, ["repo", "last"], "left")
+                     .where("last IS NULL OR nx = start OR (nx > start AND NOT array_contains(nodes, nx))")
+                     .select("repo", "start", F.when(longer, F.col("nx")).alias("last"),
+                             F.when(longer, F.concat("nodes", F.array("nx"))).otherwise(F.col("nodes")).alias("nodes")))
+            size += 1
+        paths = cut_lineage(paths)
+        out.append(paths.where("last IS NULL").select("repo", "nodes"))
+        paths = paths.where("last IS NOT NULL")  # no open path left: longer cycles cannot exist
     length = F.size("nodes")
-    return res.select(
+    found = reduce(DataFrame.unionByName, out).select(
         "repo",
         F.array_join(F.concat("nodes", F.slice("nodes", 1, 1)), " -> ").alias("cycle"),
         "nodes", length.alias("length"),
         F.when(length <= 3, "critical").otherwise("warning").alias("severity"))
+    return split_rank(found, ["repo"], [F.col("length"), F.col("cycle")])
 
 
 def k_hop(nodes: DataFrame, edges: DataFrame, foci: DataFrame, depth: int = 5,
@@ -193,7 +234,8 @@ def k_hop(nodes: DataFrame, edges: DataFrame, foci: DataFrame, depth: int = 5,
     graph (``hop`` null). ``foci(repo, focus)``.
 
     Breadth-first: each round joins the frontier to the undirected edge
-    list and removes visited nodes with a left-anti join.
+    list. A neighbour of a node at hop h is at h - 1, h or h + 1, so an
+    anti-join with the last two levels leaves the new ones.
     """
     und = (edges.select("repo", F.col("src").alias("id"), F.col("dst").alias("nb"))
            .unionByName(edges.select("repo", F.col("dst").alias("id"), F.col("src").alias("nb")))
@@ -205,15 +247,17 @@ def k_hop(nodes: DataFrame, edges: DataFrame, foci: DataFrame, depth: int = 5,
              .withColumn("hop", F.lit(0)))
     visited = start
     frontier = start
+    last_two = start.select("repo", "id")
     for h in range(1, depth + 1):
         nxt = (frontier.join(und, ["repo", "id"]).select("repo", F.col("nb").alias("id")).distinct()
-               .join(visited.select("repo", "id"), ["repo", "id"], "left_anti")
+               .join(last_two, ["repo", "id"], "left_anti")
                .withColumn("hop", F.lit(h)))
         if checkpoint:
             nxt = cut_lineage(nxt)
             if nxt.isEmpty():  # checkpointed: a cheap look, and no more rounds
                 break
         visited = visited.unionByName(nxt)
+        last_two = frontier.select("repo", "id").unionByName(nxt.select("repo", "id"))
         frontier = nxt
     found = visited.select("repo").distinct()
     whole = (nodes.join(found, "repo", "left_anti").select("repo", "id", F.lit(None).cast("int").alias("hop")))
@@ -234,16 +278,16 @@ def graph_summary(deg: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFr
                           F.col("total_dependencies") / F.greatest(F.lit(1), F.col("total_modules")))
 
 
-# The thresholds of the dependency findings.
-DEPS_RULES = [
-    Rule("circular_dependencies", "circular_count", ">", 0),
-    Rule("high_coupling", "coupling", ">", 10),
-    Rule("bottlenecks", "n_bottlenecks", ">", 0),
-]
+# Fixed value: the coupling above which a repo is reported.
+MAX_COUPLING = 10
 
 
-def findings_deps(summary: DataFrame, metrics: DataFrame, hot: DataFrame) -> DataFrame:
+def findings_deps(summary: DataFrame, metrics: DataFrame, hot: DataFrame, max_coupling: float = MAX_COUPLING) -> DataFrame:
+    """Cycles, coupling above ``max_coupling``, bottlenecks; else ``ok``."""
+    rules = [Rule("circular_dependencies", "circular_count", ">", 0),
+             Rule("high_coupling", "coupling", ">", max_coupling),
+             Rule("bottlenecks", "n_bottlenecks", ">", 0)]
     b = hot.where(F.col("type") == "bottleneck").groupBy("repo").agg(F.count(F.lit(1)).alias("n_bottlenecks"))
     s = (summary.join(metrics.select("repo", "coupling"), "repo", "left")
          .join(b, "repo", "left").na.fill(0, ["n_bottlenecks"]))
-    return findings(s, "deps", DEPS_RULES)
+    return findings(s, "deps", rules)

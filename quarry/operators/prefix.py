@@ -67,3 +67,9 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column],
     out = scanned.join(offsets, group_cols + ["_slice"])
     return (out.withColumn(out_col, F.col("_local") + F.col("_offset"))
             .drop("_slice", "_local", "_offset"))
+
+
+def split_rank(df: DataFrame, group_cols: list[str], order_cols: list[Column], out_col: str = "rank") -> DataFrame:
+    """Row number per group in ``order_cols`` order (total within a group); a hot group is spread over tasks."""
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    return running_sum(ones, group_cols, order_cols, "_one", out_col).drop("_one")

@@ -1,6 +1,6 @@
-"""Dependency-graph queries. Binding: the supplier succession graph from
-line items, one repo per region; suppliers are the files, a supplier with a
-positive balance is a parsed module."""
+"""Dependency-graph queries. Binding: one repo per order; its suppliers are
+the files, edges lead from each line item's supplier to the next one's, and a
+supplier with a positive balance is a parsed module."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from ..operators import graph as G
 from ..session import cut_lineage
 from . import sql_common as S
 from .registry import register
-from .tables import succession_edges, supplier_id, supplier_nodes, supplier_region, table
+from .tables import order_suppliers, succession_edges, supplier_nodes, table
 
-HUB_IN = 5
-BOTTLENECK_OUT = 3
-CYCLE_MAX = 3
+HUB_IN = 2
+BOTTLENECK_OUT = 2
+MAX_COUPLING = 2
 HOPS = 2
 
 
@@ -29,13 +29,11 @@ def _deg(spark, d, edges=None):
 
 
 def _cycles(spark, d, edges=None):
-    return G.simple_cycles(edges if edges is not None else _edges(spark, d), CYCLE_MAX)
+    return G.simple_cycles(edges if edges is not None else _edges(spark, d))
 
 
 def supplier_files(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return s.join(supplier_region(spark, d), "s_suppkey").select(
-        "repo", F.concat(supplier_id("s_suppkey"), F.lit(".py")).alias("path"), "s_acctbal")
+    return order_suppliers(spark, d).select("repo", F.concat("id", F.lit(".py")).alias("path"), "s_acctbal")
 
 
 def _build(spark, d):
@@ -77,18 +75,14 @@ hot AS (
          CASE WHEN in_degree >= """ + str(HUB_IN) + """ THEN 'hub' ELSE 'bottleneck' END AS type
   FROM deg WHERE in_degree >= """ + str(HUB_IN) + " OR out_degree >= " + str(BOTTLENECK_OUT) + r"""
 ),
-e1 AS (SELECT DISTINCT repo, src, dst FROM edges),
-cyc AS (
-  SELECT repo, [src] AS nodes FROM e1 WHERE src = dst
+walk(repo, start, last, nodes) AS (
+  SELECT repo, src, dst, [src] FROM edges WHERE dst >= src
   UNION ALL
-  SELECT a.repo, [a.src, a.dst] FROM e1 a JOIN e1 b ON a.repo = b.repo AND a.dst = b.src AND b.dst = a.src
-  WHERE a.src < a.dst
-  UNION ALL
-  SELECT a.repo, [a.src, a.dst, b.dst] FROM e1 a
-  JOIN e1 b ON a.repo = b.repo AND a.dst = b.src
-  JOIN e1 c ON b.repo = c.repo AND b.dst = c.src AND c.dst = a.src
-  WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst
+  SELECT w.repo, w.start, e.dst, list_append(w.nodes, w.last)
+  FROM walk w JOIN edges e ON w.repo = e.repo AND w.last = e.src
+  WHERE w.last <> w.start AND e.dst >= w.start AND NOT list_contains(w.nodes, w.last)
 ),
+cyc AS (SELECT repo, nodes FROM walk WHERE last = start),
 gsum AS (
   SELECT n.repo, n.total_modules, coalesce(m.total_dependencies, 0) AS total_dependencies,
          coalesce(c.circular_count, 0) AS circular_count,
@@ -99,38 +93,42 @@ gsum AS (
 )"""
 
 
-@register("degrees", "WITH " + SQL_DEG + "\nSELECT * FROM deg")
+@register("degrees", "WITH RECURSIVE " + SQL_DEG + "\nSELECT * FROM deg")
 def q_degrees(spark, d):
     return _deg(spark, d)
 
 
-@register("graph_metrics", "WITH " + SQL_DEG + "\nSELECT * FROM gm")
+@register("graph_metrics", "WITH RECURSIVE " + SQL_DEG + "\nSELECT * FROM gm")
 def q_graph_metrics(spark, d):
     return G.graph_metrics(_deg(spark, d))
 
 
-@register("hotspots", "WITH " + SQL_DEG + """
-SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY round(centrality, 3) DESC, id) AS INTEGER) AS rank FROM hot""")
+@register("hotspots", "WITH RECURSIVE " + SQL_DEG + """
+SELECT *, row_number() OVER (PARTITION BY repo ORDER BY round(centrality, 3) DESC, id) AS rank FROM hot""")
 def q_hotspots(spark, d):
     return G.hotspots(_deg(spark, d), HUB_IN, BOTTLENECK_OUT)
 
 
-@register("simple_cycles", "WITH " + SQL_DEG + r"""
-SELECT repo, array_to_string(list_concat(nodes, [nodes[1]]), ' -> ') AS cycle,
-       CAST(len(nodes) AS INTEGER) AS length,
-       CASE WHEN len(nodes) <= 3 THEN 'critical' ELSE 'warning' END AS severity
-FROM cyc""")
+SQL_CYCLES = r"""
+SELECT *, row_number() OVER (PARTITION BY repo ORDER BY length, cycle) AS rank FROM (
+  SELECT repo, array_to_string(list_concat(nodes, [nodes[1]]), ' -> ') AS cycle,
+         CAST(len(nodes) AS INTEGER) AS length,
+         CASE WHEN len(nodes) <= 3 THEN 'critical' ELSE 'warning' END AS severity
+  FROM cyc WHERE len(nodes) <= {longest})"""
+
+
+@register("simple_cycles", "WITH RECURSIVE " + SQL_DEG + SQL_CYCLES.format(longest=1000000))
 def q_simple_cycles(spark, d):
     return _cycles(spark, d).drop("nodes")
 
 
-@register("graph_summary", "WITH " + SQL_DEG + "\nSELECT * FROM gsum")
+@register("graph_summary", "WITH RECURSIVE " + SQL_DEG + "\nSELECT * FROM gsum")
 def q_graph_summary(spark, d):
     e = _edges(spark, d)
     return G.graph_summary(_deg(spark, d, e), e, _cycles(spark, d, e))
 
 
-@register("findings_deps", "WITH " + SQL_DEG + r""",
+@register("findings_deps", "WITH RECURSIVE " + SQL_DEG + r""",
 j AS (
   SELECT g.repo, g.circular_count, m.coupling,
          coalesce((SELECT count(*) FROM hot h WHERE h.repo = g.repo AND h.type = 'bottleneck'), 0) AS n_bottlenecks
@@ -138,7 +136,7 @@ j AS (
 ),
 fired AS (
   SELECT repo, 0 AS rule_ord, 'circular_dependencies' AS rule, CAST(circular_count AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS threshold FROM j WHERE circular_count > 0
-  UNION ALL SELECT repo, 1, 'high_coupling', coupling, CAST(10 AS DOUBLE) FROM j WHERE coupling > 10
+  UNION ALL SELECT repo, 1, 'high_coupling', coupling, CAST(2 AS DOUBLE) FROM j WHERE coupling > 2
   UNION ALL SELECT repo, 2, 'bottlenecks', n_bottlenecks, CAST(0 AS DOUBLE) FROM j WHERE n_bottlenecks > 0
 )
 SELECT repo, 'deps' AS area, rule_ord, rule, value, threshold FROM fired
@@ -147,7 +145,8 @@ def q_findings_deps(spark, d):
     e = _edges(spark, d)
     deg = _deg(spark, d, e)
     summ = G.graph_summary(deg, e, _cycles(spark, d, e))
-    return G.findings_deps(summ, G.graph_metrics(deg), G.hotspots(deg, HUB_IN, BOTTLENECK_OUT))
+    return G.findings_deps(summ, G.graph_metrics(deg), G.hotspots(deg, HUB_IN, BOTTLENECK_OUT),
+                           MAX_COUPLING)
 
 
 SQL_KHOP = SQL_DEG + r""",
@@ -172,12 +171,12 @@ def _khop(spark, d):
     return G.k_hop(nodes, _edges(spark, d), foci, HOPS)
 
 
-@register("k_hop", "WITH " + SQL_KHOP + "\nSELECT repo, id, hop FROM kept")
+@register("k_hop", "WITH RECURSIVE " + SQL_KHOP + "\nSELECT repo, id, hop FROM kept")
 def q_k_hop(spark, d):
     return _khop(spark, d)[0]
 
 
-@register("k_hop_edges", "WITH " + SQL_KHOP + r"""
+@register("k_hop_edges", "WITH RECURSIVE " + SQL_KHOP + r"""
 SELECT e.repo, e.src, e.dst FROM edges e
 WHERE EXISTS (SELECT 1 FROM kept k WHERE k.repo = e.repo AND k.id = e.src)
   AND EXISTS (SELECT 1 FROM kept k WHERE k.repo = e.repo AND k.id = e.dst)""")
@@ -186,8 +185,7 @@ def q_k_hop_edges(spark, d):
 
 
 SQL_BUILD = S.SUCCESSION + r""",
-sfiles AS (SELECT r.repo, 's' || CAST(s.s_suppkey AS VARCHAR) || '.py' AS path, s.s_acctbal
-           FROM supplier s JOIN sreg r ON s.s_suppkey = r.s_suppkey),
+sfiles AS (SELECT r.repo, 's' || CAST(r.s_suppkey AS VARCHAR) || '.py' AS path, r.s_acctbal FROM sreg r),
 imps AS (SELECT repo, src || '.py' AS path, dst AS module FROM edges),
 loc AS (
   SELECT i.* FROM imps i
@@ -201,7 +199,7 @@ be AS (
 )"""
 
 
-@register("local_imports", "WITH " + SQL_BUILD + "\nSELECT repo, path, module FROM loc")
+@register("local_imports", "WITH RECURSIVE " + SQL_BUILD + "\nSELECT repo, path, module FROM loc")
 def q_local_imports(spark, d):
     files = supplier_files(spark, d)
     imports = succession_edges(spark, d).select(
@@ -209,12 +207,12 @@ def q_local_imports(spark, d):
     return G.local_imports(imports, files, external_prefixes=["s1"]).select("repo", "path", "module")
 
 
-@register("build_edges", "WITH " + SQL_BUILD + "\nSELECT repo, src, dst FROM be")
+@register("build_edges", "WITH RECURSIVE " + SQL_BUILD + "\nSELECT repo, src, dst FROM be")
 def q_build_edges(spark, d):
     return _build(spark, d)[0].select("repo", "src", "dst")
 
 
-@register("graph_nodes", "WITH " + SQL_BUILD + r""",
+@register("graph_nodes", "WITH RECURSIVE " + SQL_BUILD + r""",
 parsed AS (SELECT repo, regexp_replace(path, '\.py$', '') AS id, path FROM sfiles WHERE s_acctbal > 0)
 SELECT repo, id, path FROM parsed
 UNION ALL
@@ -240,26 +238,12 @@ def q_classify_path(spark, d):
     return docs.select(F.col("source").alias("repo"), "doc_id", G.classify_path("text").alias("type"))
 
 
-@register("simple_cycles_4", "WITH " + SQL_DEG + r""",
-cyc4 AS (
-  SELECT * FROM cyc
-  UNION ALL
-  SELECT a.repo, [a.src, a.dst, b.dst, c.dst] FROM e1 a
-  JOIN e1 b ON a.repo = b.repo AND a.dst = b.src
-  JOIN e1 c ON b.repo = c.repo AND b.dst = c.src
-  JOIN e1 x ON c.repo = x.repo AND c.dst = x.src AND x.dst = a.src
-  WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst
-    AND a.dst <> b.dst AND a.dst <> c.dst AND b.dst <> c.dst
-)
-SELECT repo, array_to_string(list_concat(nodes, [nodes[1]]), ' -> ') AS cycle,
-       CAST(len(nodes) AS INTEGER) AS length,
-       CASE WHEN len(nodes) <= 3 THEN 'critical' ELSE 'warning' END AS severity
-FROM cyc4""")
+@register("simple_cycles_4", "WITH RECURSIVE " + SQL_DEG + SQL_CYCLES.format(longest=4))
 def q_simple_cycles_4(spark, d):
     return G.simple_cycles(_edges(spark, d), 4).drop("nodes")
 
 
-@register("k_hop_3", "WITH " + SQL_KHOP + r""",
+@register("k_hop_3", "WITH RECURSIVE " + SQL_KHOP + r""",
 h3 AS (
   SELECT DISTINCT u.repo, u.nb AS id, 3 AS hop FROM h2 JOIN und u ON h2.repo = u.repo AND h2.id = u.id
   WHERE NOT EXISTS (SELECT 1 FROM kept x WHERE x.repo = u.repo AND x.id = u.nb)

@@ -116,7 +116,7 @@ def arch_report(c: Corpus, depth: str = "detailed", min_complexity: int = 0,
 
 
 def deps_report(c: Corpus, focus: str | None = None, depth: int = 5, detect_circular: bool = True,
-                max_cycle_len: int = 5, hub_in: int = 5, bottleneck_out: int = 10) -> dict[str, DataFrame]:
+                max_cycle_len: int | None = None, hub_in: int = 5, bottleneck_out: int = 10) -> dict[str, DataFrame]:
     t = c.tables
     local = G.local_imports(t["imports"], c.all_paths if c.all_paths is not None else c.files)
     parsed = c.parsed.select("repo", "path")
@@ -129,7 +129,7 @@ def deps_report(c: Corpus, focus: str | None = None, depth: int = 5, detect_circ
         nodes = nodes.join(kept.select("repo", "id"), ["repo", "id"], "left_semi")
     deg = cut_lineage(G.degrees(nodes, edges))
     cycles = cut_lineage(G.simple_cycles(edges, max_cycle_len)) if detect_circular else \
-        edges.sparkSession.createDataFrame([], "repo string, cycle string, nodes array<string>, length int, severity string")
+        edges.sparkSession.createDataFrame([], "repo string, cycle string, nodes array<string>, length int, severity string, rank long")
     metrics = G.graph_metrics(deg)
     hot = G.hotspots(deg, hub_in, bottleneck_out)
     summary = G.graph_summary(deg, edges, cycles)

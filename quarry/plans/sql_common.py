@@ -75,29 +75,19 @@ def pkey(x: str) -> str:
 
 SUCCESSION = r"""
 sreg AS (
-  SELECT s.s_suppkey, lower(r.r_name) AS repo, n.n_name, s.s_name
-  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-),
-succ_pairs AS (
-  SELECT src, dst, count(*) AS n FROM (
-    SELECT l_suppkey AS src,
-           lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst
-    FROM lineitem) WHERE dst IS NOT NULL GROUP BY src, dst
-),
-succ_top AS (
-  SELECT src, dst FROM (
-    SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM succ_pairs
-  ) WHERE k <= 3
+  SELECT DISTINCT 'o' || CAST(l.l_orderkey AS VARCHAR) AS repo, s.s_suppkey, s.s_name, s.s_acctbal,
+         ['tests', 'utils', 'models', 'views', 'services', 'lib/__init__', 'core'][s.s_nationkey % 7 + 1] AS folder
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
 ),
 edges AS (
-  SELECT DISTINCT a.repo, 's' || CAST(t.src AS VARCHAR) AS src,
-         's' || CAST(t.dst AS VARCHAR) AS dst
-  FROM succ_top t JOIN sreg a ON t.src = a.s_suppkey JOIN sreg b ON t.dst = b.s_suppkey
-  WHERE a.repo = b.repo
+  SELECT DISTINCT 'o' || CAST(l_orderkey AS VARCHAR) AS repo, 's' || CAST(src AS VARCHAR) AS src,
+         's' || CAST(dst AS VARCHAR) AS dst
+  FROM (SELECT l_orderkey, l_suppkey AS src,
+               lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst
+        FROM lineitem) WHERE dst IS NOT NULL
 ),
 snodes AS (
-  SELECT repo, 's' || CAST(s_suppkey AS VARCHAR) AS id,
-         lower(n_name) || '/' || s_name || '.py' AS path
+  SELECT repo, 's' || CAST(s_suppkey AS VARCHAR) AS id, folder || '/' || s_name || '.py' AS path
   FROM sreg
 )"""
 

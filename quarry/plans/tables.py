@@ -113,49 +113,44 @@ def order_entities(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# lineitem -> supplier succession graph; repo = the suppliers' region
+# lineitem -> one dependency graph per order: its suppliers are the files, an
+# edge leads from each line item's supplier to the next one's
 # --------------------------------------------------------------------------
 
-def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(s_suppkey, repo, n_name)`` with repo = lower-case region name."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return (s.join(n, s.s_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
-            .select("s_suppkey", F.lower("r_name").alias("repo"), "n_name"))
+#: Folders of the supplier files, by nation key: one for each node class.
+FOLDERS = ["tests", "utils", "models", "views", "services", "lib/__init__", "core"]
 
 
-def succession_edges(spark: SparkSession, sf_dir: str, keep: int = 3) -> DataFrame:
-    """Edges src -> dst where dst is the next line item's supplier in an
-    order; per source the ``keep`` most frequent successors (ties by dst);
-    an edge belongs to its region's repo and edges across regions are
-    dropped."""
+def order_repo() -> F.Column:
+    return F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+
+
+def succession_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct edges from each line item's supplier to that of the order's next line item."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
-    pairs = (li.select(F.col("l_suppkey").alias("src"),
-                       F.lead("l_suppkey").over(w).alias("dst"))
-             .where(F.col("dst").isNotNull())
-             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
-    wk = Window.partitionBy("src").orderBy(F.col("n").desc(), "dst")
-    top = pairs.withColumn("k", F.row_number().over(wk)).where(F.col("k") <= keep)
-    reg = supplier_region(spark, sf_dir)
-    rs = reg.select(F.col("s_suppkey").alias("src"), F.col("repo"))
-    rd = reg.select(F.col("s_suppkey").alias("dst"), F.col("repo").alias("dst_repo"))
-    return (top.join(rs, "src").join(rd, "dst").where(F.col("repo") == F.col("dst_repo"))
-            .select("repo", supplier_id("src").alias("src"), supplier_id("dst").alias("dst")))
+    return (li.select(order_repo().alias("repo"), supplier_id("l_suppkey").alias("src"),
+                      supplier_id(F.lead("l_suppkey").over(w)).alias("dst"))
+            .where(F.col("dst").isNotNull()).distinct())
 
 
 def supplier_id(c) -> F.Column:
     return F.concat(F.lit("s"), T.as_col(c).cast("string"))
 
 
+def order_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of each order, ``(repo, id, s_name, s_nationkey, s_acctbal)``."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    return (li.join(s, li.l_suppkey == s.s_suppkey)
+            .select(order_repo().alias("repo"), supplier_id("s_suppkey").alias("id"), "s_name", "s_nationkey", "s_acctbal"))
+
+
 def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph nodes with a path: nation/name, so classify_path has tokens."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    reg = supplier_region(spark, sf_dir)
-    return (s.join(reg, "s_suppkey")
-            .select("repo", supplier_id("s_suppkey").alias("id"),
-                    F.concat(F.lower("n_name"), F.lit("/"), F.col("s_name"), F.lit(".py")).alias("path")))
+    """Graph nodes with a path: folder/name."""
+    folder = F.element_at(F.array(*[F.lit(f) for f in FOLDERS]), (F.col("s_nationkey") % len(FOLDERS) + 1).cast("int"))
+    return order_suppliers(spark, sf_dir).select(
+        "repo", "id", F.concat(folder, F.lit("/"), "s_name", F.lit(".py")).alias("path"))
 
 
 # --------------------------------------------------------------------------
