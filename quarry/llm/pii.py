@@ -23,8 +23,9 @@ KINDS: dict[str, tuple[str, float, str]] = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|address|host|server|login"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|credit|payment"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|call|tel|mobile|fax"),
-    "iban": (r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)", 0.9,
-             "iban|account|bank|transfer"),
+    # takes one letter at each place where an account number may start; groups: the rest of it at its longest, what follows
+    "iban": (r"(?<![A-Za-z0-9])[A-Z](?=([A-Z][0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?))"
+             r"((?s:.{0,40})))", 0.9, "iban|account|bank|transfer"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social|security"),
 }
 #: Kinds whose spans are all reported once confirmed; others need a score of `threshold`.
@@ -57,6 +58,14 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), step) == 1
 
 
+def _account(longest: Column, after: Column) -> Column:
+    """The longest start of a proposed account number, cut between its groups of four, that passes the checks; or null."""
+    whole = F.when(~after.rlike("^[A-Za-z0-9]") & mod97(longest), longest)
+    spaced = F.substring(longest, 5, 1) == " "
+    starts = [(F.char_length(longest) > 4 + 5 * n, F.substring(longest, 1, 4 + 5 * n)) for n in range(7, 1, -1)]
+    return F.coalesce(whole, *[F.when(spaced & longer & mod97(start), start) for longer, start in starts])
+
+
 def _confirmed() -> Column:
     hit, digits = F.col("hit"), _digits(F.col("hit"))
     n = F.length(digits)
@@ -65,7 +74,7 @@ def _confirmed() -> Column:
             .when(F.col("kind") == "ip", hit.rlike(_OCTETS))
             .when(F.col("kind") == "card", F.when(n.between(16, 19), luhn(digits)).otherwise(False))
             .when(F.col("kind") == "phone", n.between(8, 15))
-            .when(F.col("kind") == "iban", alone & mod97(hit))
+            .when(F.col("kind") == "iban", hit.isNotNull())
             .otherwise(alone))
 
 
@@ -76,41 +85,55 @@ def find_spans(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> D
     64-bit hash and tells rows of one id apart. Rows repeated with the same
     id and text give each span once. The score is the kind's, raised if one
     of its context words stands within 40 characters; spans of the kinds
-    beyond email, ip, card and phone need ``threshold``. Null and empty texts
-    have no spans; a null id is an id like any other.
+    beyond email, ip, card and phone need ``threshold``. An account number may
+    be followed by other words in capitals or by a second number; one within
+    an earlier one is not listed. Null and empty texts have no spans; a null
+    id is an id like any other.
     """
     whole = text_or_empty(text)
     found = []
     for kind, (pattern, _, _) in KINDS.items():
-        hits = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
-        pairs = F.transform(F.arrays_zip(F.split(whole, pattern, -1).alias("gap"), hits.alias("hit")),
+        hits, rest, after = (F.regexp_extract_all(whole, F.lit(pattern), F.lit(g if kind == "iban" else 0)) for g in range(3))
+        pairs = F.transform(F.arrays_zip(F.split(whole, pattern, -1).alias("gap"), hits.alias("hit"),
+                                         rest.alias("rest"), after.alias("after")),
                             lambda p, i: F.struct(
                                 F.lit(kind).alias("kind"), i.alias("nth"),
                                 F.char_length(p["gap"]).alias("gap"),
                                 F.right(p["gap"], F.lit(CONTEXT)).alias("left"),
-                                F.left(p["gap"], F.lit(CONTEXT)).alias("head"), p["hit"].alias("hit")))
+                                F.left(p["gap"], F.lit(CONTEXT)).alias("head"),
+                                F.char_length(p["hit"]).alias("taken"),
+                                (F.concat(p["hit"], p["rest"]) if kind == "iban" else p["hit"]).alias("hit"),
+                                (p["after"] if kind == "iban" else F.lit(None).cast("string")).alias("after")))
         may = F.contains(whole, F.lit(HINTS[kind])) & whole.rlike(pattern) if kind in HINTS else whole.rlike(pattern)
         found.append(F.when(may, pairs))
-    none = F.array().cast("array<struct<kind:string,nth:int,gap:int,left:string,head:string,hit:string>>")
+    none = F.array().cast("array<struct<kind:string,nth:int,gap:int,left:string,head:string,taken:int,hit:string,after:string>>")
     proposals = (docs.select("doc_id", F.xxhash64(whole).alias("text_mark"),
                              F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("p"))
                  .select("doc_id", "text_mark", "p.*"))
     # one row for each match even where rows are repeated, then running offsets within a text
     once = proposals.repartition("doc_id", "text_mark").dropDuplicates(["doc_id", "text_mark", "kind", "nth"])
     order = W.partitionBy("doc_id", "text_mark", "kind").orderBy("nth")
-    length = F.coalesce(F.char_length("hit"), F.lit(0))
-    spans = (once.withColumn("end", F.sum(F.col("gap") + length).over(order))
+    taken = F.coalesce("taken", F.lit(0))
+    iban = F.col("kind") == "iban"
+    account = F.when(iban, _account(F.col("hit"), F.col("after"))).otherwise(F.col("hit"))
+    beyond = F.substr(F.concat("longest", "after"), F.char_length("hit") + 1, F.lit(CONTEXT))
+    spans = (once.withColumn("start", F.sum(F.col("gap") + taken).over(order) - taken)
              .withColumn("right", F.coalesce(F.lead("head").over(order), F.lit("")))
-             .filter(F.col("hit").isNotNull()))
+             .filter(F.col("hit").isNotNull())
+             .withColumn("longest", F.col("hit")).withColumn("hit", account)
+             .withColumn("right", F.when(iban, beyond).otherwise(F.col("right")))
+             .withColumn("end", F.col("start") + F.char_length("hit")))
     score, words = F.lit(0.0), F.lit("")
     for kind, (_, base, context) in KINDS.items():
         score = F.when(F.col("kind") == kind, F.lit(base)).otherwise(score)
         words = F.when(F.col("kind") == kind, F.lit(rf"(?i)\b(?:{context})\b")).otherwise(words)
     near = F.regexp_like(F.concat_ws(" ", "left", "right"), words)
     score = F.least(score + F.when(near, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)), F.lit(1.0))
+    reached = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     return (spans.filter(_confirmed()).withColumn("score", score)
             .filter(F.col("kind").isin(*BASE_KINDS) | (F.col("score") >= threshold))
-            .select("doc_id", "text_mark", "kind", (F.col("end") - length).alias("start"), "end",
+            .withColumn("reached", reached).filter(~iban | F.col("reached").isNull() | (F.col("end") > F.col("reached")))
+            .select("doc_id", "text_mark", "kind", "start", "end",
                     F.col("hit").alias("value"), "score"))
 
 

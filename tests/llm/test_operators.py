@@ -141,6 +141,18 @@ def test_pii_spans(spark):
     assert empty.spans == "" and empty.n_email == 0 and empty.base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_account_numbers_before_other_words_in_capitals(spark):
+    be, at, es, de = "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000"
+    cases = [(f"to {be} BIC KREDBEBB", [be]), (f"{at} EUR 20", [at]), (f"x {es} CAIXESBB", [es]), (f"{be} {at}", [be, at]),
+             (f"REF AB13 3456 7890 {be} OK", [be]), (f"{de} BIC {es}", [de, es]), (f"{be}, {be}", [be, be]),
+             (f"x{be} {be}x", []), ("BE68 5390 0754 7035 BIC", []), (f"é\U0001f600 {be}\n{at}", [be, at])]
+    got = pii.find_spans(docs(spark, [t for t, _ in cases])).filter("kind = 'iban'").collect()
+    for r in got:
+        assert cases[r.doc_id][0][r.start:r.end] == r.value
+    found = sorted((r.doc_id, r.start, r.value) for r in got)
+    assert [[v for i, _, v in found if i == n] for n in range(len(cases))] == [want for _, want in cases]
+
+
 def test_language_profiles(spark):
     rng = random.Random(1)
     say = lambda of, n: " ".join("".join(rng.choice(of) for _ in range(5)) for _ in range(n))
