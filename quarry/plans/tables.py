@@ -52,7 +52,7 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .alias("pos", "name"))
     # seq orders words in a file: line first, then position in the line
     return w.select("repo", "path", F.col("line_no").alias("line"),
-                    (F.col("line_no").cast("long") * 100000 + F.col("pos")).alias("seq"), "name")
+                    F.struct(F.col("line_no").alias("line"), "pos").alias("seq"), "name")
 
 
 # --------------------------------------------------------------------------
@@ -107,9 +107,7 @@ def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_entities(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
     it = order_items(spark, sf_dir).where(F.col("l_linestatus") == status)
-    seq = (F.col("line").cast("long") * 10_000_000_000 + F.col("l_partkey") * 100_000
-           + F.col("l_suppkey"))
-    return it.select("repo", "path", seq.alias("seq"), "name", "line")
+    return it.select("repo", "path", F.struct("line", "l_partkey", "l_suppkey").alias("seq"), "name", "line")
 
 
 # --------------------------------------------------------------------------
