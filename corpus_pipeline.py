@@ -34,11 +34,12 @@ def _one_row_each(docs: DataFrame, kept: DataFrame, docs_key: Column, kept_key:
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language could be told; null texts and texts without a letter go."""
-    columns = docs.columns
+    """Documents whose language could be told, or all if none could be learned; null texts and texts without a letter go."""
     profiles = language_id.learn_profiles(docs)
-    found = language_id.predict_languages(docs, profiles)
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*columns)
+    if not profiles.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.with_prediction(docs, profiles, "__found")
+    return found.filter(F.col("__found.lang_pred") != language_id.UNDETERMINED).drop("__found")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,14 +160,8 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
 _RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
 
-def predict_languages(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (1: every n-gram in its place) of each whole text.
-
-    A text that is null or has no letter, and every text if no language was
-    learned, gets ``und`` and 0. Equally distant languages: the first by
-    name. Repeated rows repeat their result; columns of these two names are
-    replaced and all others stay.
-    """
+def with_prediction(docs: DataFrame, profiles: Profiles, column: str, text: str = "text") -> DataFrame:
+    """``docs`` with a struct ``column`` of ``lang_pred`` and ``score`` (see ``predict_languages``); all others stay."""
     ship_package(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -178,7 +172,18 @@ def predict_languages(docs: DataFrame, profiles: Profiles, text: str = "text") -
                 [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["lang_pred", "score"])
 
-    got = docs.withColumn("__found", F.arrow_udf(predict, _RESULT)(F.col(text)))
+    return docs.withColumn(column, F.arrow_udf(predict, _RESULT)(F.col(text)))
+
+
+def predict_languages(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (1: every n-gram in its place) of each whole text.
+
+    A text that is null or has no letter, and every text if no language was
+    learned, gets ``und`` and 0. Equally distant languages: the first by
+    name. Repeated rows repeat their result; columns of these two names are
+    replaced and all others stay.
+    """
+    got = with_prediction(docs, profiles, "__found", text)
     return (got.withColumn("lang_pred", F.col("__found.lang_pred")).withColumn("score", F.col("__found.score"))
             .drop("__found"))
 

@@ -25,3 +25,13 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert [r.position for r in out] == sorted(r.position for r in out)
     for name, stage in P.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_language_stage_without_languages_and_with_columns_of_its_names(spark, tmp_path):
+    rows = [(1, "a text", None, 7.0, "mine"), (2, None, None, 8.0, "mine"), (3, "12 34", None, 9.0, None), (4, "é", None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    got = P.detect_language(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[3]]
+    known = [(i, t, "en", s, p) for i, t, _, s, p in rows]
+    got = P.detect_language(spark, spark.createDataFrame(known, docs.schema), str(tmp_path))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [known[0], known[3]]
