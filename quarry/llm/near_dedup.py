@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     shingles, or all its words as one if it has fewer. Documents with
     100 * intersection >= ``percent`` * union are linked; component_id is the
     smallest doc_id that can be reached, and a row is kept if that is its
-    own. Texts that are null or without words have an empty set and are
+    own and, of that id's texts in the component, its text has the smallest
+    text_mark. Texts that are null or without words have an empty set and are
     linked with nothing; so are rows with a null id, whose component_id is
     null and which are kept. Repeated rows share their result. Rows of one id
     with different texts are linked each by its own text. Other columns are
@@ -226,8 +227,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         _signatures(words, bands, ROWS),
         "doc_id bigint, text_mark bigint, n_shingles bigint, words_mark binary, bands array<bigint>"), "signatures")
     classes = materialise(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("words_mark").agg(
-        F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"),
-        F.min_by("bands", "doc_id").alias("bands")), "classes")
+        F.min(F.struct("doc_id", "text_mark")).alias("first"), F.max("n_shingles").alias("n_shingles"),
+        F.min_by("bands", "doc_id").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "classes")
     banded = materialise(classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")), "bands")
     buckets = banded.groupBy("band", "value").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = materialise(banded.join(buckets, ["band", "value"]).filter("id <> hub")
@@ -235,7 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     clusters = components(stars, "hub", "id").withColumnRenamed("component", "cluster")
     marks = classes.select(F.col("id"), F.col("words_mark"), "n_shingles").join(clusters, "id")
     # only documents that met another one need their sets
-    sets = materialise(texts.join(clusters.select(F.col("id").alias("doc_id")), "doc_id").mapInArrow(
+    met = classes.join(clusters, "id").select("id", "first.doc_id", "first.text_mark")
+    sets = materialise(texts.join(met, ["doc_id", "text_mark"]).select("id", "text").mapInArrow(
         _sets(words), "id bigint, shingles array<bigint>"), "shingle-sets").dropDuplicates(["id", "shingles"])
     first = _confirmed(_star_groups(stars), sets, percent)
     after = components(first)
@@ -243,11 +245,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         "cluster", F.coalesce("component", "id").alias("component"), "id", "n_shingles"), "members")
     rest = _confirmed(_rest_groups(members), sets, percent)
     final = components(first.unionByName(rest)).select(F.col("id").alias("class_id"), "component")
-    per_class = (classes.select(F.col("words_mark").alias("mark"), F.col("id").alias("class_id"))
-                 .join(final, "class_id", "left")
-                 .select("mark", F.coalesce("component", "class_id").alias("component")))
+    named = (classes.select(F.col("words_mark").alias("mark"), F.col("id").alias("class_id"), "first")
+             .join(final, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
+    per_class = named.select("mark", "component").join(
+        named.groupBy("component").agg(F.min("first").alias("first")), "component").select("mark", "first")
     rows = signed.select("doc_id", "text_mark", "n_shingles", "words_mark")
     found = rows.join(per_class, (F.col("words_mark") == F.col("mark")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component) & F.coalesce(F.col("first.text_mark") == F.col("text_mark"), F.lit(True))
+    # a row with a null id is linked with nothing
     return found.select("doc_id", "n_shingles", component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_mark")
+                        (F.col("doc_id").isNull() | kept).alias("kept"), "text_mark")

@@ -66,6 +66,16 @@ def test_near_duplicates_of_null_ids_and_repeated_rows(spark):
     assert near_dedup.near_duplicates(docs(spark, ["x"]).limit(0)).collect() == []
 
 
+def test_near_duplicates_of_one_id_with_different_texts(spark):
+    rng = random.Random(6)
+    a, b, c = (words(rng, 60, 10 ** 4) for _ in range(3))
+    texts = [a, a + " end", b, c, c + " end", b.upper() + " tail"]
+    got = near_dedup.near_duplicates(docs(spark, texts, [3, 5, 5, 7, 7, 9])).collect()
+    by = {(r.doc_id, r.component_id): [x.kept for x in got if (x.doc_id, x.component_id) == (r.doc_id, r.component_id)] for r in got}
+    assert {k: sorted(v) for k, v in by.items()} == {
+        (3, 3): [True], (5, 3): [False], (5, 5): [True], (7, 7): [False, True], (9, 5): [False]}
+
+
 def test_signatures_estimate_the_similarity():
     import numpy as np
     a, b = np.arange(1, 901, dtype=np.uint64), np.arange(101, 1001, dtype=np.uint64)
