@@ -10,7 +10,7 @@ from quarry.plans import q_conventions as QV
 from quarry.plans import reports as R
 from quarry.plans.tables import doc_modules
 from quarry.operators import context as CX
-from conftest import write_tree
+from trees import write_tree
 
 SF = "/root/testdata/sf0.001"
 need_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")

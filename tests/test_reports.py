@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import write_tree
+from trees import write_tree
 from quarry.operators import coverage as CV
 from quarry.plans import reports as R
 

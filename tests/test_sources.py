@@ -2,7 +2,7 @@
 
 import os
 
-from conftest import write_tree
+from trees import write_tree
 from quarry.operators import coverage as CV
 from quarry.sources import corpus, reports
 
@@ -92,7 +92,7 @@ def test_write_report_json(spark, tmpdir_path):
 
 
 def test_coverage_report_from_xml(spark, tmpdir_path):
-    from conftest import write_tree
+    from trees import write_tree
     from quarry.plans import reports as R
     root = os.path.join(tmpdir_path, "corpus")
     write_tree(root, {"r/full.py": "a = 1\nb = 2\n", "r/part.py": "x = 1\n", "r/absent.py": "y = 1\n", "r/bad.py": "def (:\n"})
