@@ -4,12 +4,20 @@ Each permutation of a document's shingles gives two signature values, its
 minimum and its maximum. Bands of the signature propose candidates; every
 link is confirmed on the full shingle sets.
 
-Texts with the same words are one class from the start. In a bucket of equal
-bands all classes are compared with the smallest one only, never with each
-other. Where the confirmed links leave several components among documents
-that met in buckets, the members outside the largest component are compared
-with all others in blocks, inside tasks that return confirmed links only. So
-no link is lost because a bucket's first document is not similar enough.
+Texts with the same words are one class from the start. Links are looked for
+in three rounds, and what a round has joined is one component in the next:
+
+1. in the buckets of the first bands every class is compared with the
+   bucket's smallest one only;
+2. the same in all buckets, where the two are not in one component yet;
+3. in each bucket that still holds several components, all members of
+   different components are compared, so no link is lost because a bucket's
+   first document is not similar enough. Two documents are compared in the
+   first bucket they share; of buckets with the same members one is taken.
+
+Comparisons are made in blocks, inside tasks that join components as they go
+and return a link only where it joins two. So links grow with the documents,
+not with the pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -30,7 +38,9 @@ from .tables import materialise, text_or_empty, written
 
 #: Values of a band, and the greatest chance that no band of two documents at the threshold is equal.
 ROWS, MISS = 6, 1e-6
-#: Shingles that a block of one side holds about, when members of a cluster are compared.
+#: Bands of the first round.
+FIRST_BANDS = 8
+#: Shingles that a block of one side holds about, when members of a bucket are compared.
 BLOCK_SHINGLES = 1 << 17
 _LOWER = wordhash.ascii_lower_table()
 #: Words whose signatures are computed at once.
@@ -130,78 +140,97 @@ def _sets(k: int):
     return run
 
 
+def _list_column(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks()
+    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places from ``first[i]`` up to ``last[i]``, one range after the other."""
+    n = last - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _compare(percent: int):
-    """Confirmed links of a group: every row of side 0 against all rows of side 1 of another component."""
+    """Links that join components of a group: rows of side 0 against those of side 1, rows of side 2 among each other.
+
+    Two rows that share a band before the group's own are left to that band's group.
+    """
     def run(table: pa.Table) -> pa.Table:
         side, ids = table["side"].to_numpy(), table["id"].to_numpy()
-        comp = table["component"].to_numpy()
-        column = table["shingles"].combine_chunks()
-        ends = column.offsets.to_numpy()
-        flat = column.values.to_numpy(zero_copy_only=False)
+        comp = table["component"].to_numpy().copy()
+        band = int(table["band"][0].as_py())
+        ends, flat = _list_column(table["shingles"])
         sizes = np.diff(ends)
-        members = np.flatnonzero(side == 1)
-        places = np.repeat(np.arange(len(members)), sizes[members])
-        values = (np.concatenate([flat[ends[m]:ends[m + 1]] for m in members]) if len(members) else flat[:0])
+        at, bands = _list_column(table["bands"])
+        bands = bands[at[:-1, None] + np.arange(band)] if band else np.zeros((len(ids), 0), np.int64)
+        members = np.flatnonzero(side > 0)
+        values = flat[_spread(ends[members], ends[members + 1])]
+        order = np.argsort(values, kind="stable")
+        values, places = values[order], np.repeat(members, sizes[members])[order]
         found_a, found_b = [], []
-        for q in np.flatnonzero(side == 0):
-            own = np.sort(flat[ends[q]:ends[q + 1]])
-            n = sizes[members]
-            may = (comp[members] != comp[q]) & (100 * np.minimum(n, len(own)) >= percent * np.maximum(n, len(own)))
-            if not may.any() or not len(own):
+        for q in np.flatnonzero(side != 1):
+            may = members[members > q] if side[q] == 2 else members
+            n = sizes[may]
+            may = may[(comp[may] != comp[q]) & (100 * np.minimum(n, sizes[q]) >= percent * np.maximum(n, sizes[q]))]
+            if band and len(may):
+                may = may[~(bands[may] == bands[q]).any(axis=1)]
+            if not len(may):
                 continue
-            at = np.minimum(np.searchsorted(own, values), len(own) - 1)
-            common = np.bincount(places[own[at] == values], minlength=len(members))
-            linked = members[may & (100 * common >= percent * (n + len(own) - common))]
-            found_a += [ids[q]] * len(linked)
-            found_b += ids[linked].tolist()
+            own = flat[ends[q]:ends[q + 1]]
+            held = _spread(np.searchsorted(values, own, side="left"), np.searchsorted(values, own, side="right"))
+            common = np.bincount(places[held], minlength=len(ids))[may]
+            for m in may[100 * common >= percent * (sizes[may] + sizes[q] - common)]:
+                if comp[m] != comp[q]:
+                    comp[comp == comp[m]] = comp[q]
+                    found_a.append(ids[q])
+                    found_b.append(ids[m])
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
     return run
 
 
 def _confirmed(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``groups`` (grp, block, id, component, side) with their shingles, compared group by group."""
-    rows = groups.join(sets, "id").select("grp", "block", "side", "id", "component", "shingles")
-    return materialise(rows.groupBy("grp", "block").applyInArrow(_compare(percent), "a bigint, b bigint").distinct(),
-                       "confirmed")
+    """``groups`` (grp, block, id, component, side, band, bands) with their shingles, compared group by group."""
+    rows = groups.join(sets, "id").select("grp", "block", "side", "id", "component", "band", "bands", "shingles")
+    return materialise(rows.groupBy("grp", "block").applyInArrow(_compare(percent), "a bigint, b bigint"), "confirmed")
 
 
 def _blocks(total):
     return F.ceil(total / F.lit(BLOCK_SHINGLES)).cast("int")
 
 
+def _dealt(id_column: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(id_column), n).cast("int")
+
+
 def _star_groups(stars: DataFrame) -> DataFrame:
     """Each hub with its members, dealt to blocks; the hub goes to each block of its own."""
     sizes = stars.groupBy("hub").agg(_blocks(F.sum("n_shingles")).alias("n_blocks"))
-    member = (stars.join(sizes, "hub").select(
-        F.col("hub").alias("grp"), F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int").alias("block"), "id"))
+    member = stars.join(sizes, "hub").select(
+        F.col("hub").alias("grp"), _dealt("id", F.col("n_blocks")).alias("block"), "id", F.lit(1).alias("side"))
     hubs = sizes.select(F.col("hub").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
-                        F.col("hub").alias("id"))
-    return (member.withColumn("side", F.lit(1)).unionByName(hubs.withColumn("side", F.lit(0)))
-            .withColumn("component", F.col("id")))
-
-
-def _rest_groups(members: DataFrame) -> DataFrame:
-    """``members`` (cluster, component, id, n_shingles) of clusters of several components.
-
-    Side 0 are the members outside the cluster's largest component, side 1
-    are all; both are dealt to blocks, and each block of one side meets each
-    of the other.
-    """
-    sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    clusters = (sizes.groupBy("cluster").agg(
-        F.max(F.struct("n", "component", "s")).alias("top"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts"))
-        .filter("parts > 1")
-        .select("cluster", F.col("top.component").alias("largest"), _blocks(F.col("s")).alias("wide"),
-                _blocks(F.col("s") - F.col("top.s")).alias("tall")))
-    rows = members.join(clusters, "cluster")
-    here = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = (rows.filter("component <> largest").withColumn("row", here("tall", 1))
-               .withColumn("col", all_of("wide")).withColumn("side", F.lit(0)))
-    others = rows.withColumn("col", here("wide", 2)).withColumn("row", all_of("tall")).withColumn("side", F.lit(1))
-    both = queries.unionByName(others)
-    return both.select(F.col("cluster").alias("grp"), (F.col("row") * F.col("wide") + F.col("col")).alias("block"),
-                       "id", "component", "side")
+                        F.col("hub").alias("id"), F.lit(0).alias("side"))
+    return member.unionByName(hubs).select(
+        "*", F.col("id").alias("component"), F.lit(0).alias("band"), F.array().cast("array<bigint>").alias("bands"))
+
+
+def _rest_groups(meeting: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Buckets of ``meeting`` that hold several components, in pairs of blocks."""
+    rows = materialise(meeting.join(labels, "id", "left").select(
+        "band", "value", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "bucket-components")
+    several = rows.groupBy("band", "value").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mark2"),
+        _blocks(F.sum("n_shingles")).alias("n_blocks")).filter("low <> high")
+    # the first of the buckets with the same members
+    buckets = (several.groupBy("n", "mark", "mark2").agg(F.min(F.struct("band", "value", "n_blocks")).alias("b"))
+               .select("b.*", F.monotonically_increasing_id().alias("grp")))
+    held = rows.join(materialise(buckets, "rest-buckets"), ["band", "value"]).withColumn("own", _dealt("id", F.col("n_blocks")))
+    other = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = other.select("grp", (low * F.col("n_blocks") + high).alias("block"), "id", "component", "band", side.alias("side"))
+    return dealt.join(classes.select("id", "bands"), "id")
 
 
 @written("near-result")
@@ -231,20 +260,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         F.min_by("bands", "doc_id").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "classes")
     banded = materialise(classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")), "bands")
     buckets = banded.groupBy("band", "value").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = materialise(banded.join(buckets, ["band", "value"]).filter("id <> hub")
-                        .select("hub", "id", "n_shingles").distinct(), "stars")
-    clusters = components(stars, "hub", "id").withColumnRenamed("component", "cluster")
-    marks = classes.select(F.col("id"), F.col("words_mark"), "n_shingles").join(clusters, "id")
+    meeting = materialise(banded.join(buckets.drop("n"), ["band", "value"]), "meeting")
     # only documents that met another one need their sets
-    met = classes.join(clusters, "id").select("id", "first.doc_id", "first.text_mark")
+    met = classes.join(meeting.select("id").distinct(), "id").select("id", "first.doc_id", "first.text_mark")
     sets = materialise(texts.join(met, ["doc_id", "text_mark"]).select("id", "text").mapInArrow(
-        _sets(words), "id bigint, shingles array<bigint>"), "shingle-sets").dropDuplicates(["id", "shingles"])
-    first = _confirmed(_star_groups(stars), sets, percent)
-    after = components(first)
-    members = materialise(marks.join(after, "id", "left").select(
-        "cluster", F.coalesce("component", "id").alias("component"), "id", "n_shingles"), "members")
-    rest = _confirmed(_rest_groups(members), sets, percent)
-    final = components(first.unionByName(rest)).select(F.col("id").alias("class_id"), "component")
+        _sets(words), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "shingle-sets")
+
+    stars = meeting.filter("id <> hub").select("hub", "id", "n_shingles", "band")
+    early = materialise(stars.filter(F.col("band") < FIRST_BANDS).drop("band").distinct(), "stars")
+    links = _confirmed(_star_groups(early), sets, percent)
+    labels = components(links)
+    of_hub = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    late = materialise(stars.filter(F.col("band") >= FIRST_BANDS).drop("band").distinct().join(early, ["hub", "id"], "left_anti")
+                       .join(labels, "id", "left").join(of_hub, "hub", "left")
+                       .filter(F.coalesce("component", "id") != F.coalesce("hub_component", "hub"))
+                       .select("hub", "id", "n_shingles"), "stars")
+    links = links.unionByName(_confirmed(_star_groups(late), sets, percent))
+    labels = components(links)
+    rest = _confirmed(_rest_groups(meeting.drop("hub"), labels, classes), sets, percent)
+    final = components(links.unionByName(rest)).select(F.col("id").alias("class_id"), "component")
     named = (classes.select(F.col("words_mark").alias("mark"), F.col("id").alias("class_id"), "first")
              .join(final, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
     per_class = named.select("mark", "component").join(

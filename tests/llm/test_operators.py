@@ -76,6 +76,35 @@ def test_near_duplicates_of_one_id_with_different_texts(spark):
         (3, 3): [True], (5, 3): [False], (5, 5): [True], (7, 7): [False, True], (9, 5): [False]}
 
 
+def test_links_grow_with_the_family_not_with_its_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = words(rng, 60, 10 ** 4)
+    confirmed = []
+    plain = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda *a: confirmed.append(plain(*a)) or confirmed[-1])
+    for n in (150, 300):
+        texts = [edited(rng, base, rng.randrange(1, 4)) for _ in range(n)]
+        confirmed.clear()
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates.__wrapped__(docs(spark, texts), 5, 80).collect()}
+        want = brute.near_components(list(enumerate(texts)), 5, 80)
+        assert got == {i: c for i, (_, c) in want.items()}
+        assert sum(c.count() for c in confirmed) <= 2 * n
+
+
+@pytest.mark.parametrize("block", [1 << 17, 50])
+def test_comparison_by_blocks_finds_the_components_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(3):
+        at = words(rng, 30, 10 ** 4)
+        for _ in range(12):
+            at = edited(rng, at, 1)
+            texts += [at, edited(rng, at, 2)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts), 3, 70).collect()}
+    assert got == {i: c for i, (_, c) in brute.near_components(list(enumerate(texts)), 3, 70).items()}
+
+
 def test_signatures_estimate_the_similarity():
     import numpy as np
     a, b = np.arange(1, 901, dtype=np.uint64), np.arange(101, 1001, dtype=np.uint64)
