@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, mixing, near_dedup, pii, quality, repeated_windows, token_counts, toxicity
+from . import (decontamination, exact_dedup, language_id, lexical, mixing, near_dedup, pii, quality, repeated_windows, token_counts,
+               toxicity, whitening)
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +177,31 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS nth, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+all_docs AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+tf AS (SELECT nth, t, count(*) AS tf FROM (SELECT nth, unnest(w) AS t FROM d) GROUP BY nth, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+wt AS (SELECT item_id, t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+       FROM q JOIN df USING (t), all_docs),
+m AS (SELECT doc_id, nth, 10 + (90 * len(w) * n_docs) // n_terms AS m FROM d, all_docs WHERE len(w) > 0),
+s AS (SELECT item_id, doc_id, nth, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM wt JOIN tf USING (t) JOIN m USING (nth) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
