@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, exact_dedup, language_id, lexical, mixing, near_dedup, pii, quality, repeated_windows, token_counts,
-               toxicity, whitening)
+from . import (decontamination, exact_dedup, language_id, lexical, mixing, near_dedup, pii, quality, repeated_windows, secrets,
+               token_counts, toxicity, whitening)
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,8 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 WHERE rank <= 10
 """
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))

@@ -257,7 +257,7 @@ def fit(fit_list: DataFrame, dims: int, components: int = 16) -> Whitener:
     sums = _added(fit_list.mapInArrow(_sums(dims), schema))
     n, s = sums.get((-1, 0), 0), [sums.get((i, 0), 0) for i in range(dims)]
     model = Whitener(n, s, np.zeros((dims, 0)), np.zeros(0))
-    if not n or not dims:
+    if not n:
         return model
     centre = model.centre
     products = _added(fit_list.mapInArrow(_centred_products(centre), schema))
@@ -295,8 +295,6 @@ def _whitened_products(model: Whitener):
 def identity_error(fit_list: DataFrame, model: Whitener) -> float:
     """How far the covariance of the whitened fit list is from the identity, at most."""
     k = model.projection.shape[1]
-    if not k:
-        return 0.0
     parts = fit_list.mapInArrow(_whitened_products(model), "i int, j int, total double")
     table = np.zeros((k + 1, k))
     for r in parts.groupBy("i", "j").agg(F.sum("total").alias("total")).collect():
@@ -349,12 +347,15 @@ def whiten(table: DataFrame, vector: str = "embedding", key: str = "vec_id", com
     dims = rows.agg(F.max(F.size("v")).alias("d")).first()["d"] or 0
     x = whole_numbers(F.col("v"))
     rows = rows.select("vec_id", F.concat(x, F.array_repeat(F.lit(SHIFT).cast("long"), F.lit(dims) - F.size("v"))).alias("x"))
-    fit_list = materialise(rows.select("x").distinct(), "fit-list")
-    model = fit(fit_list, dims, components)
-    error = identity_error(fit_list, model)
     kind = table.schema[key].dataType.simpleString()
     out = (f"vec_id {kind}, component int, n bigint, deviation bigint, whitened double, explained double, "
            "identity_error double")
+    nothing = table.sparkSession.createDataFrame([], out).withColumnRenamed("vec_id", key)
+    if not dims:
+        return nothing
+    fit_list = materialise(rows.select("x").distinct(), "fit-list")
+    model = fit(fit_list, dims, components)
     if not model.projection.shape[1]:
-        return table.sparkSession.createDataFrame([], out).withColumnRenamed("vec_id", key)
+        return nothing
+    error = identity_error(fit_list, model)
     return rows.mapInArrow(_apply(model, error), out).withColumnRenamed("vec_id", key)
