@@ -8,13 +8,12 @@ folder so the plan stays small and a lost executor only repeats one round.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut_lineage
+from .cycles import cycle_nodes
 from .findings import Rule, findings
 from .prefix import split_rank
 
@@ -137,89 +136,17 @@ def hotspots(deg: DataFrame, hub_in: int = 5, bottleneck_out: int = 10) -> DataF
     return split_rank(hot, ["repo"], [F.round("centrality", 3).desc(), F.col("id")])
 
 
-def _trimmed(e: DataFrame) -> DataFrame:
-    """Edges whose source is some edge's target and whose target is some edge's source."""
-    targets = e.select("repo", F.col("dst").alias("src")).distinct()
-    sources = e.select("repo", F.col("src").alias("dst")).distinct()
-    return e.join(targets, ["repo", "src"], "left_semi").join(sources, ["repo", "dst"], "left_semi")
-
-
-def _reach_labels(e: DataFrame, rounds: int = 4) -> DataFrame:
-    """``(repo, id, f, b)``: the largest node that reaches each node, and the largest that it reaches.
-
-    Both are passed on along the edges until none grows; a round is one join
-    and one aggregation, ``rounds`` of them run between checkpoints.
-    """
-    def way(source, target, name):
-        return e.select("repo", F.col(source).alias("id"), F.col(target).alias("to"), F.lit(name).alias("way"))
-    ends = e.select("repo", F.col("src").alias("id")).unionByName(e.select("repo", F.col("dst").alias("id"))).distinct()
-    ways = cut_lineage(way("src", "dst", "down").unionByName(way("dst", "src", "up"))
-                       .unionByName(ends.select("repo", "id", F.col("id").alias("to"), F.lit("stay").alias("way"))))
-    labels = ways.where("way = 'stay'").select("repo", "id", F.col("id").alias("f"), F.col("id").alias("b"))
-    told = {"f": "way <> 'up'", "b": "way <> 'down'"}
-    while True:
-        for _ in range(rounds):
-            said = labels.select("repo", "id", "f", "b").join(ways, ["repo", "id"])
-            labels = said.groupBy("repo", F.col("to").alias("id")).agg(
-                *[F.max(F.when(F.expr(when), F.col(c))).alias(c) for c, when in told.items()],
-                *[F.max(F.when(F.col("way") == "stay", F.col(c))).alias(f"{c}0") for c in told])
-        labels = cut_lineage(labels)
-        if labels.where("f <> f0 OR b <> b0").isEmpty():  # the last round moved nothing
-            return labels.select("repo", "id", "f", "b")
-
-
-def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """Edges between different nodes, without most of those that are on no cycle; all that are on one stay.
-
-    Nodes of one strongly connected component share both labels of
-    :func:`_reach_labels`, so edges between different labels are dropped and
-    the rest labelled again, until a pass drops less than half. (Passes
-    until nothing is dropped would leave exactly the components; the last
-    few edges cost more passes than they save.)
-    """
-    e = cut_lineage(_trimmed(_trimmed(edges.select("repo", "src", "dst").where("src <> dst").distinct())))
-    left, before = e.count(), None
-    while left and (before is None or left < 0.5 * before):
-        labels = _reach_labels(e)
-        ends = [labels.select("repo", F.col("id").alias(end), F.col("f").alias(f"{end}_f"), F.col("b").alias(f"{end}_b"))
-                for end in ("src", "dst")]
-        e = cut_lineage(e.join(ends[0], ["repo", "src"]).join(ends[1], ["repo", "dst"])
-                        .where("src_f = dst_f AND src_b = dst_b").select("repo", "src", "dst"))
-        before, left = left, e.count()
-    return e
-
-
-def simple_cycles(edges: DataFrame, max_len: int | None = None, rounds: int = 3) -> DataFrame:
+def simple_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     """Every elementary cycle, or with ``max_len`` those of at most that many nodes.
 
-    Paths grow along :func:`cyclic_edges`, from a start node through larger
-    nodes, and close when an edge returns to the start, so
-    a cycle is reported once, from its smallest node. Each round joins the
-    paths to the edges on ``(repo, last)`` until none is open; ``rounds`` of
-    them run between checkpoints.
     Output: ``(repo, cycle, nodes, length, severity, rank)`` where ``cycle``
-    is ``a -> b -> a`` and ``rank`` counts a repo's cycles by length, then
-    text. The number of cycles itself can be exponential in the edges.
+    is ``a -> b -> a``, from its smallest node, and ``rank`` counts a repo's
+    cycles by length, then text. The number of cycles itself can be
+    exponential in the edges. Where only a count is needed,
+    :func:`quarry.operators.cycles.cycle_nodes` is enough.
     """
-    out = [edges.where("src = dst").select("repo", F.array("src").alias("nodes")).distinct()]
-    step = cyclic_edges(edges)
-    follow = step.select("repo", F.col("src").alias("last"), F.col("dst").alias("nx"))
-    paths = cut_lineage(step.where("dst > src").select(
-        "repo", F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes")))
-    longer, size = F.col("nx") > F.col("start"), 2
-    while (max_len is None or size <= max_len) and not paths.isEmpty():
-        for _ in range(rounds if max_len is None else min(rounds, max_len + 1 - size)):
-            # a closed path has no last node: it finds no edge and stays as it is
-            paths = (paths.join(follow, ["repo", "last"], "left")
-                     .where("last IS NULL OR nx = start OR (nx > start AND NOT array_contains(nodes, nx))")
-                     .select("repo", "start", F.when(longer, F.col("nx")).alias("last"),
-                             F.when(longer, F.concat("nodes", F.array("nx"))).otherwise(F.col("nodes")).alias("nodes")))
-            size += 1
-        paths = cut_lineage(paths)
-        out.append(paths.where("last IS NULL").select("repo", "nodes"))
-        paths = paths.where("last IS NOT NULL")  # no open path left: longer cycles cannot exist
     length = F.size("nodes")
-    found = reduce(DataFrame.unionByName, out).select(
+    found = cycle_nodes(edges, max_len).select(
         "repo",
         F.array_join(F.concat("nodes", F.slice("nodes", 1, 1)), " -> ").alias("cycle"),
         "nodes", length.alias("length"),

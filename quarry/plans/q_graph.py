@@ -28,8 +28,6 @@ def _deg(spark, d, edges=None):
     return G.degrees(supplier_nodes(spark, d), edges if edges is not None else _edges(spark, d))
 
 
-def _cycles(spark, d, edges=None):
-    return G.simple_cycles(edges if edges is not None else _edges(spark, d))
 
 
 def supplier_files(spark, d):
@@ -119,13 +117,13 @@ SELECT *, row_number() OVER (PARTITION BY repo ORDER BY length, cycle) AS rank F
 
 @register("simple_cycles", "WITH RECURSIVE " + SQL_DEG + SQL_CYCLES.format(longest=1000000))
 def q_simple_cycles(spark, d):
-    return _cycles(spark, d).drop("nodes")
+    return G.simple_cycles(_edges(spark, d)).drop("nodes")
 
 
 @register("graph_summary", "WITH RECURSIVE " + SQL_DEG + "\nSELECT * FROM gsum")
 def q_graph_summary(spark, d):
     e = _edges(spark, d)
-    return G.graph_summary(_deg(spark, d, e), e, _cycles(spark, d, e))
+    return G.graph_summary(_deg(spark, d, e), e, G.cycle_nodes(e))
 
 
 @register("findings_deps", "WITH RECURSIVE " + SQL_DEG + r""",
@@ -144,12 +142,12 @@ UNION ALL SELECT repo, 'deps', 3, 'ok', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBL
 def q_findings_deps(spark, d):
     e = _edges(spark, d)
     deg = _deg(spark, d, e)
-    summ = G.graph_summary(deg, e, _cycles(spark, d, e))
+    summ = G.graph_summary(deg, e, G.cycle_nodes(e))
     return G.findings_deps(summ, G.graph_metrics(deg), G.hotspots(deg, HUB_IN, BOTTLENECK_OUT),
                            MAX_COUPLING)
 
 
-SQL_KHOP = SQL_DEG + r""",
+SQL_KHOP = S.SUCCESSION + r""",
 foc AS (SELECT repo, min(id) AS focus FROM snodes GROUP BY repo),
 und AS (SELECT repo, src AS id, dst AS nb FROM edges UNION SELECT repo, dst AS id, src AS nb FROM edges),
 h0 AS (SELECT f.repo, f.focus AS id, 0 AS hop FROM foc f JOIN snodes s ON f.repo = s.repo AND f.focus = s.id),
@@ -171,15 +169,15 @@ def _khop(spark, d):
     return G.k_hop(nodes, _edges(spark, d), foci, HOPS)
 
 
-@register("k_hop", "WITH RECURSIVE " + SQL_KHOP + "\nSELECT repo, id, hop FROM kept")
+@register("k_hop", "WITH " + SQL_KHOP + "\nSELECT repo, id, hop FROM kept")
 def q_k_hop(spark, d):
     return _khop(spark, d)[0]
 
 
-@register("k_hop_edges", "WITH RECURSIVE " + SQL_KHOP + r"""
-SELECT e.repo, e.src, e.dst FROM edges e
-WHERE EXISTS (SELECT 1 FROM kept k WHERE k.repo = e.repo AND k.id = e.src)
-  AND EXISTS (SELECT 1 FROM kept k WHERE k.repo = e.repo AND k.id = e.dst)""")
+@register("k_hop_edges", "WITH " + SQL_KHOP + r""",
+near AS MATERIALIZED (SELECT DISTINCT repo, id FROM kept)
+SELECT e.repo, e.src, e.dst FROM edges e JOIN near a ON a.repo = e.repo AND a.id = e.src
+JOIN near b ON b.repo = e.repo AND b.id = e.dst""")
 def q_k_hop_edges(spark, d):
     return _khop(spark, d)[1]
 
@@ -243,7 +241,7 @@ def q_simple_cycles_4(spark, d):
     return G.simple_cycles(_edges(spark, d), 4).drop("nodes")
 
 
-@register("k_hop_3", "WITH RECURSIVE " + SQL_KHOP + r""",
+@register("k_hop_3", "WITH " + SQL_KHOP + r""",
 h3 AS (
   SELECT DISTINCT u.repo, u.nb AS id, 3 AS hop FROM h2 JOIN und u ON h2.repo = u.repo AND h2.id = u.id
   WHERE NOT EXISTS (SELECT 1 FROM kept x WHERE x.repo = u.repo AND x.id = u.nb)

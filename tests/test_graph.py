@@ -3,7 +3,9 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.operators import cycles as C
 from quarry.operators import graph as G
 
 # self-loop s; 2-cycle a<->b; 3-cycle c->d->e->c; 4-cycle f->g->h->i->f;
@@ -58,6 +60,59 @@ def test_all_cycles_of_a_ring_with_chords_and_tails(spark):
     assert [r.rank for r in sorted(found, key=lambda r: (r.length, r.cycle))] == list(range(1, len(found) + 1))
 
 
+def spread(edges, repo="r"):
+    return [(repo, s, d) for s, d in edges]
+
+
+def component_of(n, chords, tails=()):
+    """A ring of ``n`` nodes with short chords: one component with many cycles."""
+    name = lambda k: f"n{k % n:03d}"
+    return [(name(k), name(k + 1)) for k in range(n)] + [(name(a), name(b)) for a, b in chords] + list(tails)
+
+
+@pytest.mark.parametrize("task_edges, small_edges, cells", [(20_000, 60, 1 << 20), (20_000, 5, 40), (300, 60, 1 << 20), (30, 5, 400), (2, 2, 1)])
+def test_cycles_of_a_component_of_200_nodes(spark, monkeypatch, task_edges, small_edges, cells):
+    for name, value in (("TASK_EDGES", task_edges), ("SMALL_EDGES", small_edges), ("PIECE_CELLS", cells)):
+        monkeypatch.setattr(C, name, value)
+    wide = component_of(200, [(20 * k, 20 * k + 7) for k in range(8)] + [(150, 20), (77, 70)], [("n003", "x"), ("y", "n004"), ("n005", "n005")])
+    small = component_of(6, [(0, 3), (4, 2), (2, 0)]) + [("q1", "q2"), ("q2", "q1")]
+    # a path-growing round per node would be slow here, so the whole ring is left out of that case
+    graphs = {"wide": wide, "small": small} if task_edges > 2 else {"small": small}
+    rows = [r for name, e in graphs.items() for r in spread(e * 2, name)]
+    df = spark.createDataFrame(rows + [("small", "a", None)], "repo string, src string, dst string").repartition(4)
+    got = [(r.repo, tuple(r.nodes)) for r in C.cycle_nodes(df).collect()]
+    want = {(name, c) for name, e in graphs.items() for c in brute_cycles(e, 999)}
+    assert len(got) == len(set(got)) and set(got) == want
+    short = {(r.repo, tuple(r.nodes)) for r in C.cycle_nodes(df, 5).collect()}
+    assert short == {c for c in want if len(c[1]) <= 5}
+
+
+def test_components_by_joins_are_the_strong_ones(spark):
+    import random
+    rng = random.Random(2)
+    edges = {(f"v{rng.randrange(60):02d}", f"v{rng.randrange(60):02d}") for _ in range(85)}
+    edges = [(a, b) for a, b in edges if a != b]
+    graph = {}
+    for a, b in edges:
+        graph.setdefault(a, []).append(b)
+    reach = {v: C._reached(graph, v, "") for v in {x for e in edges for x in e}}
+    want = {(a, b): max(w for w in reach[a] if a in reach[w]) for a, b in edges if a in reach[b]}
+    got = C.component_edges(spark.createDataFrame(spread(edges), "repo string, src string, dst string")).collect()
+    assert {(r.src, r.dst): r.part for r in got} == want and want
+    assert {frozenset(p) for p in C.strong_parts(graph)} == {frozenset(w for w in reach[a] if a in reach[w]) for a, _ in want}
+
+
+def test_a_hub_of_100000_edges(spark):
+    hub = spark.range(100_000).selectExpr("'r' AS repo", "concat('u', id) AS src", "'hub' AS dst")
+    ring = spark.createDataFrame(spread([("hub", "u7"), ("hub", "z"), ("z", "u8")]), "repo string, src string, dst string")
+    edges = hub.unionByName(ring)
+    assert {tuple(r.nodes) for r in C.cycle_nodes(edges).collect()} == {("hub", "u7"), ("hub", "z", "u8")}
+    nodes = edges.selectExpr("repo", "src AS id").union(edges.selectExpr("repo", "dst")).distinct().withColumn("path", F.col("id"))
+    deg = G.degrees(nodes, edges)
+    top = G.hotspots(deg, 5, 10).collect()
+    assert [(r.id, r.in_degree, r.type, r["rank"]) for r in top] == [("hub", 100_000, "hub", 1)]
+
+
 def test_no_edges_no_cycles(spark):
     assert G.simple_cycles(spark.createDataFrame([], "repo string, src string, dst string")).count() == 0
 
