@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from .findings import Rule, findings
 from .prefix import running_sum
 
@@ -46,6 +47,8 @@ DOMAIN_TENTHS = 3
 STRATEGY = {"breadth": (["util", "helper"], 2), "depth": (["core", "main", "__init__"], 3)}
 CORE_TOKENS, CORE_TENTHS = ["utils", "lib", "core"], 1
 TOKENS_PER_LINE = 4
+#: Joins words to one grouping key; no word holds it.
+SEP = "\x1f"
 
 
 def task_type(text) -> F.Column:
@@ -162,6 +165,59 @@ def budget_cut(scored: DataFrame, modules: DataFrame, max_tokens: int = 50000) -
     return r.where(F.col("running_tokens") <= max_tokens)
 
 
+def select_within_budget(analyzed: DataFrame, files: DataFrame, modules: DataFrame, max_tokens: int = 50000,
+                         focus_areas: list[str] | None = None, strategy: str = "relevance",
+                         keywords: list[str] = DEFAULT_KEYWORDS) -> DataFrame:
+    """I4-I7 at once: the rows of ``budget_cut(relevance(...), modules, max_tokens)`` without scoring every file.
+
+    Files of a repo with the same task-independent score and the same
+    dictionary words are a class: they score alike for every task, and in a
+    class path order decides. Each class has one running sum of tokens that
+    all tasks share. Tasks of a repo with the same keywords are one profile.
+    A profile scores classes, not files, adds up their totals level by level
+    and stops at the level that passes the budget; of the classes up to there
+    only files are read whose class total so far leaves room, and the first
+    that does not. So rows joined grow with what is selected, and the tasks
+    are joined to the selected rows only.
+    """
+    focus_areas = focus_areas or []
+    none = F.array().cast("array<string>")
+    concepts = analyzed.select("repo", "concepts").dropDuplicates(["repo"])
+    lines = modules.select("repo", "path", F.col("n_lines").alias("lines"),
+                           (F.col("n_lines").cast("long") * TOKENS_PER_LINE).alias("est_tokens"))
+    words = F.array_compact(F.array(*[F.when(_path_has(w), F.lit(w)) for w in keywords])) if keywords else none
+    of_class, held = ["repo", "base10", "words"], F.col("lines").isNotNull()
+    # a repo without a task is not scanned; SEP joins the words to one key
+    scored = (files.select("repo", "path").join(concepts, "repo").join(lines, ["repo", "path"]).where(held)
+              .select("repo", "path", "lines", "est_tokens", _base_tenths(focus_areas, strategy).alias("base10"),
+                      F.array_join(words, SEP).alias("words"))
+              .where("base10 > 0 OR words <> ''"))
+    ordered = cut_lineage(running_sum(scored, of_class, [T.path_sort_key("path")], "est_tokens", "class_running"))
+    classes = cut_lineage(ordered.groupBy(*of_class).agg(F.sum("est_tokens").alias("total")))
+
+    keyed = analyzed.select("task_id", "repo", F.array_join("keywords", SEP).alias("asked"))
+    profiles = keyed.select("repo", "asked").distinct()
+    words_of = lambda c: F.when(F.col(c) == "", none).otherwise(F.split(c, SEP))
+    hits = F.size(F.array_intersect(words_of("words"), words_of("asked")))
+    raw = F.col("base10") + F.lit(KEYWORD_TENTHS) * hits
+    levels = (profiles.join(classes, "repo")
+              .withColumn("score10", F.least(raw, F.lit(10)).cast("int")).where(F.col("score10") > 0))
+    # ten levels a profile at most
+    before = Window.partitionBy("repo", "asked").orderBy(F.col("score10").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = (levels.groupBy("repo", "asked", "score10").agg(F.sum("total").alias("total"))
+             .withColumn("above", F.coalesce(F.sum("total").over(before), F.lit(0)))
+             .where(F.col("above") <= max_tokens).drop("total"))
+    open_classes = levels.drop("total").join(above, ["repo", "asked", "score10"])
+    room = F.col("class_running") - F.col("est_tokens")
+    rows = (open_classes.join(ordered.where(room <= max_tokens), of_class)
+            .where(room <= max_tokens - F.col("above"))
+            .select("repo", "asked", "path", "score10", "lines", "est_tokens"))
+    chosen = running_sum(rows, ["repo", "asked"], order_keys(), "est_tokens", "running_tokens")
+    return (keyed.join(chosen.where(F.col("running_tokens") <= max_tokens), ["repo", "asked"])
+            .select("task_id", "repo", "path", "score10", (F.col("score10") / 10).alias("score"), "lines", "est_tokens",
+                    "running_tokens"))
+
+
 def budget_summary(tasks: DataFrame, selected: DataFrame, max_tokens: int) -> DataFrame:
     """I8: max, used and remaining tokens and the number of files."""
     u = selected.groupBy("task_id").agg(F.sum("est_tokens").cast("long").alias("used"),

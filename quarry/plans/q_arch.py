@@ -110,7 +110,7 @@ def q_high_complexity(spark, d):
 @register("first_n_entities", "WITH " + S.ORDER_ITEMS + r""",
 ent AS (
   SELECT repo, path, name, line, CASE WHEN l_linestatus = 'O' THEN 'class' ELSE 'function' END AS kind,
-         CAST(line AS BIGINT) * 10000000000 + l_partkey * 100000 + l_suppkey AS seq
+         [CAST(line AS BIGINT), l_partkey, l_suppkey] AS seq
   FROM order_items
 )
 SELECT repo, kind, path, name, line, rank FROM (

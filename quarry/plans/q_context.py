@@ -1,6 +1,6 @@
-"""Context queries. Binding: the first user turn of each conversation is a
-task for the document repo ``src<conv_id mod 20>``; the document corpus is
-the file set; a prose keyword dictionary stands in for the code one."""
+"""Context queries. Binding: every user turn of a conversation is a task for
+one of the document repos, chosen by a hash; the document corpus is the file
+set; a prose keyword dictionary stands in for the code one."""
 
 from __future__ import annotations
 
@@ -38,7 +38,8 @@ def _modules(spark, d):
 
 
 def _selected(spark, d, analyzed=None):
-    return CX.budget_cut(_scored(spark, d, analyzed), _modules(spark, d), MAX_TOKENS)
+    a = analyzed if analyzed is not None else _analyzed(spark, d)
+    return CX.select_within_budget(a, doc_files(spark, d), _modules(spark, d), MAX_TOKENS, FOCUS, STRATEGY, KEYWORDS)
 
 
 def _kw_sql(keywords=None):
@@ -64,9 +65,10 @@ def _sql_ctx(keywords=None, focus=None, strategy=None, max_tokens=None):
     max_tokens = max_tokens or MAX_TOKENS
     return SQL_FW + ",\n" + S.DOC_MODULES.replace(S.DOC_FILES + ",", "") + r""",
 conv_tasks AS (
-  SELECT conv_id AS task_id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS repo, text FROM (
-    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'
-  ) WHERE k = 1
+  SELECT t.task_id, r.repo, t.text
+  FROM (SELECT conv_id || ':' || turn AS task_id, text FROM conversations WHERE role = 'user') t
+  LEFT JOIN (SELECT source AS repo, row_number() OVER (ORDER BY source) - 1 AS nth FROM documents WHERE source IS NOT NULL GROUP BY source) r
+    ON r.nth = ('0x' || left(md5(t.task_id), 8))::BIGINT % (SELECT count(DISTINCT source) FROM documents)
 ),
 analyzed AS (
   SELECT c.task_id, c.repo, c.text,
@@ -199,6 +201,5 @@ DEFAULT_FOCUS, DEFAULT_STRATEGY, DEFAULT_MAX = ["en/"], "breadth", 5000
 SELECT task_id, repo, path, score10, score, lines, est_tokens, running_tokens FROM selected""")
 def q_budget_cut_default(spark, d):
     a = cut_lineage(CX.analyze_tasks(conversation_tasks(spark, d), repo_fw(spark, d), CX.DEFAULT_KEYWORDS))
-    scored = CX.relevance(a, doc_files(spark, d), DEFAULT_FOCUS, DEFAULT_STRATEGY, CX.DEFAULT_KEYWORDS)
-    sel = CX.budget_cut(scored, _modules(spark, d), DEFAULT_MAX)
+    sel = CX.select_within_budget(a, doc_files(spark, d), _modules(spark, d), DEFAULT_MAX, DEFAULT_FOCUS, DEFAULT_STRATEGY)
     return sel.select("task_id", "repo", "path", "score10", "score", "lines", "est_tokens", "running_tokens")

@@ -8,7 +8,7 @@ from ..operators import conventions as C
 from ..sources import corpus
 from . import sql_common as S
 from .registry import register
-from .tables import conversation_imports, doc_files, doc_modules, doc_words
+from .tables import conversation_imports, doc_files, doc_modules, doc_words, role_imports
 
 OUT = ["repo", "path", "line", "category", "severity", "rule", "actual"]
 
@@ -96,14 +96,12 @@ def q_rule_import_grouping(spark, d):
     return C.rule_import_grouping(conversation_imports(spark, d)).select(*OUT)
 
 
-@register("rule_import_grouping_user", "WITH " + SQL_CONV_IMPORTS + r"""
-SELECT repo, path, min(line) AS line, 'imports' AS category, 'info' AS severity,
-       'Import grouping' AS rule, CAST(count(*) AS VARCHAR) AS actual
-FROM conv_imports WHERE role = 'user' GROUP BY repo, path
-HAVING count(*) > 2 AND max(line) - min(line) = count(*) - 1 AND count(DISTINCT line) = count(*)""")
+@register("rule_import_grouping_user", r"""
+SELECT role AS repo, 'conv/' || CAST(conv_id AS VARCHAR) || '.py' AS path, CAST(1 AS INTEGER) AS line, 'imports' AS category,
+       'info' AS severity, 'Import grouping' AS rule, CAST(count(*) AS VARCHAR) AS actual
+FROM conversations GROUP BY role, conv_id HAVING count(*) > 2""")
 def q_rule_import_grouping_user(spark, d):
-    imp = conversation_imports(spark, d, role="user")
-    return C.rule_import_grouping(imp, min_imports=2).select(*OUT)
+    return C.rule_import_grouping(role_imports(spark, d), min_imports=2).select(*OUT)
 
 
 def _counts(spark, d, minimum="warning"):

@@ -229,11 +229,11 @@ syn AS (
   SELECT 'nation' || CAST(c_nationkey AS VARCHAR) AS repo, 'u/' || CAST(user_id AS VARCHAR) || '.py' AS path,
          CAST(event_id AS INTEGER) AS line, 'f' || CAST(event_id AS VARCHAR) AS function,
          CASE WHEN event_type = 'view' THEN 'async_def' WHEN event_type IN ('click', 'signup') THEN 'decorator'
-              WHEN event_type = 'purchase' THEN 'with_item' END AS kind,
+              WHEN event_type IN ('purchase', 'error') THEN 'with_item' END AS kind,
          event_type = 'signup' AS is_async,
          CASE WHEN value < 10 THEN 'call' WHEN value < 25 THEN 'name' ELSE 'attribute' END AS shape,
-         event_id, k
-  FROM ev WHERE event_type <> 'error'
+         event_id, k, CASE WHEN event_type = 'error' THEN 'lock' ELSE 'open' END AS manager
+  FROM ev
 ),
 syn2 AS (
   SELECT *,
@@ -258,7 +258,7 @@ SELECT repo, path, line, 'decorator', function, deco_name FROM syn2
 WHERE kind = 'decorator' AND NOT is_async AND shape IN ('name', 'attribute') AND deco_name <> ''
   AND NOT starts_with(deco_name, 'app.')
 UNION ALL
-SELECT repo, path, line, 'context_manager', CAST(NULL AS VARCHAR), 'open' FROM syn2 WHERE kind = 'with_item' AND k >= 10""")
+SELECT repo, path, line, 'context_manager', CAST(NULL AS VARCHAR), manager FROM syn2 WHERE kind = 'with_item' AND k >= 10""")
 def q_syntax_patterns(spark, d):
     from .tables import event_syntax, nation_frameworks
     return P.syntax_patterns(event_syntax(spark, d), nation_frameworks(spark, d))

@@ -206,9 +206,10 @@ def context_report(c: Corpus, tasks: DataFrame, max_tokens: int = 50000,
     """``tasks(task_id, repo, text)``: each task against the files of its repo."""
     t = c.tables
     rf = FW.all_repos_frameworks(c.files, FW.repo_frameworks(FW.match_prefix_dict(t["imports"])))
-    analyzed = CX.analyze_tasks(tasks, rf)
-    scored = CX.relevance(analyzed, c.files, focus_areas, strategy)
-    selected = CX.budget_cut(scored, corpus.modules_from_files(c.files), max_tokens)
+    analyzed = cut_lineage(CX.analyze_tasks(tasks, rf))
+    # the selection is read by five sections: written once
+    selected = cut_lineage(CX.select_within_budget(analyzed, c.files, corpus.modules_from_files(c.files), max_tokens,
+                                                   focus_areas, strategy))
     summary = CX.budget_summary(tasks, selected, max_tokens)
     pack = CX.pack_files(selected, c.files, 20, 0.7, include_files)
     keys = pack.select("repo", "path").distinct()

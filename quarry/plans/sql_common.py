@@ -36,9 +36,8 @@ doc_word_lists AS (
 ),
 doc_words AS (
   SELECT repo, path, line_no AS line,
-         CAST(line_no AS BIGINT) * 100000 + (generate_subscripts(ws, 1) - 1) AS seq,
-         unnest(ws) AS name
-  FROM doc_word_lists
+         [CAST(line_no AS BIGINT), pos] AS seq, name
+  FROM (SELECT *, generate_subscripts(ws, 1) AS pos, unnest(ws) AS name FROM doc_word_lists)
 )"""
 
 DOC_MODULES = DOC_FILES + r""",

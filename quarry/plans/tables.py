@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.prefix import split_rank
 from ..sources import corpus
 
 
@@ -191,10 +192,8 @@ def customer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # conversations -> tasks and import lines
 # --------------------------------------------------------------------------
 
-def conversation_imports(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+def conversation_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    if role:
-        c = c.where(F.col("role") == role)
     return c.select(F.lit("chat").alias("repo"),
                     F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"),
                     F.col("turn").cast("long").alias("seq"),
@@ -202,15 +201,25 @@ def conversation_imports(spark: SparkSession, sf_dir: str, role: str | None = No
                     F.col("turn").cast("int").alias("line"))
 
 
+def role_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each role's turns of a conversation as the import lines of a file: repo = role, line = number among them."""
+    c = table(spark, sf_dir, "conversations")
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text"))
+    return c.select(F.col("role").alias("repo"),
+                    F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"),
+                    F.col("turn").cast("long").alias("seq"), F.col("text").alias("module"), nth.alias("line"))
+
+
 def conversation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task per conversation: its first user turn, run against the
-    document repo ``src<conv_id mod 20>``."""
+    """One task per user turn, ``conv_id:turn``, against one of the document repos, chosen by a hash of its id."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    first = c.withColumn("k", F.row_number().over(w)).where(F.col("k") == 1)
-    return first.select(F.col("conv_id").alias("task_id"),
-                        F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("repo"),
-                        F.col("text"))
+    tasks = c.select(F.concat_ws(":", "conv_id", "turn").alias("task_id"), "text")
+    repos = (table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+             .select(F.col("source").alias("repo"), F.lit(0).alias("all")).distinct())
+    numbered = split_rank(repos, ["all"], [F.col("repo")], "nth").select("repo", (F.col("nth") - 1).alias("nth"))
+    chosen = F.conv(F.substring(F.md5("task_id"), 1, 8), 16, 10).cast("long") % F.lit(max(1, numbered.count()))
+    return (tasks.withColumn("nth", chosen).join(numbered, "nth", "left")
+            .select("task_id", "repo", "text"))
 
 
 def doc_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,15 +235,15 @@ def doc_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syntax facts from events (repo = the customer's nation): views are
     async defs, clicks and signups decorators (signups on async defs),
-    purchases with-items; the decorator shape follows the event value and
-    its name the ``k`` property."""
+    purchases and errors with-items; the decorator shape follows the event
+    value and its name the ``k`` property."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     k = F.get_json_object("props", "$.k").cast("int")
     shape = (F.when(F.col("value") < 10, "call").when(F.col("value") < 25, "name").otherwise("attribute"))
     kind = (F.when(F.col("event_type") == "view", "async_def")
             .when(F.col("event_type").isin("click", "signup"), "decorator")
-            .when(F.col("event_type") == "purchase", "with_item"))
+            .when(F.col("event_type").isin("purchase", "error"), "with_item"))
     deco_name = (F.when(shape == "call", F.lit(""))
                  .when(shape == "name", F.when(k < 20, F.lit("get")).otherwise(F.lit("cache")))
                  .otherwise(F.when(k < 50, F.lit("app.route")).otherwise(F.lit("router.post"))))
@@ -242,7 +251,8 @@ def event_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(shape == "name", deco_name)
                  .otherwise(F.when(k < 50, F.lit("route")).otherwise(F.lit("post"))))
     name = (F.when(kind == "decorator", deco_name)
-            .when(kind == "with_item", F.when(k < 10, F.lit("")).otherwise(F.lit("open")))
+            .when(kind == "with_item", F.when(k < 10, F.lit("")).when(F.col("event_type") == "error", F.lit("lock"))
+                  .otherwise(F.lit("open")))
             .otherwise(F.concat(F.lit("h"), F.col("event_id").cast("string"))))
     j = e.join(c, e.user_id == c.c_custkey)
     return (j.where(kind.isNotNull())
