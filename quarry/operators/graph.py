@@ -16,6 +16,7 @@ from ..session import cut_lineage
 from .cycles import cycle_nodes
 from .findings import Rule, findings
 from .prefix import split_rank
+from .prefixes import starting_with
 
 # Module-name prefixes treated as external packages.
 EXTERNAL_PREFIXES = ["pandas", "numpy", "sklearn", "matplotlib", "seaborn",
@@ -48,9 +49,8 @@ def build_edges(local: DataFrame, modules: DataFrame, suffix: str = ".py",
     local module it imports. Self-edges are kept.
 
     The original tool's guard (the target starts with the module name of some
-    scanned file) is applied when ``guard_files`` is given: every character
-    prefix of a distinct target is matched to the scanned module names with
-    an equi-join, so no prefix theta join is needed.
+    scanned file) is applied when ``guard_files`` is given, by one sort of
+    targets and names (:func:`quarry.operators.prefixes.starting_with`).
     """
     e = (local.join(modules.select("repo", "path"), ["repo", "path"], "left_semi")
          .select("repo", T.module_key("path", suffix).alias("src"), F.col("module").alias("dst"))
@@ -58,11 +58,7 @@ def build_edges(local: DataFrame, modules: DataFrame, suffix: str = ".py",
     if guard_files is None:
         return e
     names = guard_files.select("repo", T.module_key("path", suffix).alias("prefix")).distinct()
-    targets = e.select("repo", "dst").distinct()
-    pref = targets.select("repo", "dst", F.explode(
-        F.transform(F.sequence(F.lit(0), F.length("dst")), lambda n: F.substring("dst", 1, n))
-    ).alias("prefix")).distinct()
-    ok = pref.join(names, ["repo", "prefix"], "left_semi").select("repo", "dst").distinct()
+    ok = starting_with(e.select("repo", "dst"), names, "repo", "dst", "prefix")
     return e.join(ok, ["repo", "dst"], "left_semi")
 
 
