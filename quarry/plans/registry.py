@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (q_conventions, q_corpus, q_arch, q_graph, q_patterns,  # noqa: F401
-                   q_coverage, q_context, q_facts, q_dictionary)
+                   q_coverage, q_context, q_facts, q_dictionary, q_sources)

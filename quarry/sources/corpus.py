@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import ship_package
+from . import ranges
 
 # The default include and exclude globs of a scan.
 DEFAULT_INCLUDE = ["**/*.py"]
@@ -39,7 +40,7 @@ def scan_corpus(spark: SparkSession, root: str, include=None, exclude=None,
     ``method="listing"`` (default) lists the tree breadth-first with one
     Spark job per folder level (:func:`list_tree`), so a repo holding most of
     the files is spread over many tasks, then reads the selected files in
-    tasks balanced by a hash of the path. ``method="binaryFile"`` uses
+    tasks packed by their listed sizes. ``method="binaryFile"`` uses
     Spark's file source (listing on the driver) plus :func:`skipped_files`
     for what that source leaves out (names starting with ``_`` or ``.``,
     such as every ``__init__.py``, and empty files).
@@ -56,38 +57,16 @@ def list_paths(spark: SparkSession, root: str, repo_level: int = 1) -> DataFrame
 
 def read_listed(spark: SparkSession, root: str, paths: DataFrame, include=None,
                 exclude=None) -> DataFrame:
-    """Contents of the listed files that pass the globs, read in tasks
-    balanced by a hash of the path."""
-    files = glob_filter(paths, include, exclude)
-    n = max(1, spark.sparkContext.defaultParallelism * 2)
-    ship_package(spark)
-    to_read = files.select("repo", "path", "abs").repartition(n, F.xxhash64("repo", "path"))
-
-    def read(batches):
-        import pandas as pd
-        fs2, _ = _open_fs(root)
-        for pdf in batches:
-            rows = []
-            for repo, path, absp in zip(pdf["repo"], pdf["path"], pdf["abs"]):
-                with fs2.open_input_stream(absp) as f:
-                    data = f.readall()
-                try:
-                    rows.append((repo, path, data.decode("utf-8")))
-                except UnicodeDecodeError:
-                    continue
-            yield pd.DataFrame(rows, columns=["repo", "path", "content"])
-
-    return to_read.mapInPandas(read, "repo string, path string, content string")
-
+    """Contents of the listed files that pass the globs, read in tasks of about
+    equal bytes (:func:`quarry.sources.ranges.packed`) and handed on in
+    batches of bounded bytes."""
+    return ranges.read_files(root, glob_filter(paths, include, exclude))
 
-def _open_fs(uri: str):
-    import os
 
-    from pyarrow import fs as pafs
-    if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
-    local = uri[len("file:"):] if uri.startswith("file:") else uri
-    return pafs.LocalFileSystem(), os.path.abspath(local)
+def scan_lines(spark: SparkSession, root: str, include=None, exclude=None, repo_level: int = 1) -> DataFrame:
+    """``line_table`` of the files below ``root``, read by byte ranges: no file is one value."""
+    paths = glob_filter(list_paths(spark, root, repo_level), include, exclude)
+    return ranges.scan_lines(root, paths)
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -98,13 +77,13 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     loops over levels, never over files."""
     from ..session import cut_lineage
     ship_package(spark)
-    _, base = _open_fs(root)
+    _, base = ranges.open_fs(root)
     n = max(1, spark.sparkContext.defaultParallelism * 2)
 
     def list_level(batches):
         import pandas as pd
         from pyarrow import fs as pafs
-        fs2, base2 = _open_fs(root)
+        fs2, base2 = ranges.open_fs(root)
         for pdf in batches:
             rows = []
             for d in pdf["dir"]:
@@ -179,7 +158,7 @@ def skipped_files(spark: SparkSession, root: str) -> DataFrame:
 
     def read(batches):
         import pandas as pd
-        fs2, _ = _open_fs(root)
+        fs2, _ = ranges.open_fs(root)
         for pdf in batches:
             rows = []
             for rel, absp, size in zip(pdf["rel"], pdf["abs"], pdf["size"]):

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefix import split_rank
+
 
 def scan_coverage_xml(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
     """Line records of Cobertura-style coverage XML files.
@@ -60,8 +62,34 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overw
     w.save(path)
 
 
-def nest_json(df: DataFrame, key_cols: list[str], name: str = "items") -> DataFrame:
-    """One JSON document per key from a *bounded* table (top-k, summaries)."""
-    rest = [c for c in df.columns if c not in key_cols]
-    return (df.groupBy(*key_cols)
-            .agg(F.to_json(F.collect_list(F.struct(*rest))).alias(name)))
+def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``df`` with ``nth``, the number of the row among those of its key."""
+    return split_rank(df, [key], [F.col(c) for c in order], "nth")
+
+
+def write_documents(df: DataFrame, path: str, key: str, order: list[str]) -> None:
+    """One JSON array for each ``key``, its items in ``order`` (total within a key).
+
+    Rows are range-partitioned by (key, order), so a key with most of the
+    rows is written by many tasks; each writes its run of items to a part
+    file below ``key=<key>``, committed by Spark's writer. The part files of
+    a key, one after the other by name, are its document.
+    """
+    items = [c for c in df.columns if c != key]
+    ranked = split_rank(df, [key], [F.col(c) for c in order], "_nth")
+    n = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    text = F.concat(F.when(F.col("_nth") == 1, "[").otherwise(","), F.to_json(F.struct(*items)),
+                    F.when(F.col("_nth") == F.col("_n"), "]").otherwise(""))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ranked.withColumn("_key", F.col(key)).join(n.withColumnRenamed(key, "_of"), F.col("_key").eqNullSafe(F.col("_of")))
+    (rows.select(F.col("_key").alias(key), text.alias("value"), "_nth")
+     .repartitionByRange(parts, key, "_nth").sortWithinPartitions(key, "_nth").drop("_nth")
+     .write.mode("overwrite").partitionBy(key).text(path))
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The items of :func:`write_documents`, one row each with the key's column."""
+    item = F.from_json(F.regexp_replace(F.regexp_replace("value", r"^[\[,]", ""), r"\}\]$", "}"), schema)
+    raw = spark.read.option("basePath", path).text(path)
+    key = next(c for c in raw.columns if c != "value")
+    return raw.select(key, item.alias("item")).select(key, "item.*")
