@@ -127,7 +127,9 @@ class Profiles:
         own = ranked(*ngram_counts(text), self.size)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         known = self.grams[at] == own
-        away = np.abs(self.ranks[at[known]] - np.flatnonzero(known)[:, None]).sum(axis=0)
+        place = self.ranks[at[known]]
+        # an n-gram that a profile lacks is as far away as can be, whether another has it or not
+        away = np.where(place < self.size, np.abs(place - np.flatnonzero(known)[:, None]), self.size).sum(axis=0)
         distance = away + self.size * int((~known).sum())
         best = int(distance.argmin())
         return self.languages[best], float(1.0 - distance[best] / (self.size * len(own)))
@@ -189,7 +191,14 @@ def predict_languages(docs: DataFrame, profiles: Profiles, text: str = "text") -
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learned from the rows not held out, predicted for all."""
+    """doc_id, held_out, lang_pred, score: learned from the rows not held out, predicted for all.
+
+    One row per row of ``docs``. Null texts and texts without a letter get
+    ``und`` and 0, long ones are read whole, ties go to the first language by
+    name, repeated rows repeat their result and count each when learning.
+    Ids are only passed on (a null id is not held out), columns other than
+    doc_id, text and lang not read; an empty table gives no rows.
+    """
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out())
     profiles = learn_profiles(rows.filter(~F.col("held_out")))
     return predict_languages(rows.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")

@@ -138,7 +138,12 @@ def find_spans(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> D
 
 
 def pii_report(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: counts of the base kinds, their digest and all spans as text."""
+    """One row per row of ``docs``: counts of the base kinds, their digest and all spans as text.
+
+    Null and empty texts have no spans, long ones are searched whole;
+    repeated rows repeat their result; a null id is an id like any other;
+    other columns are not read; an empty table gives no rows.
+    """
     spans = find_spans(docs, text)
     place = F.lit(0)
     for i, kind in enumerate(KINDS):

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import ship_package
+from .samples import bounded, lowest_ids, one_row_each
 from .tables import WORD, held_out, text_or_empty
 from .toxicity import BUCKETS, word_ids
 
-#: Documents learned from at most, by a hash of the id, and words of such a document at most.
+#: Ids learned from at most, by a hash of the id, and words of such a document at most (together: samples.TOTAL_WORDS).
 SAMPLE, SAMPLE_WORDS = 4_000, 20_000
 ROUNDS, EPOCHS, RATE = 50, 5, 0.5
 
@@ -92,7 +93,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, weak_label (the posterior), score, good (score >= 0.5).
 
     Votes and their counts are of all documents. The scorer learns from at
-    most ``SAMPLE`` documents that are not held out. Null and empty texts get
+    most ``SAMPLE`` ids that are not held out, one text of each. Null and empty texts get
     the votes of an empty text and the score of a text without words;
     repeated rows repeat their result; other columns are not read; an empty
     table gives no rows.
@@ -107,13 +108,12 @@ def quality(docs: DataFrame) -> DataFrame:
     post, _ = estimate(patterns, np.array([r["n"] for r in seen], float)) if len(seen) else (np.zeros(0), None)
     # at most 3^6 rows
     known = docs.sparkSession.createDataFrame([(r["votes"], float(p)) for r, p in zip(seen, post)], "votes string, post double")
-    chosen = (docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct())
+    learned = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
+    chosen = lowest_ids(learned, SAMPLE, learned.agg(F.approx_count_distinct("doc_id").alias("n")).first()["n"])
     # votes of the chosen documents only: sorting them would run the votes of all twice more
-    sample = (rows.join(F.broadcast(chosen), "doc_id").select("text", said)
+    sample = (one_row_each(rows.join(F.broadcast(chosen), "doc_id"), ["text"]).select("text", said)
               .join(F.broadcast(known), "votes").select("post", "text"))
-    got = (sample.mapInArrow(_features, "post double, ids array<int>").filter(F.size("ids").between(1, SAMPLE_WORDS))
-           .orderBy(F.xxhash64("ids"), "post").toArrow())
+    got = bounded(sample.mapInArrow(_features, "post double, ids array<int>"), SAMPLE_WORDS, order=("post",))
     ids = got["ids"].combine_chunks()
     flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
     model = docs.sparkSession.sparkContext.broadcast(

@@ -47,11 +47,6 @@ _SPANS = [
      "lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INT "
      "ELSE (2 * substr(reverse(digits), i, 1)::INT) // 10 + (2 * substr(reverse(digits), i, 1)::INT) % 10 END)) % 10 = 0"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 8 AND 15"),
-    ("iban", r"[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30}|(\x20[A-Z0-9]{4}){2,7}(\x20[A-Z0-9]{1,3})?)",
-     "alone AND list_reduce(list_prepend(0::BIGINT, list_transform(string_split("
-     "substr(replace(hit, ' ', ''), 5) || substr(replace(hit, ' ', ''), 1, 4), ''), "
-     "lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN 100 + ascii(c) - 55 ELSE c::BIGINT END)), "
-     "lambda a, v: CASE WHEN v >= 100 THEN (a * 100 + v - 100) % 97 ELSE (a * 10 + v) % 97 END) = 1"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "alone AND near"),
 ]
 
@@ -71,9 +66,33 @@ def _span_sql(place: int, kind: str, pattern: str, condition: str) -> str:
                 FROM texts))"""
 
 
+_MOD97 = ("list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(replace({x}, ' ', ''), 5) || "
+          "substr(replace({x}, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN 100 + ascii(c) - 55 ELSE c::BIGINT END)), "
+          "lambda a, v: CASE WHEN v >= 100 THEN (a * 100 + v - 100) % 97 ELSE (a * 10 + v) % 97 END) = 1")
+# an account number may start at each capital that follows no letter or digit: its longest form if nothing of its kind
+# follows, else the longest of its starts of whole groups that passes; none within an earlier one
+_ACCOUNTS = f"""
+place AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS pos FROM texts WHERE regexp_matches(t, '[A-Z][A-Z][0-9][0-9]')),
+proposal AS (
+  SELECT doc_id, t, pos, regexp_extract(substr(t, pos),
+    '^[A-Z][A-Z][0-9]{{2}}([A-Z0-9]{{11,30}}|(\x20[A-Z0-9]{{4}}){{2,7}}(\x20[A-Z0-9]{{1,3}})?)') AS longest
+  FROM place WHERE substr(t, pos, 1) BETWEEN 'A' AND 'Z' AND NOT regexp_matches(substr(t, greatest(pos - 1, 1), (pos > 1)::INT), '[A-Za-z0-9]')),
+form AS (
+  SELECT doc_id, pos, longest AS x, NOT regexp_matches(substr(t, pos + length(longest), 1), '[A-Za-z0-9]') AS may FROM proposal WHERE longest <> ''
+  UNION ALL
+  SELECT doc_id, pos, substr(longest, 1, 4 + 5 * n), substr(longest, 5, 1) = ' ' AND length(longest) > 4 + 5 * n
+  FROM (SELECT *, unnest(range(2, 8)) AS n FROM proposal WHERE longest <> '')),
+account AS (SELECT doc_id, pos, max(pos + length(x)) AS stop FROM form WHERE may AND {_MOD97.format(x="x")} GROUP BY doc_id, pos)"""
+
+
 ORACLES["op3_pii"] = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-spans AS ({" UNION ALL ".join(_span_sql(i, *s) for i, s in enumerate(_SPANS))}),
+{_ACCOUNTS.strip()},
+spans AS ({" UNION ALL ".join(_span_sql(i if i < 4 else 5, *s) for i, s in enumerate(_SPANS))}
+  UNION ALL
+  SELECT doc_id, 4, 'iban', pos - 1, stop - 1, true FROM (
+    SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM account)
+  WHERE reached IS NULL OR stop > reached),
 per AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
                count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
                coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY place, s) FILTER (place < 4), '') AS base,

@@ -16,13 +16,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import ship_package
 from . import wordhash
-from .tables import held_out
+from .samples import bounded, lowest_ids, one_row_each
+from .tables import held_out, materialise, written
 
 #: The score from which a text is predicted toxic.
 DECISION = 0.3
@@ -49,7 +49,8 @@ def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _padded(counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts in one array, each text followed by blanks (embedding 0), with its first place and end."""
-    gap = max(FILTER_WIDTHS)
+    # one blank more than a filter spans, so that the last text may be without words too
+    gap = max(FILTER_WIDTHS) + 1
     starts = np.concatenate([[0], np.cumsum(counts + gap)[:-1]]).astype(np.int64)
     out = np.zeros((int((counts + gap).sum()), 2), np.int32)
     inside = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
@@ -232,22 +233,23 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model of labelled rows that are not held out.
 
-    At most ``sample`` ids for each class are taken, by a hash of the id, and
-    of these the texts of up to ``SAMPLE_WORDS`` words; only their word ids
-    reach the driver. A label that is null or neither 0 nor 1 is no label; of
-    an id with several labels the largest counts.
+    At most ``sample`` ids for each class are taken, by a hash of the id, one
+    text of each, and of these the texts of up to ``SAMPLE_WORDS`` words,
+    ``samples.TOTAL_WORDS`` together; only their word ids reach the driver. A
+    label that is null or neither 0 nor 1 is no label; of an id with several
+    labels the largest counts, of one with several texts that with the
+    lowest hash.
     """
     ship_package(docs.sparkSession)
-    known = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-             .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")))
-    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample)
-              .select("doc_id", "label"))
+    known = materialise(labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+                        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), "labelled")
+    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [lowest_ids(known.filter(F.col("label") == k).select("doc_id"), sample, sizes.get(k, 0)).withColumn("label", F.lit(k))
+              for k in (0, 1)]
     # two times `sample` ids at most
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "label", "text")
-    got = (rows.mapInArrow(_featurise, "lang string, label int, ids array<int>")
-           .filter(F.size("ids").between(1, 2 * SAMPLE_WORDS))
-           .orderBy(F.xxhash64("ids"), "label").toArrow())
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    got = bounded(one_row_each(rows, ["lang", "label", "text"]).mapInArrow(
+        _featurise, "lang string, label int, ids array<int>"), SAMPLE_WORDS, 2, ("label",))
     ids = got["ids"].combine_chunks()
     flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
     parts = [flat[a:b].reshape(-1, 2) for a, b in zip(ends[:-1], ends[1:])]
@@ -281,8 +283,16 @@ def flag(scored: DataFrame, model: Model, lang: str = "lang") -> DataFrame:
     return scored.withColumn("threshold", threshold).withColumn("flagged", F.col("score") >= F.col("threshold"))
 
 
+@written("toxicity")
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, threshold, flagged: learned from the rows not held out."""
+    """doc_id, held_out, score, predicted, threshold, flagged: learned from the rows not held out.
+
+    One row per row of ``docs``. Null and empty texts are scored as texts
+    without words, long ones whole; repeated rows repeat their score; ids are
+    only passed on; columns other than doc_id, text and lang (for the
+    threshold) are not read; an empty table gives no rows, and without
+    labels, or with those of one class, every score is the same.
+    """
     model = fit(docs, labels)
     scored = flag(score_texts(docs.select("doc_id", "lang", "text"), model), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score",
