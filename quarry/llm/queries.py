@@ -190,11 +190,24 @@ h AS (SELECT doc_id, s, n, item_id
       JOIN p USING (n, phrase)),
 c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
       FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM h) GROUP BY doc_id),
+n AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) GROUP BY t),
+pw AS (SELECT DISTINCT phrase, string_split(phrase, ' ') AS ws FROM p),
+pp AS (SELECT phrase, ws, list_sort(list_filter(list_transform(range(1, len(ws) + 1), lambda k: (g[k], ws[k], k)), lambda x: x[1] IS NOT NULL)) AS known
+       FROM (SELECT phrase, ws, list(n ORDER BY k) AS g FROM (SELECT phrase, ws, unnest(range(1, len(ws) + 1)) AS k FROM pw) LEFT JOIN n ON t = ws[k]
+             GROUP BY phrase, ws)),
+pr AS (SELECT phrase, list_distinct(ws) AS ws, known[1][2] AS t1, known[least(2, len(known))][2] AS t2 FROM pp WHERE len(known) > 0),
+dp AS (SELECT doc_id, w, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM d),
+nr AS (SELECT DISTINCT doc_id, phrase FROM (
+         SELECT doc_id, phrase, ws, w[greatest(pos - 20, 1):greatest(pos - 20, 1) + 40] AS around, w[greatest(pos - 20, 1):pos + 20] AS close, t2
+         FROM dp JOIN pr ON t = t1 WHERE t1 <> t2)
+       WHERE list_contains(close, t2) AND len(list_intersect(ws, around)) * 100 >= len(ws) * 80),
+e AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM (
+        SELECT doc_id, item_id::VARCHAR AS item FROM h UNION SELECT doc_id, item_id::VARCHAR FROM nr JOIN p USING (phrase)) GROUP BY doc_id),
 f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN e USING (doc_id)
 """
 
 

@@ -272,11 +272,61 @@ def test_contamination(spark):
     assert not any(r.contaminated for r in decontamination.contamination(docs(spark, texts), items.limit(0)).collect())
 
 
-def test_proximity(spark):
-    phrases = decontamination.test_phrases(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
-    table = docs(spark, ["alpha x x beta", "beta " + "x " * 30 + "alpha", "alpha beta"])
-    index, rare = decontamination.build_index(table, phrases)
-    assert {r.doc_id: r.gap for r in decontamination.proximity_matches(index, rare).collect()} == {0: 3, 2: 1}
+def near_items(texts, items, span=20, percent=80, width=10):
+    """Items nearly in each text, by looking at every place of every phrase's rarest word."""
+    split = lambda t: brute.re.findall("[a-z0-9\\x80-\\U0010ffff]+", brute.re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words = [split(t) for t in texts]
+    n = {}
+    for w in words:
+        for t in w:
+            n[t] = n.get(t, 0) + 1
+    out = [set() for _ in texts]
+    for item, text in items:
+        w = split(text)
+        for s in range(max(len(w) - width + 1, 1) if w else 0):
+            phrase = w[s:s + width]
+            known = sorted((n[t], t, k) for k, t in enumerate(phrase) if t in n)
+            for held, own in zip(out, words):
+                at = {i for i in range(len(own)) if own[i:i + len(phrase)] == phrase}
+                if at and item is not None:
+                    held.add(item)
+                if len(known) < 2 or known[0][1] == known[1][1]:
+                    continue
+                for pos in (i for i, t in enumerate(own) if t == known[0][1]):
+                    first = max(pos - span, 0)
+                    if known[1][1] in own[first:pos + span + 1] and item is not None and \
+                            100 * len(set(phrase) & set(own[first:first + 2 * span + 1])) >= percent * len(set(phrase)):
+                        held.add(item)
+    return [len(x) for x in out]
+
+
+def test_proximity_is_that_of_every_place(spark):
+    rng = random.Random(7)
+    base = [f"t{i}" for i in range(40)]
+    items = [(1, " ".join(base[:14])), (2, " ".join(base[10:30])), (3, "alpha beta"), (4, "gamma"), (5, None), (6, "unseen " + " ".join(base[30:])),
+             (None, " ".join(base[5:16]))]
+    texts = [None, "", " ".join(base[:14]), " ".join(reversed(base[:14])), "alpha x x beta", "beta " + "x " * 30 + "alpha", "gamma gamma"]
+    for _ in range(40):
+        at, size = rng.randrange(30), rng.randrange(6, 14)
+        some = [t if rng.random() < 0.85 else f"z{rng.randrange(9)}" for t in base[at:at + size]]
+        if rng.random() < 0.5:
+            rng.shuffle(some)
+        texts.append(words(rng, rng.randrange(30)) + " " + " ".join(some).upper() + " " + words(rng, rng.randrange(30)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.n_near for r in decontamination.contamination(docs(spark, texts), table).collect()}
+    want = near_items(texts, items)
+    assert got == dict(enumerate(want)) and sum(want) > 5
+    exact = decontamination.contamination(docs(spark, texts), table, near=False).collect()
+    assert {r.n_near for r in exact} == {None} and any(r.contaminated for r in exact)
+
+
+def test_contamination_of_long_texts_and_empty_tables(spark):
+    item = " ".join(f"t{i}" for i in range(12))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    long = "word " * 60_000 + item + " word" * 60_000
+    rows = sorted((r.n_words, r.n_hit, r.n_near) for r in decontamination.contamination(docs(spark, [long, item, "x"], [0, 0, 0]), items).collect())
+    assert rows == [(1, 0, 0), (12, 12, 1), (120_012, 12, 1)]
+    assert decontamination.contamination(docs(spark, ["x"]).limit(0), items).collect() == []
 
 
 def test_language_learning_rows_are_not_held_out(spark):
