@@ -58,7 +58,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item."""
-    found = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), near=False)
     hit = found.filter("contaminated").select(_key(F.col("doc_id"), F.col("text_mark")).alias("__key")).distinct()
     return docs.withColumn("__key", _key(F.col("doc_id"), _text_mark())).join(hit, "__key", "left_anti").drop("__key")
 
