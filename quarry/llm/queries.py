@@ -140,7 +140,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # in training order by a document's first reading; those never read come last
     due = mixed.withColumn("due", F.get("passes", F.lit(0))["position"])
     return due.orderBy(due["due"].asc_nulls_last(), "doc_id").select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", F.col("due").alias("position"))
 
 
 ORACLES["op8_mixing"] = r"""
@@ -155,14 +155,20 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::
              row_number() OVER (ORDER BY stop, nth) AS stop_no
       FROM w WINDOW before AS (ORDER BY stop, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(
-             (SELECT level FROM l WHERE level <= stop ORDER BY stop_no LIMIT 1) * weight, cap::DOUBLE)) AS target FROM l),
-p AS (SELECT d.doc_id, size, source_size, target, floor(target)::BIGINT AS goal,
+             (SELECT level FROM l WHERE level <= stop ORDER BY stop_no LIMIT 1) * weight, cap::DOUBLE)) AS target,
+             0.5::DOUBLE * (1.0::DOUBLE - 2.0::DOUBLE * (nth - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1)::DOUBLE) AS slope FROM l),
+p AS (SELECT d.doc_id, size, source_size, target, slope, floor(target)::BIGINT AS goal,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
              CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS whole
-      FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (whole * size + least(greatest(goal - whole * source_size - before, 0), size))::BIGINT AS taken FROM p
+      FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+k AS (SELECT *, least(greatest(goal - whole * source_size - before, 0), size) AS part, before::DOUBLE / goal::DOUBLE AS share FROM p)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (whole * size + part)::BIGINT AS taken,
+       CASE WHEN size > 0 AND (whole > 0 OR part > 0) THEN
+         CASE WHEN abs(slope) < 1e-12 THEN share ELSE
+           ((1.0::DOUBLE + slope) - sqrt(greatest((1.0::DOUBLE + slope) * (1.0::DOUBLE + slope)
+                                                  - 4.0::DOUBLE * slope * share, 0.0::DOUBLE))) / (2.0::DOUBLE * slope) END END AS position
+FROM k
 """
 
 
