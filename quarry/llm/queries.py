@@ -111,7 +111,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_windows.repeated_windows(table(spark, sf_dir, "documents"), window=400)
+    return repeated_windows.repeated_windows(table(spark, sf_dir, "documents"), window=400, words=50)
 
 
 @query

@@ -1,9 +1,9 @@
-"""Repeated byte windows by a depth-limited radix sort of suffixes.
+"""Repeated windows of bytes or words, told apart to their full depth only.
 
-Suffixes are told apart by their first ``window`` bytes only, most
-significant digit first; groups that are still equal at that depth are
-exactly the repeated windows. Digits are made so that few suffixes have to be
-dealt out:
+Windows are told apart by their first ``window`` units; groups that are still
+equal at that depth are exactly the repeated windows. Sorting all suffixes by
+successive digits would deal out a row for every byte, so groups are split by
+hashes of larger and larger parts instead, and few windows stand for all:
 
 1. the window's anchor: the smallest hash of its ``gram``-byte substrings. It
    depends on nothing outside the window, so equal windows have equal anchors
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import wordhash
-from .tables import materialise, shared_path, shuffle_partitions, text_or_empty, written
+from .tables import WORD, materialise, shared_path, shuffle_partitions, text_or_empty, written
 
 #: Bytes of an anchor's substring, and offsets in a cell.
 GRAM, CELL = 100, 16
 #: Window starts that are worked on at once.
 RUN = 1 << 19
+#: Words of an anchor's substring, where windows are counted in words.
+WORD_GRAM = 8
+#: Units of a string column: an array of all and the offsets of its rows.
+Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -98,10 +102,10 @@ def _runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Iter
             yield row[first], grams[place[first]], place[first] + move, first + move, last + move, whole
 
 
-def _find_runs(window: int, gram: int):
+def _find_runs(window: int, gram: int, units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = wordhash.buffers(batch.column(1))
+            data, offsets = units(batch.column(1))
             for row, grams, place, first, last, whole in _runs(data, offsets, window, gram):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row)), pa.array(grams.view(np.int64)), pa.array(place),
@@ -119,13 +123,13 @@ def _segments(places: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def _find_cells(window: int, gram: int, cell: int):
+def _find_cells(window: int, gram: int, cell: int, units: Units):
     """Cells of ``cell`` offsets that hold an offset from ``near`` to ``far`` of the listed anchors."""
     furthest = window - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = wordhash.buffers(batch.column(1))
+            data, offsets = units(batch.column(1))
             listed = batch.column(2)
             items, ends = listed.flatten(), np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy())])
             fields = [items.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
@@ -161,11 +165,11 @@ def _find_cells(window: int, gram: int, cell: int):
     return run
 
 
-def _cut(window: int):
-    """What is left of each text without the listed (first, last) window starts' bytes."""
+def _cut(window: int, units: Units):
+    """What is left of each text without the listed (first, last) window starts' units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = wordhash.buffers(batch.column(1))
+            data, offsets = units(batch.column(1))
             listed = batch.column(2)
             items, ends = listed.flatten(), np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy())])
             firsts, lasts = (items.field(i).to_numpy(zero_copy_only=False) for i in range(2))
@@ -204,18 +208,60 @@ def _listed(rows: DataFrame, *columns) -> DataFrame:
     return rows.groupBy("mark").agg(F.collect_list(F.struct(*columns)).alias("listed"))
 
 
+def _covered(texts: DataFrame, window: int, gram: int, cells: tuple[int, ...], units: Units) -> DataFrame:
+    """mark, n_removed, n_spans, kept_sha256 of the texts (mark, text) in which a window of ``window`` units is repeated."""
+    runs = materialise(texts.select("mark", "text").mapInArrow(
+        _find_runs(window, gram, units), "mark binary, gram bigint, place bigint, near int, far int, whole bigint"), "window-runs")
+    # written, so that Spark can split the join's large groups
+    grams = materialise(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "window-grams")
+    shared = materialise(runs.join(grams.select("gram"), "gram", "left_semi"), "window-shared")
+    repeated, heads = _decide(shared, ["gram"], ["near", "far", "whole"])
+    gone = repeated.select("mark", (F.col("place") - F.col("far")).alias("first"), (F.col("place") - F.col("near")).alias("last"))
+
+    body = texts.select("mark", "text")
+    schema = "mark binary, gram bigint, place bigint, cell int, core bigint, cover bigint, full boolean"
+    furthest = window - gram
+    for size in cells:
+        listed = _listed(heads, "place", "near", "far", "gram")
+        found = materialise(body.join(listed, "mark").select("mark", "text", "listed").mapInArrow(
+            _find_cells(window, gram, size, units), schema), "window-cells")
+        # a cell that does not fit into its text is a class of its own
+        alone = F.when(~F.col("full"), F.xxhash64("mark", "place")).otherwise(F.lit(0).cast("long"))
+        repeated, heads = _decide(found.withColumn("alone", alone), ["gram", "cell", "core"], ["cover", "alone"])
+        near, far = F.col("cell") * size, F.least(F.col("cell") * size + size - 1, F.lit(furthest))
+        gone = gone.unionByName(repeated.select("mark", (F.col("place") - far).alias("first"), (F.col("place") - near).alias("last")))
+        heads = heads.withColumn("near", near.cast("int")).withColumn("far", far.cast("int"))
+    return body.join(_listed(gone, "first", "last"), "mark").select("mark", "text", "listed").mapInArrow(
+        _cut(window, units), "mark binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+@written("passage-results")
+def _passages(texts: DataFrame, words: int) -> DataFrame:
+    """mark, n_passage_words, n_passages of the texts that share ``words`` words in sequence with any place else."""
+    single = _covered(texts, words, min(WORD_GRAM, max(1, words // 4)), (1,), wordhash.word_units).select(
+        "mark", F.col("n_removed").alias("n_passage_words"), F.col("n_spans").alias("n_passages"))
+    n_words = F.regexp_count("text", F.lit(WORD)).cast("long")
+    copied = texts.filter("copies > 1").select("mark", n_words.alias("n_passage_words"), F.lit(1).cast("long").alias("n_passages"))
+    return (single.join(texts.filter("copies = 1").select("mark"), "mark", "left_semi")
+            .unionByName(copied.filter(F.col("n_passage_words") >= words)))
+
+
 @written("window-result")
 def repeated_windows(docs: DataFrame, window: int = 400, gram: int | None = None, cell: int = CELL,
-                     text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+                     text: str = "text", words: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``words`` also
+    n_passage_words, n_passages.
 
     Texts are UTF-8 bytes. Each byte goes that is covered by a ``window``-byte
     string which also starts anywhere else, in the same text or another; all
     strings are judged on the texts as they come. ``n_spans`` counts the
-    maximal removed runs. Null and empty texts, and texts shorter than the
-    window, lose nothing. Repeated rows are documents of their own and so
-    lose all if they are long enough. Ids are only passed on, other columns
-    not read; an empty table gives no rows.
+    maximal removed runs. ``n_passage_words`` counts the words covered by
+    ``words`` words in sequence that also stand anywhere else, however many
+    bytes they are and white space they have between them, ``n_passages``
+    their maximal runs; nothing is removed for them. Null and empty texts,
+    and texts shorter than the window, lose nothing. Repeated rows are
+    documents of their own and so lose all if they are long enough. Ids are
+    only passed on, other columns not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -225,7 +271,8 @@ def repeated_windows(docs: DataFrame, window: int = 400, gram: int | None = None
     mark = F.unhex(F.left("text_sha256", F.lit(32)))
     rows = docs.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), sha.alias("text_sha256")).withColumn("mark", mark)
     # each different text once, written in buckets: later joins by mark leave the texts where they are
-    distinct = (docs.select(whole.alias("text"), sha.alias("text_sha256")).filter(F.octet_length("text") >= window)
+    least = min(window, 2 * words - 1) if words else window
+    distinct = (docs.select(whole.alias("text"), sha.alias("text_sha256")).filter(F.octet_length("text") >= least)
                 .groupBy("text_sha256").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
                 .select(mark.alias("mark"), "copies", "text"))
     name = f"texts_{uuid.uuid4().hex}"
@@ -234,43 +281,24 @@ def repeated_windows(docs: DataFrame, window: int = 400, gram: int | None = None
      .format("parquet").saveAsTable(name))
     texts = spark.table(name)
     try:
-        return _without_repeats(rows, texts, window, gram, cell)
+        passages = _passages(texts, words) if words else None
+        return _without_repeats(rows, texts, window, gram, cell, passages)
     finally:
         spark.sql(f"DROP TABLE {name}")
 
 
-def _without_repeats(rows: DataFrame, texts: DataFrame, window: int, gram: int, cell: int) -> DataFrame:
-    runs = materialise(texts.select("mark", "text").mapInArrow(
-        _find_runs(window, gram), "mark binary, gram bigint, place bigint, near int, far int, whole bigint"), "window-runs")
-    # written, so that Spark can split the join's large groups
-    grams = materialise(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "window-grams")
-    shared = materialise(runs.join(grams.select("gram"), "gram", "left_semi"), "window-shared")
-    repeated, heads = _decide(shared, ["gram"], ["near", "far", "whole"])
-    gone = [repeated.select("mark", (F.col("place") - F.col("far")).alias("first"), (F.col("place") - F.col("near")).alias("last"))]
-
-    body = texts.select("mark", "text")
-    schema = "mark binary, gram bigint, place bigint, cell int, core bigint, cover bigint, full boolean"
-    furthest = window - gram
-    for size in (cell, 1):
-        listed = _listed(heads, "place", "near", "far", "gram")
-        cells = materialise(body.join(listed, "mark").select("mark", "text", "listed").mapInArrow(
-            _find_cells(window, gram, size), schema), "window-cells")
-        # a cell that does not fit into its text is a class of its own
-        alone = F.when(~F.col("full"), F.xxhash64("mark", "place")).otherwise(F.lit(0).cast("long"))
-        repeated, heads = _decide(cells.withColumn("alone", alone), ["gram", "cell", "core"], ["cover", "alone"])
-        near, far = F.col("cell") * size, F.least(F.col("cell") * size + size - 1, F.lit(furthest))
-        gone.append(repeated.select("mark", (F.col("place") - far).alias("first"), (F.col("place") - near).alias("last")))
-        heads = heads.withColumn("near", near.cast("int")).withColumn("far", far.cast("int"))
-
-    listed = _listed(gone[0].unionByName(gone[1]).unionByName(gone[2]), "first", "last")
-    left = body.join(listed, "mark").select("mark", "text", "listed").mapInArrow(
-        _cut(window), "mark binary, n_removed bigint, n_spans bigint, kept_sha256 string")
-    copied = texts.filter("copies > 1").select(
+def _without_repeats(rows: DataFrame, texts: DataFrame, window: int, gram: int, cell: int, passages: DataFrame | None) -> DataFrame:
+    left = _covered(texts, window, gram, (cell, 1), wordhash.buffers)
+    copied = texts.filter((F.col("copies") > 1) & (F.octet_length("text") >= window)).select(
         "mark", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.sha2(F.lit(""), 256).alias("kept_sha256"))
     single = left.join(texts.filter("copies = 1").select("mark"), "mark", "left_semi")
-    found = materialise(single.unionByName(copied), "window-results").withColumnRenamed("mark", "of")
+    found = single.unionByName(copied)
+    counted = ["n_removed", "n_spans"]
+    if passages is not None:
+        found = found.join(passages, "mark", "full_outer")
+        counted += ["n_passage_words", "n_passages"]
+    found = materialise(found, "window-results").withColumnRenamed("mark", "of")
+    n_removed, n_spans, *more = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counted]
     return rows.join(found, F.col("mark") == F.col("of"), "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", "text_sha256").alias("kept_sha256"))
+        "doc_id", "n_bytes", n_removed, n_spans, F.coalesce("kept_sha256", "text_sha256").alias("kept_sha256"), *more)

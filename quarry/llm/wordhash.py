@@ -53,7 +53,7 @@ ALPHANUMERIC = class_table([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61)
 
 
 class SpanHasher:
-    """Hashes of spans of one byte array: ``spans(starts, ends)``."""
+    """Hashes of spans of one array of bytes, or of words given by their hashes: ``spans(starts, ends)``."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -62,7 +62,8 @@ class SpanHasher:
         up, down = self._tables(mult, len(data) + 1)
         self._down = down
         self._sum = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(_byte_values(seed)[data] * up[:len(data)], out=self._sum[1:])
+        values = _byte_values(seed)[data] if data.dtype == np.uint8 else mix(data + U64((seed * _MULT + 1) & _MASK))
+        np.cumsum(values * up[:len(data)], out=self._sum[1:])
 
     @classmethod
     def _tables(cls, mult: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +96,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a string column, and offsets (length n + 1, from 0) of its rows; nulls are empty."""
+    data, offsets = buffers(column)
+    counts, (hashes,) = words(data, offsets)
+    return hashes, np.concatenate([[0], np.cumsum(counts)])
+
+
 def row_slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``limit`` bytes together; a longer row is a run of its own."""
     first, n = 0, len(offsets) - 1

@@ -133,6 +133,30 @@ def test_repeated_windows_are_those_of_a_table_of_all(spark, monkeypatch, window
     assert got == dict(enumerate(brute.repeated_bytes(texts, window)))
 
 
+@pytest.mark.parametrize("words_, run", [(12, 1 << 19), (3, 64), (1, 1 << 19)])
+def test_repeated_passages_are_those_of_a_table_of_all(spark, monkeypatch, words_, run):
+    monkeypatch.setattr(repeated_windows, "RUN", run)
+    rng = random.Random(5)
+    base = words(rng, 60, 10 ** 4)
+    texts = [*ODD, base, base, base.replace(" ", " \n"), words(rng, 20) + " " + " ".join(base.split()[10:30]) + " é", "x y " * 40,
+             " ".join(base.split()[:12]), " ".join(base.split()[:11]), edited(rng, base, 4), *[words(rng, rng.randrange(30), 4) for _ in range(40)]]
+    split = [brute.re.findall("[^ \\t-\\r]+", t or "") for t in texts]
+    seen = {}
+    for w in split:
+        for i in range(len(w) - words_ + 1):
+            seen[tuple(w[i:i + words_])] = seen.get(tuple(w[i:i + words_]), 0) + 1
+    want = {}
+    for d, w in enumerate(split):
+        gone = [False] * len(w)
+        for i in range(len(w) - words_ + 1):
+            if seen[tuple(w[i:i + words_])] > 1:
+                gone[i:i + words_] = [True] * words_
+        want[d] = (sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)))
+    rows = repeated_windows.repeated_windows(docs(spark, texts), 40, words=words_).collect()
+    assert {r.doc_id: (r.n_passage_words, r.n_passages) for r in rows} == want
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == dict(enumerate(brute.repeated_bytes(texts, 40)))
+
+
 def test_repeated_windows_of_an_empty_table(spark):
     assert repeated_windows.repeated_windows(docs(spark, ["x"]).limit(0)).collect() == []
 
