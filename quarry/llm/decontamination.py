@@ -23,6 +23,8 @@ from .tables import ascii_lower, materialise, text_or_empty, written
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Terms that are broadcast at once; more are taken in several scans.
 BROADCAST_TERMS = 200_000
+#: Marks of texts (8 bytes each) that are broadcast at once.
+BROADCAST_MARKS = 1_000_000
 #: Of a phrase's different words, how many in a hundred make a near match.
 NEAR_PERCENT = 80
 
@@ -111,7 +113,15 @@ def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def _in_texts(worded: DataFrame, found: DataFrame, holds) -> DataFrame:
-    """doc_id, text_mark and the ``place`` of each row of ``found`` (doc_id, text_mark, place) that its text ``holds``."""
+    """doc_id, text_mark and the ``place`` of each row of ``found`` (doc_id, text_mark, place) that its text ``holds``.
+
+    Where the texts with places are few enough, their marks are broadcast,
+    so that only the words of these are dealt out for the join.
+    """
+    found = materialise(found, "index-places")
+    marks = materialise(found.select("text_mark").distinct(), "index-marks")
+    if marks.count() <= BROADCAST_MARKS:
+        worded = worded.join(F.broadcast(marks), "text_mark", "left_semi")
     per_text = found.groupBy("doc_id", "text_mark").agg(F.collect_set("place").alias("places")).select(
         F.col("doc_id").alias("doc_2"), F.col("text_mark").alias("mark_2"), "places")
     # the places of a text are looked up in its words where they are, not each in a copy of them
