@@ -33,6 +33,10 @@ def _scored(spark, d, analyzed=None):
     return CX.relevance(a, doc_files(spark, d), FOCUS, STRATEGY, KEYWORDS)
 
 
+def _ranked(spark, d):
+    return CX.rank_files(_analyzed(spark, d), doc_files(spark, d), FOCUS, STRATEGY, KEYWORDS)
+
+
 def _modules(spark, d):
     return corpus.modules_from_files(doc_files(spark, d))
 
@@ -131,7 +135,7 @@ def q_domain_concepts(spark, d):
 
 @register("rank_relevant", "WITH " + SQL_CTX + "\nSELECT task_id, repo, path, score10, score, rank FROM ranked")
 def q_rank_relevant(spark, d):
-    return CX.rank_relevant(_scored(spark, d)).select("task_id", "repo", "path", "score10", "score", "rank")
+    return _ranked(spark, d).select("task_id", "repo", "path", "score10", "score", "rank")
 
 
 @register("budget_cut", "WITH " + SQL_CTX + r"""
