@@ -64,7 +64,11 @@ def match_prefix_dict(imports: DataFrame, prefixes=FRAMEWORK_PREFIXES,
     is partially aggregated map-side.
     """
     m = F.col(module_col)
-    hits = imports.where(m.isNotNull() & (m != "")).select(
+    # most names match nothing: they go before an array is made for them
+    known = F.lit(False)
+    for token in sorted({t for tokens in prefixes.values() for t in tokens}):
+        known = known | m.startswith(token)
+    hits = imports.where(m.isNotNull() & (m != "") & known).select(
         "repo", "path", F.explode(frameworks_of(m, prefixes)).alias("framework"))
     return hits.distinct()
 
