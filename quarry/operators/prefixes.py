@@ -45,6 +45,7 @@ def starting_with(targets: DataFrame, names: DataFrame, group: str, target: str,
     rows = (names.select(F.col(group).alias("grp"), F.col(name).alias("value"), F.lit(True).alias("is_name"))
             .unionByName(targets.select(F.col(group).alias("grp"), F.col(target).alias("value"), F.lit(False).alias("is_name")))
             .dropna().distinct())
+    rows = cut_lineage(rows)  # the range partitioning reads it twice, for its bounds and for its rows
     order = [F.col("grp"), F.col("value"), F.col("is_name").desc()]
     # written, so that both uses see the same slices
     scanned = cut_lineage(rows.repartitionByRange(n, "grp", "value").sortWithinPartitions(*order)

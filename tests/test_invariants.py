@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.plans import registry
 from quarry.plans import q_context as QC
 from quarry.plans import q_conventions as QV
 from quarry.plans import reports as R
@@ -66,3 +67,10 @@ def test_gap_ranks_are_sorted(spark):
         assert keys == sorted(keys)
         crit = [r for r in rows if r.in_critical_list]
         assert len(crit) <= 10 and all(r.priority == "critical" for r in crit)
+
+
+@pytest.mark.parametrize("name", ["findings_conventions", "build_edges", "graph_nodes", "k_hop_3", "findings_deps"])
+def test_what_several_branches_read_is_not_scanned_again(spark, name):
+    registry.load_all()
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan
