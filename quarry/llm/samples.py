@@ -1,4 +1,4 @@
-"""Bounded samples of rows to learn from, chosen by hashes."""
+"""Rows to learn from: all of given ids, or bounded samples chosen by hashes."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from .tables import materialise
 
 #: Words that all rows to learn from have together at most.
 TOTAL_WORDS = 8_000_000
+#: Bits of the bitmap for each id that is looked for.
+ID_BITS = 16
 #: How many times the wanted ids pass the first cut, and how many more.
 SLACK, LEAST = 1.5, 100
 
@@ -30,6 +32,21 @@ def lowest_ids(ids: DataFrame, sample: int, n_ids: int) -> DataFrame:
     return few.distinct().orderBy(_rank("doc_id"), "doc_id").limit(sample)
 
 
+def likely(rows: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """All rows whose ``doc_id`` is among ``ids``, and about one of ``ID_BITS`` other rows.
+
+    A bitmap of the ids' hashes goes to the tasks, so that a join with
+    ``ids`` need not deal out the texts of all rows.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS * max(n_ids, 1))) + 1
+    at = F.bitmap_bit_position(place)
+    maps = (ids.select(F.bitmap_bucket_number(place).alias("__bucket"), at.alias("__at")).groupBy("__bucket")
+            .agg(F.bitmap_construct_agg("__at").alias("__bits")))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "__bucket")
+    return marked.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*rows.columns)
+
+
 def one_row_each(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each ``doc_id`` of ``rows``: that with the lowest hash of its text."""
     first = F.min(F.struct(F.xxhash64("text").alias("__mark"), *columns))

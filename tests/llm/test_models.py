@@ -86,6 +86,81 @@ def test_toxicity_scores_are_those_of_a_plain_forward_pass(spark):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 2000)
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, *a: seen.append((rows, *a)) or train(rows, *a))
+    docs = spark.range(12_000).selectExpr(
+        "id AS doc_id", "IF(id % 2 = 0, 'en', 'fr') AS lang",
+        "CASE WHEN id % 1000 = 5 THEN NULL WHEN id = 8 THEN repeat('word ', 20001) "
+        "ELSE concat('own', id, ' some words ', IF(id % 5 = 0, 'vile', 'mild')) END AS text")
+    labels = spark.range(11_000).selectExpr("id AS doc_id", "CAST(id % 5 = 0 AS INT) AS toxic")
+    model = toxicity.fit(docs, labels)
+    learned = [i for i in range(11_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows, sizes, languages = seen[0]
+    assert len(rows) == len(learned) and languages == ["en", "fr"] == sorted(model.thresholds)
+    all_rows = rows.fitted.unionByName(rows.checks).collect()
+    assert len(all_rows) == len(learned) and sum(r.label for r in all_rows) == sum(i % 5 == 0 for i in learned)
+    assert 0.15 * len(learned) < rows.checks.count() < 0.25 * len(learned) and sizes.sum() == rows.fitted.count()
+    assert max(len(r.ids) for r in all_rows) == 20_001 and min(len(r.ids) for r in all_rows) == 0
+    # a shard is one partition
+    at = rows.fitted.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(at) == len({r.p for r in at}) == len({r.shard for r in at}) == -(-len(learned) // 2000)
+    held = [r for r in toxicity.score_texts(docs, model).filter("doc_id >= 11000 AND text IS NOT NULL").collect()]
+    assert all((r.score >= toxicity.DECISION) == (r.doc_id % 5 == 0) for r in held)
+
+
+def test_averaged_weights_are_the_shards_means(spark):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=(1 + toxicity.BUCKETS + toxicity.PREFIX_BUCKETS, toxicity.WIDTH)),
+                           {w: rng.normal(size=(w, toxicity.WIDTH, toxicity.FILTERS)) for w in toxicity.FILTER_WIDTHS},
+                           {w: np.zeros(toxicity.FILTERS) for w in toxicity.FILTER_WIDTHS},
+                           rng.normal(size=toxicity.FILTERS * len(toxicity.FILTER_WIDTHS)), np.zeros(1))
+    rows = [(s, int(rng.random() < 0.3), None, rng.integers(0, 50, rng.integers(0, 9)).tolist()) for s in (0, 1, 1) for _ in range(80)]
+    table = spark.createDataFrame(rows, "shard int, label int, lang string, ids array<int>").repartitionById(2, "shard").sortWithinPartitions("ids", "label")
+    weight = np.array([0.7, 1.7])
+    got = toxicity._averaged(model, table, weight, 7, 0).matrix()
+    total, steps = np.zeros_like(got), np.zeros(len(got))
+    for s in (0, 1):
+        mine = sorted(((r[3], r[1]) for r in rows if r[0] == s))
+        learner = toxicity._Learner(model.with_matrix(model.matrix()), weight, np.random.default_rng([7, 0, s]))
+        order = learner.rng.permutation(len(mine))
+        for a in range(0, len(mine), toxicity.BATCH):
+            part = [mine[i] for i in order[a:a + toxicity.BATCH]]
+            words = np.concatenate([np.array(p[0], int) for p in part])
+            ids = np.stack([1 + words % toxicity.BUCKETS, 1 + toxicity.BUCKETS + words // toxicity.BUCKETS], axis=1)
+            learner.learn(np.array([len(p[0]) for p in part]), ids, np.array([p[1] for p in part]))
+        touched = np.concatenate([learner.touched, np.full(len(got) - len(learner.touched), learner.step)])
+        total += touched[:, None] * learner.model.matrix()
+        steps += touched
+    want = np.where(steps[:, None] > 0, total / np.maximum(steps, 1)[:, None], model.matrix())
+    assert np.allclose(got, want, atol=1e-8) and (steps == 0).any()
+
+
+def test_best_decisions_are_those_of_all_cuts(spark):
+    rng = random.Random(6)
+    rows = [(g, int(rng.random() < p), float(rng.randrange(40))) for g, p in (("a", 0.3), ("b", 0.7), ("c", 0.0), ("d", 1.0)) for _ in range(90)]
+    got = toxicity.best_decisions(spark.createDataFrame(rows, "grp string, label int, z double").repartition(5))
+    for g in "abcd":
+        mine = [(z, y) for h, y, z in rows if h == g]
+        ones = max(sum(y for _, y in mine), 1)
+        f1 = {c: 2 * sum(y for z, y in mine if z >= c) / (sum(z >= c for z, _ in mine) + ones) for c, _ in mine}
+        best = max(f1, key=lambda c: (f1[c], c))
+        assert got[g] == (best + max([z for z, _ in mine if z < best], default=best - 1)) / 2
+
+
+def test_likely_rows_hold_all_of_the_ids(spark):
+    rows = spark.range(-20_000, 20_000).selectExpr("id * 7919 AS doc_id", "'x' AS text")
+    ids = rows.select("doc_id").filter("doc_id % 3 = 0")
+    n = ids.count()
+    got = samples.likely(rows, ids, n)
+    assert got.columns == rows.columns and ids.join(got, "doc_id").count() == n
+    assert got.filter("doc_id % 3 <> 0").count() < 2 * (40_000 - n) / samples.ID_BITS
+    assert samples.likely(rows, ids.limit(0), 0).count() == 0
+
+
 def test_expectation_maximisation_is_the_plain_one():
     rng = np.random.default_rng(4)
     truth = rng.random(3000) < 0.6
