@@ -50,6 +50,26 @@ def test_a_dictionary_of_100000_tokens(spark):
     assert {r.framework for r in D.match_prefixes(names, table).collect()} == {"k0"}
 
 
+@pytest.mark.parametrize("part,known", [(100_000, 200_000), (4, 2)])
+def test_prefixes_are_looked_up_without_dealing_out_names(spark, monkeypatch, part, known):
+    monkeypatch.setattr(D, "PART_TOKENS", part)
+    monkeypatch.setattr(D, "KNOWN_NAMES", known)
+    rng = random.Random(part)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(rng.randrange(n)))
+    entries = [(rng.choice(["x", "y", "z", None]), word(5) or None) for _ in range(12)] + [("w", "a"), ("v", "a"), (None, "bb")]
+    table = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(entries)], "key string, token string, ord long")
+    rows = [(rng.choice(["r", "s", None]), rng.choice(["f", "g", None, "h"]), rng.choice([word(8), word(8), None])) for _ in range(400)]
+    imports = spark.createDataFrame(rows, "repo string, path string, module string").repartition(3)
+    got = D.match_prefixes(imports, table)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # nothing but the files' keys is dealt out
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = {(r, p, k) for r, p, m in rows if m for k, t in entries if t is not None and m.startswith(t)}
+    found = [tuple(x) for x in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert D.match_prefixes(imports, table.where("token IS NULL")).collect() == []
+
+
 @pytest.mark.parametrize("slices", [1, 3, 40])
 def test_strings_that_start_with_a_name(spark, slices):
     rng = random.Random(slices)
