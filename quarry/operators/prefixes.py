@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship_package
+from ..session import ship_package, written
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,12 +45,12 @@ def starting_with(targets: DataFrame, names: DataFrame, group: str, target: str,
     rows = (names.select(F.col(group).alias("grp"), F.col(name).alias("value"), F.lit(True).alias("is_name"))
             .unionByName(targets.select(F.col(group).alias("grp"), F.col(target).alias("value"), F.lit(False).alias("is_name")))
             .dropna().distinct())
-    rows = cut_lineage(rows)  # the range partitioning reads it twice, for its bounds and for its rows
+    rows = written(rows)  # the range partitioning reads it twice, for its bounds and for its rows
     order = [F.col("grp"), F.col("value"), F.col("is_name").desc()]
     # written, so that both uses see the same slices
-    scanned = cut_lineage(rows.repartitionByRange(n, "grp", "value").sortWithinPartitions(*order)
-                          .withColumn("slice", F.spark_partition_id())
-                          .mapInArrow(_scan, "grp string, value string, is_name boolean, slice int, open string"))
+    scanned = written(rows.repartitionByRange(n, "grp", "value").sortWithinPartitions(*order)
+                      .withColumn("slice", F.spark_partition_id())
+                      .mapInArrow(_scan, "grp string, value string, is_name boolean, slice int, open string"))
     last = F.max(F.struct("grp", "value", F.lit(1).alias("one"), "open"))
     ends = scanned.groupBy("slice").agg(last.alias("e")).orderBy("slice").collect()  # one row a slice
     carried, held = [], None

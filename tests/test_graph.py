@@ -196,3 +196,41 @@ def test_classify_path(spark):
              "api/v.py": "api", "svc/service.py": "service", "p/__init__.py": "package", "x.py": "module"}
     df = spark.createDataFrame([(k,) for k in cases], "path string")
     assert {r.path: r.t for r in df.select("path", G.classify_path("path").alias("t")).collect()} == cases
+
+
+def test_walks_in_tasks_are_those_by_joins(spark, monkeypatch):
+    import random
+    rng = random.Random(3)
+    edges, nodes, foci = [], [], []
+    for k in range(12):
+        ids = [f"v{j:02d}" for j in range(rng.choice([1, 4, 15, 40]))]
+        edges += [(f"r{k}", rng.choice([*ids, "out", None]), rng.choice([*ids, None])) for _ in range(len(ids) + 3)] * 2
+        nodes += [(f"r{k}", v) for v in ids]
+        foci += [(f"r{k}", f) for f in rng.choice([["v00"], ["v00", "v02"], ["nope"], [None], []])]
+    n = spark.createDataFrame([*nodes, (None, "v00"), ("alone", "x")], "repo string, id string")
+    e = spark.createDataFrame([*edges, (None, "v00", "v01"), ("nodeless", "a", "b")], "repo string, src string, dst string")
+    f = spark.createDataFrame([*foci, (None, "v00"), ("nodeless", "a")], "repo string, focus string")
+    for depth in (0, 1, 3):
+        rows = lambda pair: [sorted(map(str, df.collect())) for df in pair]
+        want = rows(G._hops_by_joins(n, e, f, depth, True))
+        assert rows(G._hops_in_tasks(n, e, f, depth)) == want and len(want[0]) > 100
+        for most, groups in ((20_000, 1 << 16), (30, 1 << 16), (30, 2), (0, 1)):  # none, some and all graphs beyond a task
+            monkeypatch.setattr(G, "TASK_ROWS", most)
+            monkeypatch.setattr(G, "SIZE_GROUPS", groups)
+            assert rows(G.k_hop(n, e, f, depth)) == want
+
+
+def test_k_hop_exchanges_its_input_once_whatever_the_depth(spark, g):
+    n, e = g
+    kept, sub = G.k_hop(n, e, spark.createDataFrame([("r", "hub")], "repo string, focus string"), 4)
+    for df in (kept, sub):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_edges_of_the_tables_are_exchanged_once_and_kept_as_columns(spark):
+    from quarry.plans.tables import succession_edges
+    from quarry.session import cut_lineage, written
+    edges = succession_edges(spark, "/root/testdata/sf0.001")
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert written(edges).schema == edges.schema
+    assert sorted(written(edges).collect()) == sorted(cut_lineage(edges).collect())
